@@ -2,10 +2,10 @@
 
 A word is the mean of the vectors of its character n-grams, so a misspelling
 that training never saw shares most of its vector with the word it distorts.  A
-document is the average over its distinct words, weighted by what training
-learned about how often a word occurs (a / (a + p(word)), n-grams' share for new
-words); the softmax is linear in it.  Embeddings and softmax are fitted together
-by Adam.
+document is the sum over its distinct words over the root of the number of words
+that have a vector (a plain mean would drown a few words in a long text), and
+the softmax is linear in it.  Embeddings and softmax are fitted together by Adam;
+buckets that tell the classes apart in no significant way keep the zero vector.
 """
 
 from __future__ import annotations
@@ -156,3 +156,122 @@ class SubwordSoftmax:
                 v += 0.01 * (grad * grad - v)
                 q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         return cls(e, u, b)
+
+
+def _score_words(total: float, prior: float, count: int) -> float:
+    return float(1 / (1 + np.exp(-np.clip(prior + total / np.sqrt(max(count, 1)), -50, 50))))
+
+
+class Scorer:
+    """Scores texts with a fitted model; words are looked up once each while the cache holds them."""
+
+    def __init__(self, odds: np.ndarray, prior: float):
+        self.model = SubwordSoftmax.__new__(SubwordSoftmax)
+        self.model.odds, self.model.prior = odds, prior
+        self._reset()
+
+    def _reset(self) -> None:
+        self.raw: dict[str, int] = {}  # a word as it stands: its number, -1 where nothing is left of it
+        self.index: dict[str, int] = {}
+        self.odds = np.zeros(1 << 16)
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        if len(self.raw) > CACHE_WORDS:
+            self._reset()
+        sets = [words(t) for t in texts]
+        fresh: list[str] = []
+        for own in sets:
+            for w in own:
+                if w not in self.raw:
+                    n = normal(w)
+                    k = self.index.get(n) if n else -1
+                    if k is None:
+                        k = self.index[n] = len(self.index)
+                        fresh.append(n)
+                    self.raw[w] = k
+        have = len(self.index)
+        if have > len(self.odds):
+            self.odds = np.concatenate([self.odds, np.zeros(max(len(self.odds), have))])
+        for a in range(0, len(fresh), 20_000):
+            some = fresh[a : a + 20_000]
+            at = have - len(fresh) + a
+            self.odds[at : at + len(some)] = self.model.word_odds(some)
+        out = np.empty(len(texts))
+        for i, own in enumerate(sets):
+            ids = set(map(self.raw.__getitem__, own))
+            ids.discard(-1)
+            o = self.odds[sorted(ids)] if ids else np.zeros(1)
+            out[i] = _score_words(o.sum(), self.model.prior, int(np.count_nonzero(o)))
+        return out
+
+
+def held_out():
+    """Whether crc32 of the doc_id as text leaves 2 when divided by 4; a null doc_id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: dict[int, int] | None = None) -> SubwordSoftmax:
+    """Fit on at most fit_rows[label] labelled rows of each class, none of them held out (crc32(doc_id) mod 4 = 2).
+
+    Rows whose label or doc_id is null are left out; without both classes the
+    model scores every text with the share of class 1.
+    """
+    most = fit_rows or FIT_ROWS
+    learn = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    learn = learn.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    some = [learn.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in sorted(most.items())]
+    ids = some[0].unionByName(some[1])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(C.text_or_empty(), 1, FIT_CHARS).alias("text"))
+    # the ids are at most sum(most) rows; a repeated doc_id can't make the sample larger than twice that
+    rows = rows.join(F.broadcast(ids), "doc_id").limit(2 * sum(most.values())).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return SubwordSoftmax.fit(rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), int))
+
+
+_DDL = "doc_id long, score double"
+_OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+
+
+def _scoring(spark: SparkSession, model: SubwordSoftmax):
+    shared = spark.sparkContext.broadcast((model.odds, model.prior))  # BUCKETS doubles, whatever the input
+
+    def score(column: pa.Array, scorers: list) -> np.ndarray:
+        if not scorers:
+            scorers.append(Scorer(*shared.value))
+        _, at = C.utf8_view(column)
+        parts = [scorers[0].scores(column.slice(a, b - a).fill_null("").to_pylist()) for a, b in C.row_chunks(at)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    return score
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score (0 to 1), predicted (score >= THRESHOLD), one row per row of docs.
+
+    A null or empty text gets the share of toxic rows among those fitted on.
+    Null doc_ids and repeated rows are scored like any other; only `text` is
+    read for a score.  An empty table gives no rows, and tables without labels
+    give every text the same score.
+    """
+    score = _scoring(docs.sparkSession, fit_toxicity(docs, labels))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorers: list = []
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score(b.column("text"), scorers))], schema=_OUT)
+
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_or_empty()).mapInArrow(run, _DDL)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that score below THRESHOLD."""
+    schema = docs.schema
+    score = _scoring(docs.sparkSession, fit_toxicity(docs, labels))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorers: list = []
+        for b in batches:
+            texts = b.column(b.schema.get_field_index("text"))
+            yield b.filter(pa.array(score(texts, scorers) < THRESHOLD))
+
+    return docs.mapInArrow(run, schema)
