@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .token_ids import CachedEncoder, default_path
+from .token_ids import default_path, encoder
 
 CAPACITY = 2048
 END_ID = 1
@@ -104,7 +104,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     out = _OUT.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else _OUT
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = CachedEncoder(path)
+        encode = encoder(path).encode
         bins = HarmonicBins(TaskContext.get().partitionId() << 33, capacity, with_ids)
 
         def full():
@@ -112,14 +112,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), out)], schema=out)
 
         for batch in batches:
-            column = batch.column("text")
-            _, at = C.utf8_view(column)
-            ids_of = batch.column("doc_id").to_pylist()
-            for a, b in C.row_chunks(at):
-                ids, counts = encoder.encode(column.slice(a, b - a).to_pylist())
-                edge = np.concatenate([[0], np.cumsum(counts)])
-                for i in range(b - a):
-                    bins.add(ids_of[a + i], np.append(ids[edge[i] : edge[i + 1]], np.uint32(end_id)))
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                bins.add(doc, np.append(encode(text.as_py()), np.uint32(end_id)))
                 if len(bins.rows) >= 10_000:
                     yield full()
         bins.close()
