@@ -101,16 +101,17 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, offsets: np.ndarray, inked: np.ndarray = ~_WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of consecutive rows: (start, end, words of each row).
 
-    start and end count from offsets[0]; a word never spans two rows.
+    start and end count from offsets[0]; a word never spans two rows.  inked: the
+    bytes that words are made of, by default all but white space.
     """
     lo, hi = int(offsets[0]), int(offsets[-1])
     n = hi - lo
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-    ink = ~_WHITE[data[lo:hi]]
+    ink = inked[data[lo:hi]]
     first = ink.copy()
     first[1:] &= ~ink[:-1]
     rows = offsets[:-1] - lo

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .secrets import scan_secrets
+from .simhash import simhash_groups
 from .toxicity import score_toxicity
 
 
@@ -32,7 +33,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op8_secret_scan, op9_packing)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op8_secret_scan, op9_packing, op10_simhash)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
