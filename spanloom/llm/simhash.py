@@ -25,8 +25,8 @@ from .pairing import link_pairs
 
 BITS, MAX_DISTANCE = 256, 48
 #: Sampled bits of a table, and tables, up to FULL_AT distinct fingerprints; plan_tables() says how they grow beyond.
-SAMPLE, TABLES, SEED = 16, 32, 11
-FULL_AT = 20_000_000
+SAMPLE, TABLES, SEED = 14, 40, 11
+FULL_AT = 5_000_000
 #: Share of differing bits of a near copy that the tables are planned for, and of documents that have nothing to do with each other.
 NEAR, FAR = 0.13, 0.41
 
