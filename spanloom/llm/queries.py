@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .secrets import scan_secrets
 from .simhash import simhash_groups
+from .substring_dedup import remove_repeats
 from .toxicity import score_toxicity
 from .vector_dedup import vector_groups
 
@@ -26,6 +27,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_groups(_table(spark, sf_dir, "embeddings"))
 
@@ -42,7 +47,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op5_vector_dedup, op8_secret_scan, op9_packing, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_substring_dedup, op5_vector_dedup, op8_secret_scan, op9_packing, op10_simhash)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
