@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .licenses import scan_licenses
 from .packing import pack_documents
 from .secrets import scan_secrets
 from .simhash import simhash_groups
 from .substring_dedup import remove_repeats
+from .token_counts import document_token_counts
 from .toxicity import score_toxicity
+from .unigram import encode_documents
 from .vector_dedup import vector_groups
 
 
@@ -23,6 +27,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -35,6 +43,15 @@ def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_groups(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents are a tree of two levels here: a directory for each source."""
+    return scan_licenses(_table(spark, sf_dir, "documents"), F.concat_ws("/", F.col("source"), F.col("doc_id").cast("string")))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +64,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_substring_dedup, op5_vector_dedup, op8_secret_scan, op9_packing, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_token_counts, op3_toxicity, op4_substring_dedup, op5_vector_dedup,
+        op6_license_scan, op7_sentencepiece, op8_secret_scan, op9_packing, op10_simhash,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
