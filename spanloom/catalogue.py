@@ -478,7 +478,7 @@ def dyn_compact(s, d):
 def dyn_stream_ingest(s, d):
     st = ST_STORE.Store(s, _scratch(s))
     docs = table(s, d, "documents")
-    stream = s.readStream.schema(docs.schema).parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    stream = s.readStream.schema(docs.schema).parquet(f"{d}/documents.parque[t]").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     q = stream.writeStream.foreachBatch(ST_STORE.commit_batches(st)).option("checkpointLocation", st.path + "-progress").trigger(availableNow=True).start()
     q.awaitTermination()
     return _sizes(st.snapshot().docs())
