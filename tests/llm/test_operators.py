@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import LONG, ODD, SCHEMA, dicts
+from samples import LONG, ODD, SCHEMA, dicts
 
 from spanloom.llm import exact_dedup as exact
 from spanloom.llm import licenses, packing, secrets, simhash, substring_dedup, token_counts, token_ids, toxicity, unigram, vector_dedup

@@ -2,7 +2,7 @@
 
 import corpus_pipeline as P
 import numpy as np
-from conftest import SCHEMA
+from samples import SCHEMA
 from test_operators import toxic_corpus
 
 from spanloom.llm import secrets, simhash, token_ids, toxicity
