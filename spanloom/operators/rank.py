@@ -29,9 +29,22 @@ def param(model: str, name: str, given: dict | None) -> float:
     return given.get(f"{model}:{name}", given.get(name, DEFAULTS[model][name]))
 
 
+def few(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+
+
 def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has BROADCAST_TERMS rows at most."""
-    return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
+    """df with a broadcast hint if it has BROADCAST_TERMS rows at most; it is kept, so that the check and the join compute it once."""
+    kept = df.persist()
+    if few(kept):
+        return F.broadcast(kept)
+    kept.unpersist()
+    return df
+
+
+def _hint(df: DataFrame, is_small: bool) -> DataFrame:
+    """A broadcast hint for a table with at most as many rows as one that was found small."""
+    return F.broadcast(df) if is_small else df
 
 
 def top(scores: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -49,30 +62,30 @@ def topics(df: DataFrame, id_col: str, text_col: str, words: int | None = None)
     return df.select(F.col(id_col).cast("long").alias("topic"), F.explode(F.array_distinct(w)).alias("term")).withColumn("w", F.lit(1.0))
 
 
-def _matches(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(topic, w, doc, len, term, tf) for query terms only."""
-    q = small(queries)
-    return S.tf(docs, queries).join(q, "term")
-
-
-def bm25(docs: DataFrame, queries: DataFrame, params: dict | None = None, depth: int = DEPTH, tf: DataFrame | None = None, df: DataFrame | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, params: dict | None = None, depth: int = DEPTH, tf: DataFrame | None = None) -> DataFrame:
+    """tf: (doc, len, term, tf) to use in place of the documents' own words."""
     b, k1 = param("bm25", "b", params), param("bm25", "k1", params)
-    m = _matches(docs, queries) if tf is None else tf.join(small(queries), "term")
-    if df is None:
-        df = (S.tf(docs, queries) if tf is None else tf).groupBy("term").agg(F.count("*").alias("df"))
-    weight = small(df.crossJoin(F.broadcast(S.totals(docs))).select("term", "avgl", S.rsj(F.col("items"), F.col("df")).alias("rsj")).where("rsj > 0"))  # totals is one row
+    is_small = few(queries)
+    tf = S.tf(docs, queries if is_small else None) if tf is None else tf
+    n = F.broadcast(S.totals(docs))  # one row
+    weight = tf.groupBy("term").agg(F.count("*").alias("df")).join(_hint(queries.select("term").distinct(), is_small), "term", "left_semi")
+    weight = weight.crossJoin(n).select("term", "avgl", S.rsj(F.col("items"), F.col("df")).alias("rsj")).where("rsj > 0")
     norm = k1 * ((1 - b) + b * F.col("len") / F.col("avgl"))
     score = F.sum(F.col("w") * F.col("rsj") * F.col("tf") / (norm + F.col("tf")))
-    return top(m.join(weight, "term").groupBy("topic", "doc").agg(score.alias("score")), depth)
+    m = tf.join(_hint(weight, is_small), "term").join(_hint(queries, is_small), "term")
+    return top(m.groupBy("topic", "doc").agg(score.alias("score")), depth)
 
 
 def lmd(docs: DataFrame, queries: DataFrame, params: dict | None = None, depth: int = DEPTH) -> DataFrame:
     """Dirichlet-smoothed language model over matching terms; results may have scores below 0, so they are not cut there."""
     mu = param("lmd", "mu", params)
-    m = _matches(docs, queries)
-    ctf = small(S.tf(docs, queries).groupBy("term").agg(F.sum("tf").alias("ctf")).crossJoin(F.broadcast(S.totals(docs).select(F.col("length").alias("tokens")))))
+    is_small = few(queries)
+    tf = S.tf(docs, queries if is_small else None)
+    n = F.broadcast(S.totals(docs).select(F.col("length").alias("tokens")))  # one row
+    ctf = tf.groupBy("term").agg(F.sum("tf").alias("ctf")).crossJoin(n)
+    m = tf.join(_hint(queries, is_small), "term")
     s = F.sum(F.col("w") * (F.log(mu + F.col("tf") * F.col("tokens") / F.col("ctf")) - F.log(mu + F.col("len"))))
-    s = m.join(ctf, "term").groupBy("topic", "doc").agg(F.round(s, DIGITS).alias("score"))
+    s = m.join(_hint(ctf, is_small), "term").groupBy("topic", "doc").agg(F.round(s, DIGITS).alias("score"))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= depth)
 
 
@@ -81,9 +94,9 @@ def bm25f(fields: dict[str, DataFrame], weights: dict[str, float], queries: Data
     if any(w < 0 for w in weights.values()):
         raise ValueError("a field weight is negative")
     used = {f: d for f, d in fields.items() if weights.get(f)}
-    every = None
+    is_small, every = few(queries), None
     for f, d in used.items():
-        one = S.tf(d, queries).select("doc", "term", (F.col("tf") * weights[f]).alias("tf"))
+        one = S.tf(d, queries if is_small else None).select("doc", "term", (F.col("tf") * weights[f]).alias("tf"))
         every = one if every is None else every.unionByName(one)
     lens = None
     for d in fields.values():
@@ -93,9 +106,9 @@ def bm25f(fields: dict[str, DataFrame], weights: dict[str, float], queries: Data
     m = every.groupBy("doc", "term").agg(F.sum("tf").alias("tf"))
     b, k1 = param("bm25", "b", params), param("bm25", "k1", params)
     n = F.broadcast(lens.where("len > 0").agg(F.count("*").alias("items"), F.avg("len").alias("avgl")))
-    weight = small(m.groupBy("term").agg(F.count("*").alias("df")).crossJoin(n).select("term", "avgl", S.rsj(F.col("items"), F.col("df")).alias("rsj")).where("rsj > 0"))
+    weight = m.groupBy("term").agg(F.count("*").alias("df")).crossJoin(n).select("term", "avgl", S.rsj(F.col("items"), F.col("df")).alias("rsj")).where("rsj > 0")
     score = F.sum(F.col("w") * F.col("rsj") * F.col("tf") / (k1 * ((1 - b) + b * F.col("len") / F.col("avgl")) + F.col("tf")))
-    return top(m.join(small(queries), "term").join(weight, "term").join(lens, "doc").groupBy("topic", "doc").agg(score.alias("score")), depth)
+    return top(m.join(_hint(queries, is_small), "term").join(_hint(weight, is_small), "term").join(lens, "doc").groupBy("topic", "doc").agg(score.alias("score")), depth)
 
 
 def product(vectors: DataFrame, queries: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -291,15 +304,15 @@ def pipeline(docs: DataFrame, queries: DataFrame, stages: str, params: dict | No
             q = q.join(variants.withColumnRenamed("word", "term"), "term").groupBy("topic", F.col("stem").alias("term")).agg(F.sum("w").alias("w"))
         elif stage == "bm25":
             tf = params.get("_tf")
-            run = bm25(docs, q, {k: v for k, v in params.items() if k[0] != "_"}, depth, tf=tf)
+            run = bm25(docs, q, {k: v for k, v in params.items() if k[0] != "_"}, depth, tf=tf).persist()
         elif stage == "lmd":
             run = lmd(docs, q, params, depth)
         elif stage == "rsj":
-            q = _expand(q, rsj_feedback(docs, run, params).withColumn("w", F.lit(float(param("rsj", "gamma", params)))))
+            q = _expand(q, rsj_feedback(docs, run, params).withColumn("w", F.lit(float(param("rsj", "gamma", params))))).persist()
         elif stage == "kld":
             k = kld_feedback(docs, run, params)
             most = F.max("tsv").over(Window.partitionBy("topic"))
-            q = _expand(q, k.withColumn("w", param("kld", "gamma", params) * F.col("tsv") / most))
+            q = _expand(q, k.withColumn("w", param("kld", "gamma", params) * F.col("tsv") / most)).persist()
         elif stage == "random":
             run = q.select("topic").distinct().crossJoin(random_ranking(docs, depth=depth).drop("topic"))
         else:
