@@ -29,7 +29,7 @@ TOK = WORDS + ", tok AS (SELECT doc, unnest(ws) AS word, generate_subscripts(ws,
 SPLIT = "CASE WHEN regexp_matches(substr({0}, 2), '[A-Z]') THEN {0} ELSE lower({0}) END"
 TERMS = TOK + f", term AS (SELECT doc, pos, {SPLIT.format('word')} AS term FROM tok), item AS (SELECT doc, len(ws) AS len FROM w WHERE len(ws) > 0)"
 TF = TERMS + ", tf AS (SELECT doc, term, count(*) AS tf FROM term GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL), tot AS (SELECT count(*) AS items, sum(len) AS length, sum(len) / count(*) AS avgl FROM item)"
-TOPIC = f"tw AS (SELECT item_id AS topic, unnest(list_slice(regexp_extract_all(text, '[A-Za-z0-9]+'), 1, 4)) AS word FROM benchmark), topic AS (SELECT DISTINCT topic, {SPLIT.format('word')} AS term FROM tw)"
+TOPIC = f"tw AS (SELECT item_id AS topic, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS word FROM benchmark), topic AS (SELECT DISTINCT topic, {SPLIT.format('word')} AS term FROM tw)"
 LINES = """ll AS (SELECT doc_id AS doc, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lc AS (SELECT doc, k, len(regexp_extract_all(line, '[A-Za-z0-9]+')) AS c FROM (SELECT doc, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM ll)),
 le AS (SELECT doc, k, c, sum(c) OVER (PARTITION BY doc ORDER BY k) AS e FROM lc), line AS (SELECT doc, CAST(e - c AS BIGINT) AS p, CAST(e - 1 AS BIGINT) AS q, k AS n FROM le WHERE c > 0)"""
@@ -75,7 +75,7 @@ def with_lines(spark: SparkSession, sf: str) -> Collection:
 
 
 def benchmark_topics(spark: SparkSession, sf: str) -> DataFrame:
-    return R.topics(table(spark, sf, "benchmark"), "item_id", "text", 4)
+    return R.topics(table(spark, sf, "benchmark"), "item_id", "text")
 
 
 def spans(df: DataFrame) -> DataFrame:
@@ -359,8 +359,8 @@ query(
     SELECT id, ':' || j || ':' AS feature, value FROM f UNION ALL SELECT c_custkey, ':', concat_ws(chr(9), c_custkey, c_name, c_nationkey, c_mktsegment) FROM customer""",
 )(lambda s, d: readers.field_annotations(_rows(s, d), "c_custkey"))
 query("tsv_lookup", "SELECT c_name AS value FROM customer WHERE c_mktsegment = 'BUILDING'")(lambda s, d: _rows(s, d).where(F.get("fields", F.lit(3)) == "BUILDING").select(F.get("fields", F.lit(1)).alias("value")))
-query("src_already_appended", "SELECT url AS source FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id < 10)")(
-    lambda s, d: readers.not_yet(table(s, d, "pages").select(F.col("url").alias("source")), table(s, d, "pages").where("page_id < 10").select(F.col("url").alias("source")))
+query("src_already_appended", "SELECT url AS source FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE contains(url, '/es/'))")(
+    lambda s, d: readers.not_yet(table(s, d, "pages").select(F.col("url").alias("source")), table(s, d, "pages").where(F.col("url").contains("/es/")).select(F.col("url").alias("source")))
 )
 query("vocab_file", f"WITH {TOK} SELECT lower(word) AS feature, count(*) AS count FROM tok WHERE NOT regexp_matches(substr(word, 2), '[A-Z]') GROUP BY 1")(
     lambda s, d: table(s, d, "documents").select(F.explode(T.ascii_words(F.coalesce("text", F.lit("")))).alias("w")).where(~T.inner_capital(F.col("w"))).groupBy(F.lower("w").alias("feature")).agg(F.count("*").alias("count"))
@@ -443,8 +443,9 @@ def _scratch(spark: SparkSession) -> str:
 def _store(s, d):
     st = ST_STORE.Store(s, _scratch(s))
     docs = documents(s, d).docs
-    for k in range(2):
-        st.begin().append(docs.where(F.pmod("doc", F.lit(2)) == k)).commit()
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    for part in (english, ~english):  # two commits
+        st.begin().append(Collection.of(table(s, d, "documents").where(part), "doc_id", "text").docs).commit()
     st.begin().append(docs).abort()
     return st
 
@@ -455,7 +456,7 @@ def _sizes(docs: DataFrame) -> DataFrame:
 
 _ALL = "SELECT doc_id AS doc, length(coalesce(text, '')) AS chars FROM documents"
 query("dyn_commit_visible", _ALL)(lambda s, d: _sizes(_store(s, d).snapshot().docs()))
-query("dyn_snapshot", _ALL + " WHERE doc_id % 2 = 0")(lambda s, d: _sizes(_store(s, d).snapshot(1).docs()))
+query("dyn_snapshot", _ALL + " WHERE lang = 'en'")(lambda s, d: _sizes(_store(s, d).snapshot(1).docs()))
 
 
 @query("dyn_erase", _ALL + " WHERE NOT (doc_id BETWEEN 10 AND 40 OR doc_id BETWEEN 30 AND 60)")
