@@ -66,9 +66,12 @@ def bm25(docs: DataFrame, queries: DataFrame, params: dict | None = None, depth:
     """tf: (doc, len, term, tf) to use in place of the documents' own words."""
     b, k1 = param("bm25", "b", params), param("bm25", "k1", params)
     is_small = few(queries)
+    own = tf is None and is_small  # then tf holds query terms only, and both uses of it are one scan and one shuffle
     tf = S.tf(docs, queries if is_small else None) if tf is None else tf
     n = F.broadcast(S.totals(docs))  # one row
-    weight = tf.groupBy("term").agg(F.count("*").alias("df")).join(_hint(queries.select("term").distinct(), is_small), "term", "left_semi")
+    weight = tf.groupBy("term").agg(F.count("*").alias("df"))
+    if not own:
+        weight = weight.join(_hint(queries.select("term").distinct(), is_small), "term", "left_semi")
     weight = weight.crossJoin(n).select("term", "avgl", S.rsj(F.col("items"), F.col("df")).alias("rsj")).where("rsj > 0")
     norm = k1 * ((1 - b) + b * F.col("len") / F.col("avgl"))
     score = F.sum(F.col("w") * F.col("rsj") * F.col("tf") / (norm + F.col("tf")))
