@@ -39,7 +39,7 @@ def tsv_files(spark: SparkSession, *paths: str, sep: str = "\t", header: bool =
     rows = separated(rows, "value", sep)
     if not header:
         return rows.select("source", "fields", F.lit(False).alias("is_header"))
-    first = F.broadcast(rows.groupBy("source").agg(F.min("k").alias("first"))) if len(paths) < 10_000 else rows.groupBy("source").agg(F.min("k").alias("first"))
+    first = rows.groupBy("source").agg(F.min("k").alias("first"))
     return rows.join(first, "source").select("source", "fields", (F.col("k") == F.col("first")).alias("is_header"))
 
 

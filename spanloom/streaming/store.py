@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 DOCS = "doc long, text string"
 ANNOTATIONS = "feature string, doc long, p long, q long, v double, n long"
 ERASED = "lo long, hi long"
+#: Erased ranges that become a filter, and documents (as a power of 2) of a run in the join that more of them need.
+FEW_RANGES, RUN_BITS = 1000, 20
 KINDS = {"docs": DOCS, "annotations": ANNOTATIONS, "erased": ERASED}
 
 
@@ -176,13 +178,19 @@ class Snapshot:
 
     def _live(self, kind: str) -> DataFrame:
         rows = self._read(kind)
-        erased = [(r.lo, r.hi, r.commit) for r in self._read("erased").collect()] if any(k == "erased" for k, *_ in self.files) else []
-        if len(erased) <= 1000:  # a few ranges: a filter that Parquet statistics can use
-            for lo, hi, commit in erased:
+        if not any(k == "erased" for k, *_ in self.files):
+            return rows.drop("commit")
+        erased = self._read("erased")
+        few = [(r.lo, r.hi, r.commit) for r in erased.limit(FEW_RANGES + 1).collect()]
+        if len(few) <= FEW_RANGES:  # a filter that Parquet statistics can use
+            for lo, hi, commit in few:
                 rows = rows.where(~((F.col("doc") >= lo) & (F.col("doc") <= hi) & (F.col("commit") < commit)))
             return rows.drop("commit")
-        gone = F.broadcast(self._read("erased").select("lo", "hi", F.col("commit").alias("at"))) if len(erased) < 100_000 else self._read("erased").select("lo", "hi", F.col("commit").alias("at"))
-        return rows.join(gone, (F.col("doc") >= F.col("lo")) & (F.col("doc") <= F.col("hi")) & (F.col("commit") < F.col("at")), "left_anti").drop("commit")
+        # many ranges: an equi-join on runs of documents, of which a range covers all between its ends
+        bucket = lambda c: F.shiftright(c, RUN_BITS)
+        gone = erased.select("lo", "hi", F.col("commit").alias("at"), F.explode(F.sequence(bucket("lo"), bucket("hi"))).alias("run"))
+        hit = (F.col("doc") >= F.col("lo")) & (F.col("doc") <= F.col("hi")) & (F.col("commit") < F.col("at"))
+        return rows.withColumn("r", bucket("doc")).join(gone, (F.col("r") == F.col("run")) & hit, "left_anti").drop("commit", "r")
 
     def docs(self) -> DataFrame:
         return self._live("docs")

@@ -62,3 +62,17 @@ def test_stream_commits_once(spark, tmp_path):
     for number in (0, 1, 1):  # the last is a replay
         sink(docs(spark, [10 * number, 10 * number + 1]), number)
     assert ids(st.snapshot()) == [0, 1, 10, 11]
+
+
+def test_many_erased_ranges(spark, tmp_path, monkeypatch):
+    from spanloom.streaming import store
+
+    monkeypatch.setattr(store, "FEW_RANGES", 1)
+    monkeypatch.setattr(store, "RUN_BITS", 2)
+    st = Store(spark, f"file://{tmp_path}/s")
+    st.begin().append(docs(spark, range(30))).commit()
+    t = st.begin()
+    for lo, hi in ((2, 11), (5, 6), (20, 20)):
+        t.erase(lo, hi)
+    t.commit()
+    assert ids(st.snapshot()) == [i for i in range(30) if not (2 <= i <= 11 or i == 20)]
