@@ -171,6 +171,14 @@ def gcl_infix(s, d):
     return spans(documents(s, d).infix("near < [10]", session))
 
 
+query("addr_base", f"WITH {WORDS}, l AS (SELECT doc, len(ws) AS length FROM w) SELECT doc, CAST(coalesce(sum(length) OVER (ORDER BY doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base, length FROM l")(lambda s, d: documents(s, d).bases(8))
+query(
+    "gcl_global",
+    f"""WITH {TOK}, l AS (SELECT doc, len(ws) AS length FROM w), b AS (SELECT doc, CAST(coalesce(sum(length) OVER (ORDER BY doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM l),
+    x AS (SELECT pos + base AS p, lower(word) AS f FROM tok JOIN b USING (doc) WHERE lower(word) IN ('{A}', '{B}')), y AS (SELECT p, f, lead(p) OVER (ORDER BY p) AS q, lead(f) OVER (ORDER BY p) AS g FROM x)
+    SELECT p, q FROM y WHERE f = '{A}' AND g = '{B}'""",
+)(lambda s, d: I.followed_by(documents(s, d).globalize(documents(s, d).term(A)), documents(s, d).globalize(documents(s, d).term(B))).select("p", "q"))
+
 # --- statistics
 
 query("stat_tf", f"WITH {TF} SELECT doc, term, tf FROM tf")(lambda s, d: S.tf(documents(s, d).docs).select("doc", "term", "tf"))
@@ -424,6 +432,34 @@ def _trials(s, d):
 
 
 query("tune_best", "WITH t AS (SELECT o_orderpriority AS topic, year(o_orderdate) AS trial, avg(o_totalprice) AS value FROM orders GROUP BY ALL) SELECT topic, CAST(arg_max(trial, value) AS INTEGER) AS trial, round(max(value), 6) AS value FROM t GROUP BY topic")(lambda s, d: _round(E.tune_best(_trials(s, d))))
+# whole numbers, shifted by a fraction that no mean here can end in: engines differ in the last bit of a mean, and halves would be rounded either way
+query("eval_running_mean", "WITH o AS (SELECT o_orderkey AS step, CAST(round(o_totalprice * 100) AS BIGINT) AS value FROM orders) SELECT step, value, CAST(round(avg(value) OVER (ORDER BY step) + 0.123456) AS BIGINT) AS mean FROM o")(
+    lambda s, d: E.running_mean(table(s, d, "orders").select(F.col("o_orderkey").alias("step"), F.round(F.col("o_totalprice") * 100).cast("long").alias("value"))).withColumn("mean", F.round(F.col("mean") + 0.123456).cast("long"))
+)
+query("src_splade", "SELECT CAST(c_custkey AS VARCHAR) AS doc, 'n' AS term, CAST(c_nationkey AS BIGINT) AS v FROM customer WHERE c_nationkey > 0 UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'k', c_custkey FROM customer WHERE c_custkey > 0")(
+    lambda s, d: readers.sparse_vectors(table(s, d, "customer").select(F.to_json(F.struct(F.col("c_custkey").alias("docid"), F.struct(F.col("c_nationkey").alias("n"), F.col("c_custkey").alias("k"), F.lit(-1).alias("x"), F.lit(0.5).alias("y")).alias("splade_vector"))).alias("json")))
+)
+query("pref_triples", r"SELECT t.item_id AS topic, a.conv_id AS doc, b.conv_id AS worse, regexp_replace(t.text, '\s+', ' ', 'g') || chr(9) || regexp_replace(a.text, '\s+', ' ', 'g') || chr(9) || regexp_replace(b.text, '\s+', ' ', 'g') AS line FROM benchmark t JOIN conversations a ON a.conv_id = t.item_id AND a.turn = 0 JOIN conversations b ON b.conv_id = t.item_id + 1 AND b.turn = 0")(
+    lambda s, d: E.training_triples(
+        table(s, d, "benchmark").select(F.col("item_id").alias("topic"), "text"), table(s, d, "benchmark").select(F.col("item_id").alias("topic"), F.col("item_id").alias("doc"), (F.col("item_id") + 1).alias("worse")), table(s, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("doc"), "text")
+    )
+)
+
+
+@query("tune_trials")
+def tune_trials(s, d):
+    """Mean RBP of BM25 for random parameters; sources are judged for the topics of benchmark."""
+    docs, topics = documents(s, d).docs, benchmark_topics(s, d)
+    qrels = table(s, d, "labels").select(F.col("doc_id").alias("doc"), F.col("quality").cast("double").alias("gain"))
+    out = None
+    for i, p in enumerate(R.random_params("bm25", 4)):
+        run = R.bm25(docs, topics, p, depth=100)
+        judged = run.select("topic").distinct().crossJoin(qrels.where("false")).unionByName(run.select("topic", "doc").join(qrels, "doc"))
+        one = E.rbp(run, judged).select("topic", F.lit(i).alias("trial"), F.round("rbp95", 6).alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 query("tune_bootstrap")(lambda s, d: E.bootstrap(_trials(s, d)))
 
 # --- the versioned store

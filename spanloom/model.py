@@ -37,6 +37,26 @@ class Collection:
     def lengths(self) -> DataFrame:
         return self.docs.select("doc", F.size(T.ascii_words(F.col("text"))).cast("long").alias("length"))
 
+    def bases(self, bits: int = 16) -> DataFrame:
+        """(doc, base, length): where each document begins in one address space of all, in order of doc.
+
+        Prefix sums in two levels: within runs of 2**bits consecutive ids, each a
+        partition of its own, and over the runs' totals, a row a run.
+        """
+        from pyspark.sql import Window
+
+        before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+        rows = self.lengths().withColumn("run", F.shiftright("doc", bits))
+        runs = rows.groupBy("run").agg(F.sum("length").alias("total")).select("run", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
+        inner = Window.partitionBy("run").orderBy("doc").rowsBetween(Window.unboundedPreceding, -1)
+        within = rows.withColumn("inner", F.coalesce(F.sum("length").over(inner), F.lit(0)))
+        return within.join(runs, "run").select("doc", (F.col("start") + F.col("inner")).alias("base"), "length")
+
+    def globalize(self, intervals: DataFrame) -> DataFrame:
+        """Intervals in the address space of all documents, as those of one document 0: operators on them cross documents, in one task."""
+        at = intervals.join(self.bases().select("doc", "base"), "doc")
+        return at.select(F.lit(0).cast("long").alias("doc"), (F.col("p") + F.col("base")).alias("p"), (F.col("q") + F.col("base")).alias("q"), "v", "n")
+
     def tokens(self) -> DataFrame:
         return T.tokens(self.docs, "doc", "text")
 

@@ -106,3 +106,16 @@ def bootstrap(trials: DataFrame, rounds: int = 1000, seed: int = 1) -> DataFrame
     drawn = draws.join(numbered.select(F.col("k").alias("pick"), "topic"), "pick").join(trials, "topic")
     means = drawn.groupBy("round", "trial").agg(F.avg("value").alias("value"))
     return means.groupBy("round").agg(F.max_by("trial", F.struct(F.round("value", 12), -F.col("trial"))).alias("trial")).groupBy("trial").agg(F.count("*").alias("wins"))
+
+
+def running_mean(scores: DataFrame) -> DataFrame:
+    """scores (step, value) with the mean of the values so far."""
+    return scores.withColumn("mean", F.avg("value").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def training_triples(topics: DataFrame, better: DataFrame, texts: DataFrame) -> DataFrame:
+    """One tab-separated line "topic text, better text, worse text" for each preference (topic, doc, worse)."""
+    flat = lambda c: F.regexp_replace(c, r"\s+", " ")
+    j = better.join(topics.select("topic", F.col("text").alias("question")), "topic").join(texts.select("doc", F.col("text").alias("one")), "doc")
+    j = j.join(texts.select(F.col("doc").alias("worse"), F.col("text").alias("two")), "worse")
+    return j.select("topic", "doc", "worse", F.concat_ws("\t", flat(F.col("question")), flat(F.col("one")), flat(F.col("two"))).alias("line"))

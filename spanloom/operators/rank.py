@@ -16,6 +16,8 @@ from . import stats as S
 
 DIGITS = 6
 DEFAULTS = {"bm25": {"b": 0.25, "k1": 0.5}, "lmd": {"mu": 2000.0}, "ssr": {"K": 42.0}, "rsj": {"expansions": 25, "depth": 10, "gamma": 0.2}, "kld": {"expansions": 8, "depth": 16, "window": 64, "gamma": 1 / 3}, "tiered": {"delta": 1.0}, "qap": {"depth": 5, "length": 64, "passages": 32, "window": 64}}
+#: Ranges that parameters are drawn from when tuning: (least, most, whether on a log scale).
+RANGES = {"bm25": {"b": (0.0, 1.0, False), "k1": (0.01, 1000.0, True)}, "lmd": {"mu": (100.0, 10000.0, False)}, "ssr": {"K": (1.0, 1000.0, True)}, "tiered": {"delta": (0.0, 10.0, False)}}
 DEPTH = 1000
 #: Query terms that are broadcast at most; a larger query set joins by shuffle.
 BROADCAST_TERMS = 1_000_000
@@ -29,6 +31,16 @@ def param(model: str, name: str, given: dict | None) -> float:
     return given.get(f"{model}:{name}", given.get(name, DEFAULTS[model][name]))
 
 
+def random_params(model: str, trials: int, seed: int = 0) -> list[dict[str, float]]:
+    """Parameters of a model drawn at random, the same for the same seed; the first trial is the default."""
+    import math
+    import random
+
+    rng = random.Random(f"{model}:{seed}")
+    draw = lambda lo, hi, log: math.exp(rng.uniform(math.log(lo), math.log(hi))) if log else rng.uniform(lo, hi)
+    return [dict(DEFAULTS[model]), *({k: draw(*r) for k, r in RANGES[model].items()} for _ in range(trials - 1))][:trials]
+
+
 def few(df: DataFrame) -> bool:
     return df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
 

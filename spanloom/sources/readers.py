@@ -73,6 +73,12 @@ def duplicate_map(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim(F.col("f")[0]).alias("canonical"), F.explode(F.split(F.col("f")[1], ",")).alias("duplicate")).select("canonical", F.trim("duplicate").alias("duplicate")).where("duplicate <> ''")
 
 
+def sparse_vectors(rows: DataFrame, json_col: str = "json", id_key: str = "docid", vector_key: str = "splade_vector") -> DataFrame:
+    """(doc, term, v) of JSON rows {docid, splade_vector: {dimension: weight}}: the positive whole weights."""
+    parsed = rows.select(F.get_json_object(json_col, f"$.{id_key}").alias("doc"), F.from_json(F.get_json_object(json_col, f"$.{vector_key}"), "map<string,double>").alias("m"))
+    return parsed.select("doc", F.explode("m").alias("term", "v")).where("v > 0 and v = floor(v)").withColumn("v", F.col("v").cast("long"))
+
+
 def write_run(lines: DataFrame, path: str) -> None:
     lines.orderBy("topic", "rank").select("line").write.mode("overwrite").text(path)
 
