@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import stem as ST
+from .functions import stem
 from .functions import text as T
 from .model import Collection
 from .operators import evaluate as E
@@ -17,7 +17,7 @@ from .operators import stats as S
 from .plans.expr import Infix
 from .sources import jsonpaths as J
 from .sources import readers
-from .streaming import store as ST_STORE
+from .streaming import store as versioned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,7 +116,7 @@ query("docno_clean", "SELECT doc_id, source || '-' || doc_id AS docno FROM docum
 query("path_okay", "SELECT page_id, CASE WHEN contains(url, '/') THEN url ELSE './' || url END AS path, lower(substr(url, 1, 4)) IN ('y', 'yes', 'true', 'okay', 'ok', 'on') AS truthy FROM pages")(
     lambda s, d: table(s, d, "pages").select("page_id", T.normal_path(F.col("url")).alias("path"), T.okay(F.substring("url", 1, 4)).alias("truthy"))
 )
-query("stem_vocab")(lambda s, d: ST.stem_vocabulary(S.words(documents(s, d).docs).select(F.explode("words").alias("word"))))
+query("stem_vocab")(lambda s, d: stem.stem_vocabulary(S.words(documents(s, d).docs).select(F.explode("words").alias("word"))))
 
 # --- cursor primitives, postings and counts
 
@@ -217,7 +217,7 @@ query("stat_tf_range", f"WITH {TERMS} SELECT doc, term, count(*) AS tf FROM term
     lambda s, d: S.words(documents(s, d).docs).select("doc", F.explode(F.slice("words", 11, 50)).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
 )
 query("forage_tf_idf", f"WITH {TOK}, {LINES}, t AS (SELECT l.doc, l.p, lower(word) AS term, count(*) AS n FROM line l JOIN tok ON tok.doc = l.doc AND pos BETWEEN l.p AND l.q GROUP BY ALL) SELECT 'tf:' || term AS feature, doc, p, p AS q, n FROM t UNION ALL SELECT 'df:' || term, min(doc), 0, 0, count(*) FROM t GROUP BY term")(
-    lambda s, d: ST_STORE.forage(documents(s, d), documents(s, d).lines(), ST_STORE.tf_idf_forager).select("feature", "doc", "p", "q", "n")
+    lambda s, d: versioned.forage(documents(s, d), documents(s, d).lines(), versioned.tf_idf_forager).select("feature", "doc", "p", "q", "n")
 )
 
 # --- ranking
@@ -477,7 +477,7 @@ def _scratch(spark: SparkSession) -> str:
 
 
 def _store(s, d):
-    st = ST_STORE.Store(s, _scratch(s))
+    st = versioned.Store(s, _scratch(s))
     docs = documents(s, d).docs
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
     for part in (english, ~english):  # two commits
@@ -513,9 +513,9 @@ def dyn_compact(s, d):
 
 @query("dyn_stream_ingest", _ALL)
 def dyn_stream_ingest(s, d):
-    st = ST_STORE.Store(s, _scratch(s))
+    st = versioned.Store(s, _scratch(s))
     docs = table(s, d, "documents")
     stream = s.readStream.schema(docs.schema).parquet(f"{d}/documents.parque[t]").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    q = stream.writeStream.foreachBatch(ST_STORE.commit_batches(st)).option("checkpointLocation", st.path + "-progress").trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(versioned.commit_batches(st)).option("checkpointLocation", st.path + "-progress").trigger(availableNow=True).start()
     q.awaitTermination()
     return _sizes(st.snapshot().docs())
