@@ -44,10 +44,6 @@ def with_blocks(keyed: DataFrame, block_of) -> DataFrame:
     return df.withColumns({"lo": F.least("block", "_j"), "hi": F.greatest("block", "_j")}).drop("_j", "blocks")
 
 
-class Group:
-    """Columns of a batch of sorted rows as numpy arrays, with group bounds."""
-
-
 def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest index that each of n rows reaches by the pairs (i, j)."""
     label = np.arange(n)
