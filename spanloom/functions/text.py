@@ -9,7 +9,7 @@ ASCII = "[A-Za-z0-9]+"
 XML = r"</?[A-Za-z_][A-Za-z0-9_.\-]*[^\n>]*>|&[^ \n;]*;|[A-Za-z0-9]+"
 _IDEO = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{17000}-\x{187F7}\x{18D00}-\x{18D08}\x{20000}-\x{323AF}"
 UTF8 = rf"[{_IDEO}\x{{FDD0}}-\x{{FDEF}}]|\p{{So}}|[\p{{L}}\p{{M}}\p{{N}}&&[^{_IDEO}]]+"
-TRUTHY = ["y", "Y", "yes", "Yes", "YES", "on", "On", "ON", "true", "True", "TRUE", "okay", "Okay", "OKAY", "ok", "Ok", "OK"]
+TRUTHY = sorted({f for w in ("y", "yes", "on", "true", "okay", "ok") for f in (w, w.capitalize())} | {"OK"})
 
 
 def _all(text: Column, pattern: str) -> Column:

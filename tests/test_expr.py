@@ -7,16 +7,16 @@ from spanloom.plans.expr import Infix, QueryError, expand_phrases, optimize, par
 @pytest.fixture()
 def session():
     m = Infix()
-    assert m.read('foo = "foo"') is None and m.read('bar = "bar"') is None
+    assert m.read('sun = "sun"') is None and m.read('moon = "moon"') is None
     return m
 
 
 @pytest.mark.parametrize(
     ("query", "want"),
     [
-        ('("foo" and "bar") or ("hello" ...  "world")', '(+ (^ "foo" "bar") (... "hello" "world"))'), ('"foo" <> "bar"', '(... "foo" "bar")'), ("bar contained in foo", '(<< "bar" "foo")'), ("bar containing foo", '(>> "bar" "foo")'),
-        ("bar not contained in foo", '(!< "bar" "foo")'), ("bar not containing foo", '(!> "bar" "foo")'), ("bar /> foo", '(!> "bar" "foo")'), ('2 of (foo, "hello", bar)', '(2 "bar" "hello" "foo")'), ('1 of (foo, "hello", bar)', '(+ "bar" "hello" "foo")'),
-        ('all of (foo, "hello", bar)', '(^ "bar" "hello" "foo")'), ('3 of (foo, "hello", bar)', '(^ "bar" "hello" "foo")'), ("[100]", "(# 100)"), ("99 words", "(# 99)"), ("foo and (bar or [10])", '(^ "foo" (+ "bar" (# 10)))'), ("foo < [7]", '(<< "foo" (# 7))'),
+        ('("sun" and "moon") or ("star" ...  "sky")', '(+ (^ "sun" "moon") (... "star" "sky"))'), ('"sun" <> "moon"', '(... "sun" "moon")'), ("moon contained in sun", '(<< "moon" "sun")'), ("moon containing sun", '(>> "moon" "sun")'),
+        ("moon not contained in sun", '(!< "moon" "sun")'), ("moon not containing sun", '(!> "moon" "sun")'), ("moon /> sun", '(!> "moon" "sun")'), ('2 of (sun, "star", moon)', '(2 "moon" "star" "sun")'), ('1 of (sun, "star", moon)', '(+ "moon" "star" "sun")'),
+        ('all of (sun, "star", moon)', '(^ "moon" "star" "sun")'), ('3 of (sun, "star", moon)', '(^ "moon" "star" "sun")'), ("[250]", "(# 250)"), ("44 words", "(# 44)"), ("sun and (moon or [10])", '(^ "sun" (+ "moon" (# 10)))'), ("sun < [7]", '(<< "sun" (# 7))'),
     ],
 )
 def test_infix(session, query, want):
@@ -26,9 +26,9 @@ def test_infix(session, query, want):
 @pytest.mark.parametrize(
     ("query", "why"),
     [
-        ("so *&(&", "Undefined symbol."), ('2 of foo, "hello", bar)', 'Missing "(" after start of combination operator.'), ('2 of (foo, "hello", bar', 'Missing ")".'), ('999 of (foo, "hello", bar)', "Too few elements on right-hand side of combination operator."),
-        ("one words", 'Expected "^" or "of" after "one".'), ("0 words", 'The expression "0 words" is not valid.'), ("99 bottles of beer", 'Integer not followed by  "^" or "of" or "words".'), ("foo and (bar or [0])", 'The expression "[0]" is not valid.'),
-        ("foo and (bar or [10)", 'Missing "]".'), ("foo and (bar or [iiiii])", 'Missing integer after "[".'), ('2 of (foo, "hello, bar)', "End of quoted string missing."), ('2 of (foo, "hello", bar)  ....', "Unexpected character in input."),
+        ("nowhere *&", "Undefined symbol."), ('2 of sun, "star", moon)', 'Missing "(" after start of combination operator.'), ('2 of (sun, "star", moon', 'Missing ")".'), ('77 of (sun, "star", moon)', "Too few elements for the combination."),
+        ("one words", 'Expected "^" or "of" after "one".'), ("0 words", 'The expression "0 words" is not valid.'), ("12 grey cats of mine", 'An integer needs "words", "of" or "^" after it.'), ("sun and (moon or [0])", 'The expression "[0]" is not valid.'),
+        ("sun and (moon or [10)", 'Missing "]".'), ("sun and (moon or [many])", 'Missing integer after "[".'), ('2 of (sun, "star, moon)', "End of quoted string missing."), ('2 of (sun, "star", moon)  ....', "Unexpected character in input."),
     ],
 )
 def test_infix_errors(session, query, why):
@@ -41,15 +41,19 @@ def _count(t):
     return float(t) if t.isdigit() else 0.0
 
 
+def _restricted(a, b, container):
+    return f"(materialize (<< (^ {a} {b}) {container}))"
+
+
 @pytest.mark.parametrize(
     ("query", "want"),
     [
-        ("(<< (^ 30 10 20) 5)", "(materialize (<< (^ (materialize (<< (^ 10 20) 5)) 30) 5))"), ("(<< (^ cat 30 10) 5)", "(materialize (<< (^ (materialize (<< (^ cat 10) 5)) 30) 5))"),
-        ("(<< (^ 30 (# 3) 10) 5)", "(materialize (<< (^ (materialize (<< (^ 10 30) 5)) (# 3)) 5))"), ("(<< (^ 30 10) 5)", "(<< (^ 30 10) 5)"), ("(<< (^ 30 (... 10 20) 5) 1)", "(<< (^ 30 (... 10 20) 5) 1)"), ("(>> (^ 30 10 20) 5)", "(>> (^ 30 10 20) 5)"), ('"30 10 20"', "(>> (# 3) (... 30 10 20))"),
+        ("(<< (^ 9 3 6) q)", _restricted(_restricted(3, 6, "q"), 9, "q")), ("(<< (^ owl 9 3) q)", _restricted(_restricted("owl", 3, "q"), 9, "q")), ("(<< (^ 9 (# 4) 3) q)", _restricted(_restricted(3, 9, "q"), "(# 4)", "q")),
+        ("(<< (^ 9 3 6 12) (# 8))", _restricted(_restricted(_restricted(3, 6, "(# 8)"), 9, "(# 8)"), 12, "(# 8)")), ("(<< (^ 9 3) q)", None), ("(<< (^ 9 (... 3 6) q) r)", None), ("(>> (^ 9 3 6) q)", None), ("(<< (^ 9 3 6) (... q r))", None),
     ],
 )
 def test_optimizer(query, want):
-    assert str(optimize(expand_phrases(parse(query), split_ascii), _count)) == want
+    assert str(optimize(parse(query), _count)) == (want or query)
 
 
 def test_parser():
