@@ -29,7 +29,7 @@ BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 17, 8, 60, 0.05, 7
 #: Least two-proportion z score of a bucket that gets a vector of its own, and the decay of vectors.
 LEAST_Z, DECAY = 4.0, 1e-5
 NGRAMS = (3, 4, 5, 6)
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 _EDGE = re.compile(r"^[^\w@$]+|[^\w@$]+$")
 
 
@@ -44,11 +44,16 @@ def normal(word: str) -> str:
 
 def ngram_ids(vocabulary: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(buckets of the n-grams of every word on end, number of n-grams of each word); <word> itself is one of them."""
+    parts = [_ngram_ids(vocabulary[a : a + 20_000], buckets) for a in range(0, len(vocabulary), 20_000)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _ngram_ids(vocabulary: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     text = "".join(f"<{w}>" for w in vocabulary)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lens = np.fromiter((len(w) + 2 for w in vocabulary), np.int64, len(vocabulary))
     ends = np.cumsum(lens)
-    word = np.repeat(np.arange(len(lens)), lens)
+    word = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
     room = np.repeat(ends, lens) - np.arange(len(codes))
     ids, owners = [], []
     with np.errstate(over="ignore"):
@@ -64,7 +69,7 @@ def ngram_ids(vocabulary: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray
                 owners.append(word[ok])
         whole = np.fromiter((hash_word(w) for w in vocabulary), np.uint64, len(vocabulary))
     ids.append((C.mix64(whole) % np.uint64(buckets)).astype(np.int32))
-    owners.append(np.arange(len(lens)))
+    owners.append(np.arange(len(lens), dtype=np.int32))
     ids, owners = np.concatenate(ids), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
     return ids[order], np.bincount(owners, minlength=len(lens))
@@ -127,7 +132,7 @@ class SubwordSoftmax:
         told = np.abs(z) >= LEAST_Z
         e[told] = rng.standard_normal((int(told.sum()), DIM)) * 0.01
         keep = told[ng]
-        word_of = np.repeat(np.arange(len(nc)), nc)[keep]
+        word_of = np.repeat(np.arange(len(nc), dtype=np.int32), nc)[keep]
         ng = ng[keep]
         kept = np.bincount(word_of, minlength=len(nc))
         inv_n = (1 / nc).astype(np.float32)[:, None]
