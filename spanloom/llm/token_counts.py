@@ -109,4 +109,5 @@ def document_token_counts(docs: DataFrame, tokenizer: str | None = None) -> Data
     spark: SparkSession = docs.sparkSession
     written = write_token_files(docs, C.new_path(spark, "tokens") + "-flat", tokenizer)
     counts = count_tokens(written.where("ordinal is null").select("file", "bytes"))
-    return written.where("ordinal is not null").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # as Parquet these rows are a few bits each: without the hint the size of the file would pass for a small table
+    return written.where("ordinal is not null").hint("merge").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
