@@ -30,16 +30,39 @@ BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 17, 8, 60, 0.05, 7
 LEAST_Z, DECAY = 4.0, 1e-5
 NGRAMS = (3, 4, 5, 6)
 CACHE_WORDS = 300_000
+#: Characters of a run without white space that stands as one word; longer ones are taken apart into words and windows of WINDOW characters.
+LONG, WINDOW = 64, 16
 _EDGE = re.compile(r"^[^\w@$]+|[^\w@$]+$")
+_INK = re.compile(r"[\w@$]")
+#: Joints of a long run: separators between two characters of words on either side, so that l.e.t.t.e.r.s stay together.
+_JOINT = re.compile(r"(?<=(?:[^\W_]|[@$])(?:[^\W_]|[@$]))(?:[^\w@$]|_)+(?=(?:[^\W_]|[@$]){2})")
 
 
 def words(text: str) -> list[str]:
-    """Distinct lower-case words as they stand; normal() takes punctuation off them."""
-    return list(set(text.lower().split()))
+    """Distinct lower-case words as they stand, long ones in pieces; normal() takes punctuation off them."""
+    own = set(text.lower().split())
+    for w in [w for w in own if len(w) > LONG]:
+        own.discard(w)
+        own.update(pieces(w))
+    return list(own)
+
+
+def pieces(run: str) -> Iterator[str]:
+    """The words of a run beyond LONG characters: cut at joints, then into windows that overlap, so that each n-gram lies in one."""
+    if not (first := _INK.search(run)):
+        return
+    run = run[first.start() : len(run) - _INK.search(run[::-1]).start()]
+    for part in _JOINT.split(run) if len(run) > LONG else [run]:
+        if len(part) <= LONG:
+            yield part
+        else:
+            step = WINDOW - max(NGRAMS) + 1
+            for a in range(0, len(part) - WINDOW + step, step):
+                yield part[a : a + WINDOW]
 
 
 def normal(word: str) -> str:
-    return _EDGE.sub("", word)[:64]
+    return _EDGE.sub("", word)
 
 
 def ngram_ids(vocabulary: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:

@@ -190,6 +190,21 @@ def test_toxicity_learns_and_generalises(spark):
     assert score(["kalo mine grublixx snarrfok"])[0] > score(["kalo mine tavo zilo"])[0]  # misspelt
 
 
+def test_toxicity_reads_runs_without_white_space():
+    rng = random.Random(9)
+    texts = [random_text(rng, 40) + " grublix snarfok wuzzlep" * (i % 4 == 0) for i in range(400)]
+    m = toxicity.SubwordSoftmax.fit(texts, np.array([int(i % 4 == 0) for i in range(400)]))
+    score = toxicity.Scorer(m.odds, m.prior).scores
+    clean = random_text(rng, 40).split()
+    for joint in (",", "/", ".", "_", ""):
+        run = joint.join(clean)
+        low, high = score([run, joint.join([run, "grublix", "snarfok", "wuzzlep"])])
+        assert low < 0.3 < high, joint
+    run = "".join(clean)
+    parts = list(toxicity.pieces(run))
+    assert max(map(len, parts)) <= toxicity.LONG and all(any(run[k : k + 6] in p for p in parts) for k in range(len(run) - 5))
+
+
 def test_toxicity_odd_rows(spark, odd, empty, clashing):
     labels = spark.createDataFrame([(1, 1, 0), (6, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
     for docs in (odd, clashing):
