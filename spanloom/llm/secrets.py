@@ -28,7 +28,7 @@ CLASSES = {"hexadecimal": (re.compile(r"[0-9a-fA-F]+"), 16, 2.9), "alphanumeric"
 ALLOW = [
     re.compile(r"(?i)example|sample|placeholder|changeme|your[-_]?(key|token|secret)|x{6,}|lorem"),
     re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I),
-    re.compile(r"(?:[A-Za-z0-9]*[/_=-])*[A-Za-z]*[/_=-]*(?:[A-Za-z]+[/_=-]+)*[A-Za-z]*"),  # words, paths and identifiers without a digit at the end
+    re.compile(r"(?:[A-Za-z]*[0-9]{0,4}[/_=-])*(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,4}|(?<!=))"),  # words, paths and identifiers: each segment letters, a short number or both, no padding at the end
     re.compile(r"(.)\1{7,}.*"),
 ]
 #: The order in which spans that start together are listed.

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, on odd rows, on an empty table and beside clashing columns."""
 
+import base64
 import hashlib
 import math
 import random
@@ -427,6 +428,18 @@ def test_secrets(spark):
     assert [r.text for r in secrets.redact_secrets(df).where("doc_id in (0, 8)").orderBy("doc_id").collect()] == ["[SECRET]\"", None]
 
 
+def test_secrets_finds_base64_keys():
+    rng = random.Random(5)
+    for size, least in ((16, 0.75), (20, 0.85), (24, 0.9), (30, 0.95), (32, 0.95)):
+        for encode in (base64.b64encode, base64.urlsafe_b64encode):
+            for padding in ("", "="):
+                keys = [k if padding else k.rstrip("=") for k in (encode(rng.randbytes(size)).decode() for _ in range(500))]
+                assert np.mean([secrets.all_spans(f"key {k} here")[1] == [(4, 4 + len(k), "entropy")] for k in keys]) > least, (size, encode, padding)
+    assert secrets.is_secret_like("q8Zt3LmP0xW7vRb2NcY5Kg==")
+    for plain in ("src/main/java/com/foo/Bar2/java", "some-file-name-2024-11-25-final", "user_id_session_table_v2"):
+        assert not secrets.is_secret_like(plain)
+
+
 def test_window_entropy_by_brute_force():
     rng = random.Random(3)
     for _ in range(200):
