@@ -9,6 +9,7 @@ joining directories with their ancestors.
 from __future__ import annotations
 
 import math
+import pkgutil
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -42,8 +43,14 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved."),
 ]
+#: Licenses whose full texts, in license_texts, whole texts are compared with.
+FILES = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"]
+#: Counts only where no license matches: texts under any license say so too.
+CLAIM = "Proprietary"
 #: Least cosine of a line with a template, and of a whole text that counts as a license file.
 LINE, WHOLE = 0.75, 0.7
+#: Terms of a header at most that is wrapped over several lines.
+HEADER_TERMS = 64
 #: Directories whose licenses are broadcast at most.
 BROADCAST_DIRECTORIES = 20_000
 
@@ -54,10 +61,50 @@ def terms(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
+class FileMatcher:
+    """TF-IDF vectors of full license texts; counts are damped, or the articles of any long text would be most of its vector."""
+
+    def __init__(self, names: list[str] = FILES, whole: float = WHOLE):
+        self.names = names
+        bags = [Counter(terms(pkgutil.get_data(__package__, f"license_texts/{n}.txt").decode())) for n in names]
+        df = Counter(w for b in bags for w in b)
+        self.idf = {w: 1 + math.log((1 + len(bags)) / (1 + n)) for w, n in df.items()}
+        self.unseen = 1 + math.log(1 + len(bags))
+        self.postings: dict[str, list[tuple[int, float]]] = {}
+        #: distinct words of a template that a text needs at least, by Cauchy and Schwarz
+        self.least = len(df)
+        for i, b in enumerate(bags):
+            weights = {w: (1 + math.log(c)) * self.idf[w] for w, c in b.items()}
+            norm = math.sqrt(sum(x * x for x in weights.values()))
+            rest, need = whole * whole, 0
+            for x in sorted(weights.values(), reverse=True):
+                if rest <= 0:
+                    break
+                rest, need = rest - (x / norm) ** 2, need + 1
+            self.least = min(self.least, need)
+            for w, x in weights.items():
+                self.postings.setdefault(w, []).append((i, x / norm))
+
+    def best(self, text: str) -> tuple[float, str | None]:
+        """(cosine, license) of the nearest text, (0, None) where too few words are shared for any."""
+        found = terms(text)
+        if len(self.postings.keys() & (distinct := set(found))) < self.least:
+            return 0.0, None
+        bag, score, total = Counter(found), [0.0] * len(self.names), 0.0
+        for w in distinct:
+            x = (1 + math.log(bag[w])) * self.idf.get(w, self.unseen)
+            total += x * x
+            for i, y in self.postings.get(w, ()):
+                score[i] += x * y
+        i = max(range(len(score)), key=lambda k: (score[k], -k))
+        return score[i] / math.sqrt(total), self.names[i]
+
+
 class Matcher:
     """TF-IDF vectors of templates, and the cosine of other texts with them."""
 
     def __init__(self, templates: list[tuple[str, str]] = TEMPLATES, line: float = LINE, whole: float = WHOLE):
+        self.files = FileMatcher(whole=whole)
         self.names, self.line, self.whole = [n for n, _ in templates], line, whole
         bags = [Counter(terms(t)) for _, t in templates]
         df = Counter(w for b in bags for w in b)
@@ -90,19 +137,71 @@ class Matcher:
         i = max(range(len(score)), key=lambda k: (score[k], -k))
         return (score[i] / norm if norm else 0.0), i
 
+    def wrapped(self, lines: list[str], cued: list[int], top: tuple) -> tuple:
+        """top, or a better (cosine, template, first line) of a header that goes over several lines, one of them in cued."""
+        found: dict[int, list[str]] = {}
+
+        def of(k: int) -> list[str]:
+            if k not in found:
+                found[k] = terms(lines[k])
+            return found[k]
+
+        starts: set[int] = set()
+        for k in cued:
+            a, size = k, 0
+            while a >= 0 and (size := size + len(of(a))) <= HEADER_TERMS and (a == k or a not in starts):
+                starts.add(a)
+                a -= 1
+        for a in sorted(starts):
+            if not any(w in self.postings for w in of(a)):
+                continue  # without this line the cosine is no smaller
+            bag: dict[str, int] = {}
+            score, norm, size, blank = [0.0] * len(self.names), 0.0, 0, 0
+            for b in range(a, len(lines)):
+                own = of(b)
+                size += len(own)
+                blank = 0 if own else blank + 1
+                if size > HEADER_TERMS or blank > 1:
+                    break
+                hit = False
+                for w in own:
+                    c = bag.get(w, 0)
+                    bag[w] = c + 1
+                    norm += (2 * c + 1) * self.idf.get(w, self.unseen) ** 2
+                    for i, x in self.postings.get(w, ()):
+                        hit = True
+                        score[i] += self.idf[w] * x
+                if b > a and hit:
+                    i = max(range(len(score)), key=lambda k: (score[k], -k))
+                    s = score[i] / math.sqrt(norm)
+                    if s >= self.line and s > top[0] + 1e-9 and self.names[i] != CLAIM:
+                        top = (s, i, a)
+        return top
+
     def scan(self, text: str) -> tuple[str | None, float, int | None, bool]:
         """(license, cosine, line number from 0, whether the text is a license file) of the line that matches best."""
         top: tuple = (0.0, 0, None)
-        if not self.cue.search(text.lower()):
+        claim: tuple = (0.0, 0, None)
+        file = self.files.best(text)
+        cue = self.cue.search(text.lower())
+        if not cue and file[0] < self.whole:
             return None, 0.0, None, False
-        for k, line in enumerate(text.split("\n")):
-            if self.cue.search(line.lower()):
-                s, i = self.best(line)
-                if s >= self.line and s > top[0]:
+        lines = text.split("\n") if cue else []
+        cued = [k for k, line in enumerate(lines) if self.cue.search(line.lower())]
+        for k in cued:
+            s, i = self.best(lines[k])
+            if s >= self.line:
+                if self.names[i] == CLAIM:
+                    claim = max(claim, (s, i, k), key=lambda x: x[0])
+                elif s > top[0]:
                     top = (s, i, k)
-        s, i = self.best(text) if len(text) < 100_000 or top[2] is None else (0.0, 0)
-        if s >= self.whole:
-            return self.names[i], s, top[2], True
+        top = self.wrapped(lines, cued, top)
+        s, i = self.best(text) if cue and (len(text) < 100_000 or top[2] is None) else (0.0, 0)
+        if file[0] >= self.whole and (file[0] >= s or self.names[i] == CLAIM):
+            return file[1], file[0], top[2], True
+        if s >= self.whole and (self.names[i] != CLAIM or top[2] is None):
+            return self.names[i], s, (claim if self.names[i] == CLAIM else top)[2], True
+        top = top if top[2] is not None else claim
         return (self.names[top[1]], top[0], top[2], False) if top[2] is not None else (None, 0.0, None, False)
 
 
@@ -129,7 +228,7 @@ def scan_licenses(docs: DataFrame, path) -> DataFrame:
     """
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_or_empty(), path.cast("string").alias("path")).mapInArrow(_scan, _FOUND_DDL)
     found = C.materialize(found.withColumn("directory", F.regexp_extract("path", "^(.*)/[^/]*$", 1)), "licenses")
-    files = found.where("is_file and path is not null").groupBy("directory").agg(F.min_by("license", F.struct(-F.col("score"), F.coalesce("doc_id", F.lit(2**63 - 1)))).alias("inherited"))
+    files = found.where("is_file and path is not null").groupBy("directory").agg(F.min_by("license", F.struct(-F.round("score", 9), F.coalesce("doc_id", F.lit(2**63 - 1)))).alias("inherited"))
     files = files.select(F.col("directory").alias("ancestor"), "inherited")
     directories = found.where("path is not null").select("directory").distinct()
     parts = F.split("directory", "/")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import pkgutil
 import random
 import re
 import zlib
@@ -356,6 +357,21 @@ def test_licenses(spark):
     assert got[3] == ("Proprietary", "inherited", "") and got[5] == (None, "none", None) and got[None] == ("Proprietary", "inherited", "")
 
 
+def test_license_files_and_wrapped_headers(spark):
+    m = licenses.Matcher()
+    for name in licenses.FILES:
+        text = pkgutil.get_data("spanloom.llm", f"license_texts/{name}.txt").decode()
+        got = m.scan("Copyright (c) 2020 Some Body. All rights reserved.\n\n" + text)
+        assert (got[0], got[3]) == (name, True) and got[1] > 0.9, name
+    header = "# Copyright 2021 Some Body\n# Licensed under the\n# Apache License,\n# Version 2.0.\n" + "lomi kato ruve " * 30
+    assert m.scan(header)[:1] + m.scan(header)[2:] == ("Apache-2.0", 1, False)
+    assert m.scan("All rights reserved.\nReleased under the MIT\nLicense, see there.\n" + "lomi kato ruve " * 30)[0] == "MIT"
+    assert m.scan("lomi kato ruve\nAll rights reserved.\n" + "lomi kato ruve " * 30)[0] == "Proprietary"
+    mit = pkgutil.get_data("spanloom.llm", "license_texts/MIT.txt").decode()
+    df = spark.createDataFrame([(1, "a/LICENSE", mit), (2, "a/b/c", "some text")], "doc_id long, path string, text string")
+    assert {r.doc_id: (r.license, r.found_in) for r in licenses.scan_licenses(df, df.path).collect()} == {1: ("MIT", "own"), 2: ("MIT", "inherited")}
+
+
 def test_license_cues_lose_nothing():
     m = licenses.Matcher()
     rng = random.Random(8)
