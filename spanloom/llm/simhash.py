@@ -24,11 +24,15 @@ from .components import connected_components
 from .pairing import link_pairs
 
 BITS, MAX_DISTANCE = 256, 48
-#: Sampled bits of a table, and tables, up to FULL_AT distinct fingerprints; plan_tables() says how they grow beyond.
-SAMPLE, TABLES, SEED = 14, 40, 11
+#: Sampled bits of a table up to FULL_AT distinct fingerprints; plan_tables() says how they grow beyond.
+SAMPLE, SEED = 14, 11
 FULL_AT = 5_000_000
-#: Share of differing bits of a near copy that the tables are planned for, and of documents that have nothing to do with each other.
-NEAR, FAR = 0.13, 0.41
+#: Probability at most that a pair at the largest distance meets in no table, whatever the number of fingerprints.
+MISS = 1e-3
+#: Share of differing bits of documents that have nothing to do with each other.
+FAR = 0.41
+#: Where the number of the table stands in a key, above the sampled bits.
+TAG = 48
 
 _INK = np.ones(256, bool)
 _INK[: 0x30] = False
@@ -38,13 +42,15 @@ _INK[0x7B:0x80] = False
 _SALT = np.array([0x1B873593A5A5A5A5, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def plan_tables(n: int) -> tuple[int, int]:
-    """(sampled bits, tables) for n distinct fingerprints: beyond FULL_AT the bits grow so that chance meetings don't, and the tables so that recall stays."""
-    if n <= FULL_AT:
-        return SAMPLE, TABLES
-    bits = SAMPLE + math.ceil(math.log(n / FULL_AT) / -math.log(1 - FAR))
-    miss = (1 - (1 - NEAR) ** SAMPLE) ** TABLES
-    return bits, math.ceil(math.log(miss) / math.log(1 - (1 - NEAR) ** bits))
+def plan_tables(n: int, max_distance: int = MAX_DISTANCE) -> tuple[int, int]:
+    """(sampled bits, tables) for n distinct fingerprints: beyond FULL_AT the bits grow so that chance meetings don't.
+
+    The tables are as many as it takes for a pair at max_distance to be missed
+    with probability MISS at most, at every n; nearer pairs are missed less.
+    """
+    bits = SAMPLE + (math.ceil(math.log(n / FULL_AT) / -math.log(1 - FAR)) if n > FULL_AT else 0)
+    meet = math.comb(BITS - max_distance, bits) / math.comb(BITS, bits)
+    return bits, math.ceil(math.log(MISS) / math.log1p(-meet)) if 0 < meet < 1 else 1
 
 
 def samples(bits: int, tables: int) -> np.ndarray:
@@ -108,7 +114,7 @@ def simhash(docs: DataFrame) -> DataFrame:
 
 
 def _load(table: pa.Table):
-    return np.stack([table.column(f).to_numpy() for f in _FP], axis=1).view(np.uint64), table.column("key").to_numpy() >> 56
+    return np.stack([table.column(f).to_numpy() for f in _FP], axis=1).view(np.uint64), (table.column("key").to_numpy().view(np.uint64) >> np.uint64(TAG)).astype(np.int64)
 
 
 def _matcher(masks: np.ndarray, most: int):
@@ -118,6 +124,8 @@ def _matcher(masks: np.ndarray, most: int):
         ok = np.bitwise_count(x).sum(1, dtype=np.int64) <= most
         near = np.flatnonzero(ok)
         for t in range(len(masks)):
+            if not len(near):
+                break
             near = near[(table[i[near]] <= t) | (x[near] & masks[t]).any(1)]  # else the pair met in table t already
         ok[:] = False
         ok[near] = True
@@ -140,7 +148,7 @@ def simhash_groups(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFra
     rows = C.materialize(simhash(docs), "simhash")
     classes = rows.groupBy(*_FP).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
     classes = C.materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    bits, tables = plan_tables(classes.count())
+    bits, tables = plan_tables(classes.count(), max_distance)
     sample = samples(bits, tables)
     masks = np.zeros((tables, BITS), np.uint8)
     for t, s in enumerate(sample):
@@ -154,7 +162,7 @@ def simhash_groups(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFra
                 b = whole.slice(a, 2000)
                 f = np.stack([b.column(k).to_numpy() for k in _FP], axis=1).view(np.uint8)
                 on = np.unpackbits(f, axis=1, bitorder="little").astype(np.uint64)
-                key = np.stack([(on[:, s] * weights).sum(1) | np.uint64(t << 56) for t, s in enumerate(sample)], axis=1)
+                key = np.stack([(on[:, s] * weights).sum(1) | np.uint64(t << TAG) for t, s in enumerate(sample)], axis=1)
                 take = np.repeat(np.arange(b.num_rows), tables)
                 out = pa.RecordBatch.from_arrays([b.column(c) for c in ("id", "n", *_FP)], names=["id", "n", *_FP]).take(pa.array(take))
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), *out.columns], names=["key", *out.schema.names])

@@ -298,6 +298,20 @@ def test_simhash_groups(spark, corpus, monkeypatch, block):
         assert got == want
 
 
+def test_simhash_tables_meet_pairs_at_the_limit():
+    rng = np.random.default_rng(1)
+    flips = np.array([rng.permutation(simhash.BITS)[: simhash.MAX_DISTANCE] for _ in range(4000)])
+    differ = np.zeros((4000, simhash.BITS), bool)
+    np.put_along_axis(differ, flips, True, 1)
+    for n in (1000, 5_000_000, 12_000_000, 30_000_000):
+        bits, tables = simhash.plan_tables(n)
+        assert bits <= simhash.TAG
+        met = np.zeros(4000, bool)
+        for s in simhash.samples(bits, tables):
+            met |= ~differ[:, s].any(1)
+        assert met.mean() > 0.996, n
+
+
 def test_simhash_finds_near_copies(spark, corpus):
     got = {r.doc_id: r.component_id for r in simhash.simhash_groups(frame(spark, corpus)).collect()}
     words = {i: t.split() for i, t, *_ in corpus}
