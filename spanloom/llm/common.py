@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ CHUNK_BYTES = 1 << 21
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or, in local mode only, a new one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -37,6 +40,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it is read as fewer splits, as a small file of one row group is; larger tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -77,8 +86,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_WHITE = np.zeros(256, bool)
-_WHITE[list(WHITE)] = True
+#: By byte: whether it is white space.
+is_white = np.zeros(256, bool)
+is_white[list(WHITE)] = True
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
@@ -101,7 +111,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, inked: np.ndarray = ~_WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, offsets: np.ndarray, inked: np.ndarray = ~is_white) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of consecutive rows: (start, end, words of each row).
 
     start and end count from offsets[0]; a word never spans two rows.  inked: the

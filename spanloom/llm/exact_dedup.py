@@ -158,7 +158,7 @@ def _own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text).
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text), n_points and text_key (of the text itself: its code points and a hash).
 
     Of equal texts the row with the most code points in its original text, then
     the smallest doc_id, stays.  A null text counts as empty; a null doc_id
@@ -172,7 +172,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     parts = base.mapInArrow(_combine, _PART_DDL)
     owned = parts.repartition("size", "route").sortWithinPartitions("size", "route").mapInArrow(_own, _OWNED_DDL)
     plain = F.translate("text", C.WHITE.decode(), "")
-    links = base.select("doc_id", "salt", F.unhex(F.sha2(F.encode(plain, "UTF-8"), 256)).alias("digest"))
+    links = base.select("doc_id", "salt", F.unhex(F.sha2(F.encode(plain, "UTF-8"), 256)).alias("digest"), F.length("text").cast("long").alias("n_points"), F.xxhash64("text").alias("text_key"))
     return links.join(owned, ["digest", "salt"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "n_points", "text_key"
     )
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """doc_id and text_key of the row that stays of each group of equal texts; of rows that repeat a doc_id the longest, then the one of the smallest text_key."""
+    first = F.min_by(F.struct("doc_id", "text_key"), F.struct(-F.col("n_points"), "text_key")).alias("first")
+    return exact_dedup(docs).where("kept").groupBy("text_sha256").agg(first).select("first.doc_id", "first.text_key")

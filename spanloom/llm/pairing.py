@@ -17,29 +17,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a bucket beyond which it is split.
-BLOCK = 4096
+#: Rows of a group that are compared in one task at most, about: a bucket of n rows is cut into 2 n / BLOCK blocks.
+BLOCK = 32768
 #: Oversized keys that are broadcast at most; with more of them the join shuffles.
 BROADCAST_KEYS = 50_000
-#: Pairs that a kernel compares at once.
-PAIRS = 1 << 17
+#: Rows that are held before their groups are compared, and pairs that a kernel compares at once.
+HELD, PAIRS = 1 << 14, 1 << 17
+#: Rows that are compared one by one at most; more of them are compared as a matrix.
+FEW = 32
 
 OUT = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
 OUT_DDL = "id long, other long, links long"
 
 
-def with_blocks(keyed: DataFrame, block_of) -> DataFrame:
-    """Add lo, hi (the pair of blocks a row takes part in) and block; keyed has `key` and is read twice.
+class Kernel:
+    """How rows of a group are compared; load() is given a table of groups, the others what it returns."""
 
-    block_of: a Column that spreads a bucket's rows, here the additional bits.
-    """
-    big = keyed.groupBy("key").agg(F.count("*").alias("n_key")).where(F.col("n_key") > BLOCK)
-    big = big.select("key", F.ceil(F.col("n_key") / F.lit(BLOCK // 2)).cast("int").alias("blocks"))
-    found = big.limit(BROADCAST_KEYS + 1).count()
+    #: How often the rows of a group are divided, each time by other codes, before those that stay together are compared.
+    divisions = 1
+
+    def load(self, table: pa.Table):
+        raise NotImplementedError
+
+    def codes(self, state, s: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """(rows that division s takes in, their codes); None: all of them, undivided."""
+        return None
+
+    def near(self, state, rows: np.ndarray) -> Callable:
+        """A function of two ranges of rows: a matrix that is true where a row of the one may be a link with a row of the other."""
+        raise NotImplementedError
+
+    def match(self, state, i: np.ndarray, j: np.ndarray, s: int) -> np.ndarray:
+        """The mask of the pairs (i, j) that are links and meet here, in division s, for the first time."""
+        raise NotImplementedError
+
+
+def oversized(keyed: DataFrame, share: int, most: int) -> tuple[DataFrame, int]:
+    """(key, n_key), about, of the keys that more than `most` rows have, and their number up to BROADCAST_KEYS + 1; keyed holds one of every `share` rows."""
+    big = keyed.groupBy("key").agg((F.count("*") * share).alias("n_key")).where(F.col("n_key") > most)
+    return big, big.limit(BROADCAST_KEYS + 1).count()
+
+
+def sample_of(rows: DataFrame, share: int) -> DataFrame:
+    """One of every `share` rows, by a hash of id."""
+    return rows.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(share)) == 0) if share > 1 else rows
+
+
+def hinted(big: DataFrame, found: int) -> DataFrame:
+    return F.broadcast(big) if found <= BROADCAST_KEYS else big
+
+
+def with_blocks(keyed: DataFrame, big: DataFrame, found: int, block: int) -> DataFrame:
+    """keyed with lo, hi (the pair of blocks a row takes part in) and block; big, found: oversized()'s."""
     if not found:
         return keyed.withColumns({"block": F.lit(0), "lo": F.lit(0), "hi": F.lit(0)})
-    df = keyed.join(F.broadcast(big) if found <= BROADCAST_KEYS else big, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    df = df.withColumn("block", F.pmod(block_of, F.col("blocks").cast("long")).cast("int"))
+    big = big.select("key", F.ceil(F.col("n_key") / F.lit(max(1, block // 2))).cast("int").alias("blocks"))
+    df = keyed.join(hinted(big, found), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    df = df.withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks").cast("long")).cast("int"))
     df = df.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return df.withColumns({"lo": F.least("block", "_j"), "hi": F.greatest("block", "_j")}).drop("_j", "blocks")
 
@@ -58,27 +92,23 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compare(batches: Iterable[pa.RecordBatch], load: Callable, match: Callable) -> Iterator[pa.RecordBatch]:
-    """Run over rows sorted by (key, lo, hi).
-
-    load(table) gives what match(state, i, j) needs; match gives the mask of the
-    pairs (i, j) that are links and meet here for the first time.
-    """
+def compare(batches: Iterable[pa.RecordBatch], kernel: Kernel) -> Iterator[pa.RecordBatch]:
+    """Run over rows sorted by (key, lo, hi, block)."""
     held: list[pa.Table] = []
-    rows = 0
+    rows, full = 0, HELD
     for batch in batches:
-        t = pa.Table.from_batches([batch])
-        held.append(t)
-        rows += t.num_rows
-        if rows < 4 * BLOCK:
+        held.append(pa.Table.from_batches([batch]))
+        rows += batch.num_rows
+        if rows < full:
             continue
         table = pa.concat_tables(held).combine_chunks()
         cut = _last_start(table)
         if cut:
-            yield from _groups(table.slice(0, cut), load, match)
+            yield from _groups(table.slice(0, cut), kernel)
         held, rows = [table.slice(cut)], table.num_rows - cut
+        full = max(HELD, 2 * rows)
     if held:
-        yield from _groups(pa.concat_tables(held).combine_chunks(), load, match)
+        yield from _groups(pa.concat_tables(held).combine_chunks(), kernel)
 
 
 def _ints(table: pa.Table, name: str) -> np.ndarray:
@@ -95,50 +125,74 @@ def _last_start(table: pa.Table) -> int:
     return int(other[-1]) + 1 if len(other) else 0
 
 
-def _groups(table: pa.Table, load: Callable, match: Callable) -> Iterator[pa.RecordBatch]:
+def _groups(table: pa.Table, kernel: Kernel) -> Iterator[pa.RecordBatch]:
     n = table.num_rows
     if not n:
         return
     key, lo, hi, block, ids, weight = (_ints(table, c) for c in ("key", "lo", "hi", "block", "id", "n"))
     new = np.ones(n, bool)
     new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-    starts = np.flatnonzero(new)
-    ends = np.append(starts[1:], n)
-    size = ends - starts
-    end_of = np.repeat(ends, size)
-    state = load(table)
+    group = np.cumsum(new)
+    state = kernel.load(table)
     links = np.zeros(n, np.int64)
     found_i, found_j = [], []
 
-    def test(i: np.ndarray, j: np.ndarray) -> None:
+    def test(i: np.ndarray, j: np.ndarray, s: int) -> None:
+        nonlocal found_i, found_j
         for a in range(0, len(i), PAIRS):
             x, y = i[a : a + PAIRS], j[a : a + PAIRS]
             ok = (lo[x] == hi[x]) | (block[x] != block[y])  # pairs within a block belong to that block's own group
             x, y = x[ok], y[ok]
             if len(x):
-                ok = match(state, x, y)
+                ok = kernel.match(state, x, y, s)
                 x, y = x[ok], y[ok]
                 np.add.at(links, x, weight[y])
                 np.add.at(links, y, weight[x])
                 if len(x):
                     found_i.append(x)
                     found_j.append(y)
-
-    small = np.flatnonzero(np.repeat(size <= 64, size))
-    o = 1
-    while len(small):
-        small = small[small + o < end_of[small]]
-        test(small, small + o)
-        o += 1
-    for a, b in zip(starts[size > 64], ends[size > 64]):
-        step = max(1, PAIRS // int(b - a))
-        for r in range(a, b, step):
-            i = np.arange(r, min(r + step, b))
-            count = b - 1 - i
-            ii = np.repeat(i, count)
-            test(ii, np.arange(len(ii)) - np.repeat(np.cumsum(count) - count, count) + ii + 1)
         if sum(map(len, found_i)) > 4 * PAIRS:  # a dense bucket: keep a forest of what was found so far
             found_i, found_j = _forest(n, found_i, found_j)
+
+    for s in range(kernel.divisions):
+        if (divided := kernel.codes(state, s)) is None:
+            order, first = np.arange(n), new
+        else:
+            order, code = divided
+            if not len(order):
+                continue
+            k = np.lexsort((code, group[order]))  # stable: rows of a block stay together
+            order, code = order[k], code[k]
+            first = np.ones(len(order), bool)
+            first[1:] = (group[order[1:]] != group[order[:-1]]) | (code[1:] != code[:-1])
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], len(order))
+        size = ends - starts
+        end_of = np.repeat(ends, size)
+        small = np.flatnonzero(np.repeat(size <= FEW, size))
+        o = 1
+        while len(small):
+            small = small[small + o < end_of[small]]
+            test(order[small], order[small + o], s)
+            o += 1
+        wait: list = []
+        for a, b in zip(starts[size > FEW].tolist(), ends[size > FEW].tolist()):
+            rows = order[a:b]
+            may_link = kernel.near(state, rows)
+            head = rows[0]
+            middle = int((block[rows] == lo[head]).sum()) if lo[head] < hi[head] else b - a  # of two blocks the first's rows meet the second's
+            step = max(1, 16 * PAIRS // (b - a))
+            for r in range(0, middle, step):
+                to, begin = min(r + step, middle), r if middle == b - a else middle
+                x, y = np.nonzero(may_link(r, to, begin, b - a))
+                x, y = x + r, y + begin
+                later = y > x
+                wait.append((rows[x[later]], rows[y[later]]))
+                if sum(len(x) for x, _ in wait) > PAIRS:
+                    test(*map(np.concatenate, zip(*wait)), s)
+                    wait = []
+        if wait:
+            test(*map(np.concatenate, zip(*wait)), s)
     if not found_i:
         return
     i, j = (x[0] for x in _forest(n, found_i, found_j))
@@ -156,8 +210,7 @@ def _forest(n: int, found_i: list, found_j: list) -> tuple[list, list]:
     return [nodes[child]], [nodes[label[child]]]
 
 
-def link_pairs(keyed: DataFrame, block_of, columns: list[str], load: Callable, match: Callable) -> DataFrame:
-    """(id, other, links): forest edges (links 0), and rows whose `other` is null with links to add up."""
-    blocked = with_blocks(keyed, block_of).select("key", "lo", "hi", "block", "id", "n", *columns)
-    ordered = blocked.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return ordered.mapInArrow(lambda batches: compare(batches, load, match), OUT_DDL)
+def link_pairs(blocked: DataFrame, columns: list[str], kernel: Kernel) -> DataFrame:
+    """(id, other, links): forest edges (links 0), and rows whose `other` is null with links to add up. blocked: with_blocks()'s rows."""
+    ordered = blocked.select("key", "lo", "hi", "block", "id", "n", *columns).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "block")
+    return ordered.mapInArrow(lambda batches: compare(batches, kernel), OUT_DDL)

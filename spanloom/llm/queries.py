@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common as C
 from .exact_dedup import exact_dedup
 from .licenses import scan_licenses
 from .packing import pack_documents
@@ -20,11 +21,11 @@ from .vector_dedup import vector_groups
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return C.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(_table(spark, sf_dir, "documents"))
+    return exact_dedup(_table(spark, sf_dir, "documents")).drop("n_points", "text_key")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_groups(_table(spark, sf_dir, "documents"))
+    return simhash_groups(_table(spark, sf_dir, "documents")).drop("text_key", "component")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -72,6 +73,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+
+def _matches(name: str, pattern: str, group: int = 0) -> str:
+    """name: (r, i, start, size, own), matches of a pattern in t of d, start counted by what stands between them; own: length of a group."""
+    return rf"""{name}_l AS (SELECT r, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS g, regexp_split_to_array(t, '{pattern}') AS p FROM d),
+        {name} AS (SELECT r, i, coalesce(list_sum(list_transform(list_slice(p, 1, i), lambda x: len(x))), 0) + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), lambda x: len(x))), 0) AS start, m[i] AS body, len(m[i]) AS size, len(g[i]) AS own
+            FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM {name}_l))"""
+
+
+_NAMES = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
+_ASSIGN = rf"""(?:{_NAMES})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
@@ -93,4 +105,16 @@ ORACLES: dict[str, str] = {
         c AS (SELECT a, min(least(a, b)) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
         SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
         FROM embeddings e LEFT JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
+    "op8_secret_scan": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), {_matches("a", _ASSIGN, 1)}, {_matches("k", "AKIA[A-Z0-9]+")}, {_matches("h", "[0-9a-f]+")}, {_matches("c", "[A-Za-z0-9+/_=-]+")},
+        base AS (SELECT r, 'assign' AS kind, 1 AS o, start, start + size AS stop FROM a WHERE own >= 8 UNION ALL SELECT r, 'access', 2, start, start + size FROM k WHERE size >= 16 UNION ALL SELECT r, 'hex', 3, start, start + size FROM h WHERE size >= 32),
+        likely AS (SELECT *, CASE WHEN regexp_full_match(body, '[0-9a-fA-F]+') THEN 16 ELSE 20 END AS w, CASE WHEN regexp_full_match(body, '[0-9a-fA-F]+') THEN 2.9::DOUBLE WHEN regexp_full_match(body, '[A-Za-z0-9]+') THEN 3.6::DOUBLE ELSE 3.8::DOUBLE END AS least
+            FROM c WHERE size >= 20 AND len(regexp_replace(body, '[^0-9]', '', 'g')) BETWEEN 2 AND size - 1 AND NOT regexp_matches(body, '(?i)example|sample|placeholder|changeme|your[-_]?(key|token|secret)|x{{6,}}|lorem')
+            AND NOT regexp_full_match(body, '(?i)[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}') AND NOT (regexp_full_match(body, '(?:[A-Za-z]*[0-9]{{0,4}}[/_=-])*[A-Za-z]*[0-9]{{0,4}}') AND NOT ends_with(body, '='))),
+        dense AS (SELECT r, start, start + size AS stop FROM likely l WHERE list_max(list_transform(range(1, size - w + 2), lambda x: list_entropy(string_split(substr(body, x, w), '')))) >= least
+            AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = l.r AND b.start < l.start + l.size AND b.stop > l.start)),
+        every AS (SELECT * FROM base UNION ALL SELECT r, 'entropy', 4, start, stop FROM dense),
+        s AS (SELECT r, count(*) FILTER (WHERE o = 1) AS n_assign, count(*) FILTER (WHERE o = 2) AS n_access, count(*) FILTER (WHERE o = 3) AS n_hex, count(*) FILTER (WHERE o = 4) AS n_entropy,
+            string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) FILTER (WHERE o < 4) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) AS spans FROM every GROUP BY r)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_entropy, 0) AS n_entropy, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (r)""",
 }

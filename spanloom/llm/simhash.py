@@ -1,17 +1,23 @@
 """SimHash near-duplicates by random bit sampling.
 
 A document's 256-bit SimHash is the majority, bit by bit, over the hashes of its
-distinct lower-case words.  Each of several tables groups documents by a random
-sample of coordinates; buckets that hold more than pairing.BLOCK fingerprints are
-cut into blocks by further bits and compared block by block, so that the cap
-loses no pair.  A pair that shares a bucket is a link when the full fingerprints
-differ in at most MAX_DISTANCE bits.
+distinct lower-case words; runs without separators, as of scripts that don't
+write any, count by their overlapping windows.  Several tables group documents by
+a random sample of coordinates.  Tables come in families that share some of their
+coordinates: a fingerprint is sent once for each family, by the shared bits, and
+the task that gets the bucket divides it by the additional bits of each of the
+family's tables in turn.  Buckets of more than BUCKET fingerprints are sent by the
+additional bits, too, once for each table; what is larger than pairing.BLOCK even
+then is cut into blocks that are compared block by block.  So no cap loses a pair.
+A pair that shares a table's bucket is a link when the full fingerprints differ
+in at most MAX_DISTANCE bits.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,42 +27,65 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .components import connected_components
-from .pairing import link_pairs
-
-BITS, MAX_DISTANCE = 256, 48
-#: Sampled bits of a table up to FULL_AT distinct fingerprints; plan_tables() says how they grow beyond.
-SAMPLE, SEED = 14, 11
-FULL_AT = 5_000_000
-#: Probability at most that a pair at the largest distance meets in no table, whatever the number of fingerprints.
-MISS = 1e-3
+from .pairing import BLOCK, Kernel, hinted, link_pairs, oversized, sample_of, with_blocks
+
+BITS, MAX_DISTANCE, SEED = 256, 48, 11
 #: Share of differing bits of documents that have nothing to do with each other.
 FAR = 0.41
-#: Where the number of the table stands in a key, above the sampled bits.
-TAG = 48
+#: Such documents that share a family's bucket, and a table's, with a given one at most, on average.
+FAMILY_CHANCE, CHANCE = 50_000, 500
+#: Bits that a family shares at least, and additional bits of a table at least.
+LEAST_SHARED, LEAST_MORE = 6, 2
+#: Probability at most that a pair at the largest distance meets in no table, whatever the number of fingerprints, and in no table of a family whose shared bits agree.
+MISS, FAMILY_MISS = 1e-3, 0.1
+#: Fingerprints of a family's bucket beyond which its tables are sent one by one.
+BUCKET = 150_000
+#: Where the number of the family stands in a key, above the shared bits.
+TAG = 44
 
 _INK = np.ones(256, bool)
 _INK[: 0x30] = False
 _INK[0x3A:0x41] = False
 _INK[0x5B:0x61] = False
 _INK[0x7B:0x80] = False
+#: Bytes of a run beyond which its windows of WINDOW bytes, one from the start of every character, stand for it.
+LONG, WINDOW = 48, 12
 _SALT = np.array([0x1B873593A5A5A5A5, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def plan_tables(n: int, max_distance: int = MAX_DISTANCE) -> tuple[int, int]:
-    """(sampled bits, tables) for n distinct fingerprints: beyond FULL_AT the bits grow so that chance meetings don't.
+class Plan(NamedTuple):
+    shared: int
+    more: int
+    families: int
+    tables: int  # of a family
+
+
+def plan_tables(n: int, max_distance: int = MAX_DISTANCE) -> Plan:
+    """Tables for n distinct fingerprints: bits grow so that chance meetings don't.
 
     The tables are as many as it takes for a pair at max_distance to be missed
     with probability MISS at most, at every n; nearer pairs are missed less.
     """
-    bits = SAMPLE + (math.ceil(math.log(n / FULL_AT) / -math.log(1 - FAR)) if n > FULL_AT else 0)
-    meet = math.comb(BITS - max_distance, bits) / math.comb(BITS, bits)
-    return bits, math.ceil(math.log(MISS) / math.log1p(-meet)) if 0 < meet < 1 else 1
+    grow = lambda chance: math.ceil(math.log(max(n, 1) / chance) / -math.log(1 - FAR))
+    shared = max(LEAST_SHARED, grow(FAMILY_CHANCE))
+    more = max(LEAST_MORE, grow(CHANCE) - shared)
+    same = BITS - max_distance
+    meet = math.comb(same, shared) / math.comb(BITS, shared)
+    then = math.comb(same - shared, more) / math.comb(BITS - shared, more)
+    tables = times(then, FAMILY_MISS)
+    return Plan(shared, more, times(meet * (1 - (1 - then) ** tables), MISS), tables)
+
 
+def times(p: float, miss: float) -> int:
+    """How often something of probability p must be tried to fail with probability miss at most."""
+    return max(1, math.ceil(math.log(miss) / math.log1p(-p))) if 0 < p < 1 else 1
 
-def samples(bits: int, tables: int) -> np.ndarray:
-    """The coordinates of each table."""
+
+def samples(plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """(coordinates of each family, additional ones of each of its tables)."""
     rng = np.random.default_rng(SEED)
-    return np.array([rng.choice(BITS, bits, replace=False) for _ in range(tables)])
+    drawn = [rng.permutation(BITS) for _ in range(plan.families)]
+    return np.array([x[: plan.shared] for x in drawn]), np.array([[rng.choice(x[plan.shared :], plan.more, replace=False) for _ in range(plan.tables)] for x in drawn])
 
 
 def fingerprints(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -68,8 +97,10 @@ def fingerprints(data: np.ndarray, at: np.ndarray) -> np.ndarray:
         start, end, count = C.words_of(data, edges, _INK)
         if not len(start):
             continue
-        h = C.word_hashes(data, int(edges[0]), start, end)
         row = np.repeat(np.arange(b - a), count)
+        if (long := end - start > LONG).any():
+            start, end, row = _windows(data[edges[0] : edges[-1]], start, end, row, long)
+        h = C.word_hashes(data, int(edges[0]), start, end)
         first = np.unique(C.mix64(h + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
         first.sort()
         row, h = row[first], h[first]
@@ -88,6 +119,18 @@ def fingerprints(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _windows(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray, long: np.ndarray):
+    """(start, end, row) with windows in place of long runs, by row."""
+    size = (end - start)[long] - WINDOW + 1
+    at = np.arange(size.sum()) + np.repeat(start[long] - (np.cumsum(size) - size), size)
+    owner = np.repeat(row[long], size)
+    lead = (data[at] & 0xC0) != 0x80
+    at, owner = at[lead], owner[lead]
+    start, end, row = np.concatenate([start[~long], at]), np.concatenate([end[~long], at + WINDOW]), np.concatenate([row[~long], owner])
+    order = np.lexsort((start, row))
+    return start[order], end[order], row[order]
+
+
 def _runs(counts: np.ndarray, most: int):
     ends, a = np.cumsum(counts), 0
     while a < len(counts):
@@ -104,75 +147,156 @@ def _fingerprint(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = C.utf8_view(pc.utf8_lower(batch.column("text")))
         f = fingerprints(data, at).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(f[:, k]) for k in range(4))], names=["doc_id", *_FP])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *(pa.array(f[:, k]) for k in range(4))], names=["doc_id", "text_key", *_FP])
 
 
 def simhash(docs: DataFrame) -> DataFrame:
-    """doc_id and the four words f0 .. f3 of each row's SimHash; null and empty texts have the SimHash 0."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_or_empty())
-    return base.mapInArrow(_fingerprint, "doc_id long, " + ", ".join(f"{f} long" for f in _FP))
+    """doc_id, text_key (a hash of the text) and the four words f0 .. f3 of each row's SimHash; null and empty texts have the SimHash 0."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_or_empty()).withColumn("text_key", F.xxhash64("text"))
+    return base.mapInArrow(_fingerprint, "doc_id long, text_key long, " + ", ".join(f"{f} long" for f in _FP))
+
+
+def _bits(f: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(f).view(np.uint8), axis=1, bitorder="little")
+
+
+def _code(on: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Numbers that the bits at some coordinates, the same for all rows or of each row its own, make up."""
+    picked = on[:, at] if at.ndim == 1 else np.take_along_axis(on, at, 1)
+    return picked.astype(np.uint64) @ (np.uint64(1) << np.arange(at.shape[-1], dtype=np.uint64))
+
+
+def _words(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.stack([batch.column(f).to_numpy() for f in _FP], axis=1).view(np.uint64)
+
 
+class _Kernel(Kernel):
+    def __init__(self, shared: np.ndarray, more: np.ndarray, most: int):
+        self.more, self.most, self.divisions = more, most, more.shape[1]
+        masks = np.zeros((len(shared), self.divisions, BITS), np.uint8)
+        for k in range(len(shared)):
+            masks[k][:, shared[k]] = 1
+            for s in range(self.divisions):
+                masks[k, s, more[k, s]] = 1
+        self.masks = np.packbits(masks.reshape(-1, BITS), axis=1, bitorder="little").view(np.uint64)
 
-def _load(table: pa.Table):
-    return np.stack([table.column(f).to_numpy() for f in _FP], axis=1).view(np.uint64), (table.column("key").to_numpy().view(np.uint64) >> np.uint64(TAG)).astype(np.int64)
+    def load(self, table: pa.Table):
+        return _words(table), table.column("family").to_numpy().astype(np.int64), table.column("table").to_numpy()
 
+    def codes(self, state, s: int) -> tuple[np.ndarray, np.ndarray]:
+        f, family, only = state
+        rows = np.flatnonzero((only < 0) | (only == s))
+        code = [_code(_bits(f[x]), self.more[family[x], s]) for x in (rows[a : a + 65_536] for a in range(0, len(rows), 65_536))]
+        return rows, np.concatenate(code) if code else np.zeros(0, np.uint64)
 
-def _matcher(masks: np.ndarray, most: int):
-    def match(state, i, j):
-        f, table = state
+    def near(self, state, rows: np.ndarray):
+        signs = _bits(state[0][rows]).astype(np.float32) * 2 - 1
+
+        def may_link(r: int, to: int, first: int, last: int) -> np.ndarray:
+            return signs[r:to] @ signs[first:last].T >= BITS - 2 * self.most  # agreeing less differing bits
+
+        return may_link
+
+    def match(self, state, i: np.ndarray, j: np.ndarray, s: int) -> np.ndarray:
+        f, family, _ = state
         x = f[i] ^ f[j]
-        ok = np.bitwise_count(x).sum(1, dtype=np.int64) <= most
+        ok = np.bitwise_count(x).sum(1, dtype=np.int64) <= self.most
         near = np.flatnonzero(ok)
-        for t in range(len(masks)):
+        table = family[i] * self.divisions + s
+        for t in range(len(self.masks)):
             if not len(near):
                 break
-            near = near[(table[i[near]] <= t) | (x[near] & masks[t]).any(1)]  # else the pair met in table t already
+            near = near[(table[near] <= t) | (x[near] & self.masks[t]).any(1)]  # else the pair met in table t already
         ok[:] = False
         ok[near] = True
         return ok
 
-    return match
+
+_KEYED = "key long, family int, table int, id long, n long, " + ", ".join(f"{f} long" for f in _FP)
+_NAMES = ["key", "family", "table", "id", "n", *_FP]
 
 
-def simhash_groups(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, n_links, component_id, kept.
+def _send(key: np.ndarray, family: np.ndarray, table: np.ndarray, batch: pa.RecordBatch, rows: np.ndarray) -> pa.RecordBatch:
+    own = [batch.column(c).take(pa.array(rows)) for c in _NAMES[3:]]
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(family.astype(np.int32)), pa.array(table.astype(np.int32)), *own], names=_NAMES)
+
+
+def _by_family(shared: np.ndarray):
+    """Each fingerprint once for each family."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(shared)
+        for whole in batches:
+            for a in range(0, whole.num_rows, 4000):
+                b = whole.slice(a, 4000)
+                on = _bits(_words(b))
+                key = np.stack([_code(on, at) | np.uint64(k << TAG) for k, at in enumerate(shared)], axis=1).ravel()
+                yield _send(key, np.tile(np.arange(n), b.num_rows), np.full(len(key), -1), b, np.repeat(np.arange(b.num_rows), n))
 
-    class_id is the smallest doc_id with the same SimHash, n_links the number of
-    other rows linked directly (copies included), component_id the smallest
-    doc_id that links reach, kept whether that is the row's own.  Null and empty
-    texts are copies of each other; rows with a null doc_id take part, and are
-    kept where their component holds no doc_id.  Repeated rows are copies, each
-    kept if its doc_id is.  An empty table gives an empty result; other columns
-    of docs are ignored.
+    return run
+
+
+def _by_table(more: np.ndarray):
+    """Each row of a family once for each of its tables."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = more.shape[1]
+        for whole in batches:
+            for a in range(0, whole.num_rows, 4000):
+                b = whole.slice(a, 4000)
+                on, family, key = _bits(_words(b)), b.column("family").to_numpy().astype(np.int64), b.column("key").to_numpy().view(np.uint64)
+                with np.errstate(over="ignore"):
+                    keys = np.stack([C.mix64(C.mix64(key + np.uint64(s + 1) * np.uint64(0x9E3779B97F4A7C15)) + _code(on, more[family, s])) for s in range(n)], axis=1).ravel()
+                yield _send(keys, np.repeat(family, n), np.tile(np.arange(n), b.num_rows), b, np.repeat(np.arange(b.num_rows), n))
+
+    return run
+
+
+def _keyed(classes: DataFrame, n: int, shared: np.ndarray, more: np.ndarray, bucket: int, block: int) -> DataFrame:
+    """Rows of classes by bucket, with_blocks()'s columns included."""
+    by_family = lambda rows: rows.mapInArrow(_by_family(shared), _KEYED)
+    plain, found = by_family(classes), 0
+    if n > bucket:
+        share = min(16, max(1, bucket // 64))
+        big, found = oversized(by_family(sample_of(classes, share)).select("key"), share, bucket)
+    if not found:
+        return with_blocks(plain, None, 0, block)
+    by_table = lambda rows: rows.join(hinted(big.select("key"), found), "key", "left_semi").mapInArrow(_by_table(more), _KEYED)
+    share = min(16, max(1, block // 64))
+    blocks = oversized(by_table(by_family(sample_of(classes, share))).select("key"), share, block)
+    small = plain.join(hinted(big.select("key"), found), "key", "left_anti")
+    return with_blocks(small, None, 0, block).unionByName(with_blocks(by_table(plain), *blocks, block))
+
+
+def simhash_groups(docs: DataFrame, max_distance: int = MAX_DISTANCE, plan: Plan | None = None, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """One row per row of docs: doc_id, class_id, n_links, copy_id, kept, text_key.
+
+    class_id is the smallest doc_id that links reach, n_links the number of other
+    rows linked directly (copies included), copy_id the smallest doc_id with the
+    same SimHash, kept whether class_id is the row's own.  Null and empty texts
+    are copies of each other; rows with a null doc_id take part, and are kept
+    where their class holds no doc_id.  Repeated rows are copies, each kept if its
+    doc_id is; text_key tells rows of one doc_id apart.  An empty table gives an
+    empty result; other columns of docs are ignored.  plan: tables to use in place
+    of plan_tables()'s; bucket, block: sizes beyond which work is divided, which
+    change no result.
     """
     rows = C.materialize(simhash(docs), "simhash")
-    classes = rows.groupBy(*_FP).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
+    classes = rows.groupBy(*_FP).agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n"))
     classes = C.materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    bits, tables = plan_tables(classes.count(), max_distance)
-    sample = samples(bits, tables)
-    masks = np.zeros((tables, BITS), np.uint8)
-    for t, s in enumerate(sample):
-        masks[t, s] = 1
-    masks = np.packbits(masks, axis=1, bitorder="little").view(np.uint64)
-    weights = np.uint64(1) << np.arange(bits, dtype=np.uint64)
-
-    def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for a in range(0, whole.num_rows, 2000):
-                b = whole.slice(a, 2000)
-                f = np.stack([b.column(k).to_numpy() for k in _FP], axis=1).view(np.uint8)
-                on = np.unpackbits(f, axis=1, bitorder="little").astype(np.uint64)
-                key = np.stack([(on[:, s] * weights).sum(1) | np.uint64(t << TAG) for t, s in enumerate(sample)], axis=1)
-                take = np.repeat(np.arange(b.num_rows), tables)
-                out = pa.RecordBatch.from_arrays([b.column(c) for c in ("id", "n", *_FP)], names=["id", "n", *_FP]).take(pa.array(take))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), *out.columns], names=["key", *out.schema.names])
-
-    keyed = classes.select("id", "n", *_FP).mapInArrow(keys, "key long, id long, n long, " + ", ".join(f"{f} long" for f in _FP))
-    more_bits = F.xxhash64(*[F.col(f).bitwiseAND(F.lit(0x00FF00FF00FF00FF)) for f in _FP])
-    found = C.materialize(link_pairs(keyed, more_bits, _FP, _load, _matcher(masks, max_distance)), "links")
+    n = classes.count()
+    shared, more = samples(plan or plan_tables(n, max_distance))
+    blocked = _keyed(classes.select("id", "n", *_FP), n, shared, more, bucket, block)
+    found = C.materialize(link_pairs(blocked, ["family", "table", *_FP], _Kernel(shared, more, max_distance)), "links")
     degree = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     component = connected_components(found.where("other is not null"), "id", "other")
     linked = classes.join(degree, "id", "left").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    smallest = linked.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    linked = linked.join(smallest, "component").select(*_FP, "class_id", "n", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    return rows.join(linked, _FP).select("doc_id", "class_id", "n_links", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    smallest = linked.groupBy("component").agg(F.min("copy_id").alias("class_id"))
+    linked = linked.join(smallest, "component").select(*_FP, "copy_id", "n", "class_id", "component", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    return rows.join(linked, _FP).select("doc_id", "class_id", "n_links", "copy_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "text_key", "component")
+
+
+def near_representatives(docs: DataFrame) -> DataFrame:
+    """doc_id and text_key of the row that stays of each group of near duplicates: the smallest doc_id (null last), then text_key."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    return simhash_groups(docs).where("kept").groupBy("component").agg(first).select("first.doc_id", "first.text_key")

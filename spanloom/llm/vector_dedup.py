@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .components import connected_components
-from .pairing import link_pairs
+from .pairing import BLOCK, Kernel, link_pairs, oversized, sample_of, with_blocks
 
 THRESHOLD, BITS, SEED, MISS = 0.98, 256, 5, 1e-4
 #: Standard deviations (of order 1 / sqrt(BITS)) that the confidence bound allows for.
@@ -42,11 +42,9 @@ def encode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(y > 0, axis=1, bitorder="little"), np.abs(y).sum(1) / math.sqrt(y.shape[1])
 
 
-def estimate(signs: np.ndarray, factor: np.ndarray, rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(unbiased estimates, error bounds) of the inner products of coded vectors with rotated ones, row by row."""
-    size = signs.shape[1]
-    value = np.einsum("ij,ij->i", signs, rotated) / math.sqrt(size) / factor
-    return value, EPSILON * np.sqrt(np.maximum(1 - factor**2, 0)) / factor / math.sqrt(max(size - 1, 1))
+def estimate(dot: np.ndarray, factor: np.ndarray, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """(unbiased estimates, error bounds) of inner products, from those of the first vectors' signs (as 1 and -1, `size` of them) with the second ones, rotated."""
+    return dot / np.sqrt(size) / factor, EPSILON * np.sqrt(np.maximum(1 - factor**2, 0)) / factor / np.sqrt(np.maximum(size - 1, 1))
 
 
 def plan_tables(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
@@ -89,47 +87,53 @@ def _keys(bits: int, tables: int, sample: np.ndarray, out: pa.Schema):
     return run
 
 
-def _load(table: pa.Table) -> dict:
-    vectors = table.column("vector").to_pylist()
-    dims = np.fromiter((len(v) // 4 for v in vectors), np.int64, len(vectors))
-    width = int(dims.max())
-    unit = np.zeros((len(vectors), width))
-    code = np.zeros((len(vectors), max(BITS, width)), np.float32)
-    rotated = np.zeros_like(code)
-    for dim in np.unique(dims):
-        at = np.flatnonzero(dims == dim)
-        x = np.frombuffer(b"".join(vectors[i] for i in at), np.float32).reshape(-1, dim).astype(np.float64)
-        unit[at, :dim] = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-        size = max(BITS, int(dim))
-        rotated[at, :size] = unit[at, :dim] @ rotation(int(dim)).T
-    packed = table.column("code").to_pylist()
-    bits = np.zeros(code.shape, np.uint8)
-    for dim in np.unique(dims):
-        at = np.flatnonzero(dims == dim)
-        size = max(BITS, int(dim))
-        bits[at, :size] = np.unpackbits(np.frombuffer(b"".join(packed[i] for i in at), np.uint8).reshape(len(at), -1), axis=1, bitorder="little")[:, :size]
-    return {"unit": unit, "dims": dims, "bits": bits, "signs": bits.astype(np.float32) * 2 - 1, "rotated": rotated, "factor": table.column("factor").to_numpy().astype(np.float64), "label": table.column("label").to_numpy(), "t": table.column("t").to_numpy()}
-
-
-def _matcher(sample: np.ndarray, threshold: float):
-    def match(s: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        ok = np.zeros(len(i), bool)
+class _Kernel(Kernel):
+    def __init__(self, sample: np.ndarray, threshold: float):
+        self.sample, self.threshold = sample, threshold
+
+    def load(self, table: pa.Table) -> dict:
+        vectors = table.column("vector").to_pylist()
+        dims = np.fromiter((len(v) // 4 for v in vectors), np.int64, len(vectors))
+        width = int(dims.max())
+        unit = np.zeros((len(vectors), width))
+        rotated = np.zeros((len(vectors), max(BITS, width)), np.float32)
+        bits = np.zeros(rotated.shape, np.uint8)
+        packed = table.column("code").to_pylist()
+        for dim in np.unique(dims):
+            at = np.flatnonzero(dims == dim)
+            size = max(BITS, int(dim))
+            x = np.frombuffer(b"".join(vectors[i] for i in at), np.float32).reshape(-1, dim).astype(np.float64)
+            unit[at, :dim] = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+            rotated[at, :size] = unit[at, :dim] @ rotation(int(dim)).T
+            bits[at, :size] = np.unpackbits(np.frombuffer(b"".join(packed[i] for i in at), np.uint8).reshape(len(at), -1), axis=1, bitorder="little")[:, :size]
+        return {"unit": unit, "dims": dims, "size": np.maximum(BITS, dims), "bits": bits, "rotated": rotated, "factor": table.column("factor").to_numpy().astype(np.float64), "label": table.column("label").to_numpy(), "t": table.column("t").to_numpy()}
+
+    def near(self, s: dict, rows: np.ndarray):
+        signs, rotated = s["bits"][rows].astype(np.float32) * 2 - 1, s["rotated"][rows]
+
+        def may_link(r: int, to: int, first: int, last: int) -> np.ndarray:
+            value, bound = estimate(signs[r:to] @ rotated[first:last].T, s["factor"][rows[r:to], None], s["size"][rows[r:to], None])
+            return value + bound >= self.threshold
+
+        return may_link
+
+    def match(self, s: dict, i: np.ndarray, j: np.ndarray, _: int) -> np.ndarray:
+        ok, sample = np.zeros(len(i), bool), self.sample
         for a in range(0, len(i), 1 << 13):
             x, y = i[a : a + (1 << 13)], j[a : a + (1 << 13)]
             same = (s["label"][x] == s["label"][y]) & (s["dims"][x] == s["dims"][y])
-            value, bound = estimate(s["signs"][x], s["factor"][x], s["rotated"][y])
-            near = np.flatnonzero(same & (value + bound >= threshold))
-            near = near[np.einsum("ij,ij->i", s["unit"][x[near]], s["unit"][y[near]]) >= threshold]
+            dot = np.einsum("ij,ij->i", s["bits"][x].astype(np.float32) * 2 - 1, s["rotated"][y])
+            value, bound = estimate(dot, s["factor"][x], s["size"][x])
+            near = np.flatnonzero(same & (value + bound >= self.threshold))
+            near = near[np.einsum("ij,ij->i", s["unit"][x[near]], s["unit"][y[near]]) >= self.threshold]
             for t in range(len(sample)):
                 p, q = x[near], y[near]
                 near = near[(s["t"][p] <= t) | (s["bits"][p][:, sample[t]] != s["bits"][q][:, sample[t]]).any(1)]
             ok[a + near] = True
         return ok
 
-    return match
 
-
-def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
+def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
     Rows are linked when their labels are equal and not null, their vectors have
@@ -138,7 +142,8 @@ def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     or hold null or non-finite components link with nothing; such a row is its
     own component.  Equal vectors are one class internally: a repeated row counts
     as another vector.  A row with a null vec_id links, and is kept where its
-    component holds no vec_id.  An empty table gives an empty result; other
+    component holds no vec_id.  Codes that agree, however many, are cut into
+    blocks by a hash of the row (see pairing.py).  An empty table gives an empty result; other
     columns are ignored.
     """
     v = F.col("embedding")
@@ -147,13 +152,17 @@ def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     rows = rows.withColumn("linkable", F.coalesce(v.isNotNull() & F.col("label").isNotNull() & (F.size(v) > 0) & finite, F.lit(False)))
     classes = rows.where("linkable").groupBy("label", "embedding").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n"))
     classes = C.materialize(classes.withColumn("id", F.monotonically_increasing_id()), "vectors")
-    bits, tables = plan_tables(classes.count(), threshold)
+    n = classes.count()
+    bits, tables = plan_tables(n, threshold)
     rng = np.random.default_rng(SEED + 1)
     sample = np.array([rng.choice(BITS, bits, replace=False) for _ in range(tables)])
     out = pa.schema([("key", pa.int64()), ("t", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("label", pa.int64()), ("code", pa.binary()), ("factor", pa.float32()), ("vector", pa.binary())])
     ddl = "key long, t int, id long, n long, label long, code binary, factor float, vector binary"
-    keyed = classes.select("id", "n", "label", "embedding").mapInArrow(_keys(bits, tables, sample, out), ddl)
-    found = C.materialize(link_pairs(keyed, F.xxhash64("code"), ["t", "label", "code", "factor", "vector"], _load, _matcher(sample, threshold)), "links")
+    rows_in = classes.select("id", "n", "label", "embedding")
+    keys = lambda rows: rows.mapInArrow(_keys(bits, tables, sample, out), ddl)
+    big = oversized(keys(sample_of(rows_in, share := min(16, max(1, block // 64)))).select("key"), share, block) if n > block else (None, 0)
+    found = link_pairs(with_blocks(keys(rows_in), *big, block), ["t", "label", "code", "factor", "vector"], _Kernel(sample, threshold))
+    found = C.materialize(found, "links")
     degree = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     component = connected_components(found.where("other is not null"), "id", "other")
     linked = classes.join(degree, "id", "left").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
