@@ -1,12 +1,21 @@
 """Repeated-span removal by De Bruijn compaction of token k-mers.
 
-Every window of WINDOW words is an edge of a De Bruijn graph.  Edges are
-partitioned by minimizers: a window belongs to the smallest hash among its
-ANCHOR-word k-mers, so equal windows meet in one partition and the windows of a
-minimizer travel together, five bytes each, with the source coordinates once.
-Partitions find the edges that occur again and compact runs of them to path
-fragments; a join with the documents glues fragments at their coordinates and
-takes the covered words out of the text.
+Every window of WINDOW words is an edge of a De Bruijn graph, from the node of
+its first words to that of its last ones.
+
+1. Edges are partitioned by minimizers: a window belongs to the smallest hash
+   among its ANCHOR-word k-mers, so equal windows meet in one partition, and the
+   windows of a minimizer travel together, CODE_BYTES each, with their source
+   coordinates once.  Partitions find the edges that occur again and join them to
+   fragments: chains in which each edge always follows the one before.
+2. Spark joins compact fragments of different partitions: a node is nonbranching
+   when the fragment that ends there, the fragment that begins there and the
+   places where the one follows the other are equally many.  Fragments glued at
+   such nodes are paths; all occurrences of a path are equally long.
+3. Source coordinates verify them: each occurrence's words are digested where
+   they stand, and a path counts only if all of its occurrences agree.  Where
+   hashes collided, every window of the path is digested and compared by itself,
+   so hashes decide on candidates only.
 
 An anchor that is hot in a sample of documents is not partitioned by its own
 hash but by those of its windows, of which a task sends each once, however often
@@ -16,28 +25,39 @@ it holds it.  The sample decides on routes only, never on results.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 WINDOW, ANCHOR = 35, 12
-#: Documents sampled to find hot anchors, and how often a hot one occurs among them at least.
-SAMPLE_DOCS, HOT = 20_000, 40
+#: Bytes of a window's own hash that go with its minimizer's hash and place.
+CODE_BYTES = 3
+#: An anchor is hot if about HOT_RUNS documents or more hold it; it is looked for among SAMPLE_DOCS documents or 40 times the
+#: root of their number.  LEAST sightings, and a share of 1 / MOST_HOT, are asked of it too: the latter bounds the list that is broadcast.
+HOT_RUNS, SAMPLE_DOCS, LEAST, MOST_HOT = 2000, 20_000, 8, 50_000
+#: Windows that an owner holds, about.
+OWNER_WINDOWS = 4 << 20
+#: Words of a long text that are worked on at once, and bytes beyond which a text is long.
+PIECE_WORDS, LONG_BYTES = 1 << 22, 4 * C.CHUNK_BYTES
 
 _BASE = np.uint64(0xD1342543DE82EF95)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _POSITION = 26  # bits of a word's place in a chunk
 _BLOCK = pa.schema([("bucket", pa.int32()), ("local", pa.bool_()), ("runs", pa.binary()), ("windows", pa.binary())])
 _BLOCK_DDL = "bucket int, local boolean, runs binary, windows binary"
-_SPAN = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int32()), ("start", pa.int32()), ("length", pa.int32())])
-_SPAN_DDL = "doc_id long, text_hash int, start int, length int"
-#: A run: consecutive windows of one document that share their minimizer. offset: from the first window to the minimizer.
-RUN = np.dtype([("anchor", "<u8"), ("doc_id", "<i8"), ("null", "u1"), ("text_hash", "<i4"), ("start", "<i4"), ("offset", "u1"), ("count", "u1"), ("again", "u1")])
+#: A row of documents: its doc_id (0 where null), whether that is null, and the hash of its text.
+KEY = ["doc", "no_id", "text_key"]
+_SPAN = pa.schema([("doc", pa.int64()), ("no_id", pa.bool_()), ("text_key", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("fragment", pa.int64())])
+_SPAN_DDL = "doc long, no_id boolean, text_key long, start int, length int, fragment long"
+#: A run: consecutive windows of one document that share their minimizer. offset: from the first window to the minimizer; again: its one window stands for several of its task.
+RUN = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("text_key", "<i8"), ("start", "<i4"), ("offset", "u1"), ("count", "u1"), ("no_id", "u1"), ("again", "u1")])
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
@@ -74,46 +94,89 @@ def windows_of(h: np.ndarray, counts: np.ndarray, window: int = WINDOW, anchor:
     return starts, rolling(h, window)[starts], place, anchors
 
 
+def _long_hashes(data: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Word hashes of one long text, from pieces of it that end at white space."""
+    white, out = C.is_white, []
+    while lo < hi:
+        end = min(lo + C.CHUNK_BYTES, hi)
+        if end < hi:
+            gaps = np.flatnonzero(white[data[lo:end]])
+            while not len(gaps) and end < hi:  # within a word that is longer than a piece
+                more = min(end + C.CHUNK_BYTES, hi)
+                gaps = np.flatnonzero(white[data[end:more]]) + end - lo
+                end = more
+            end = lo + int(gaps[-1]) + 1 if len(gaps) else hi
+        start, stop, _ = C.words_of(data, np.array([lo, end]))
+        out.append(C.word_hashes(data, lo, start, stop))
+        lo = end
+    return np.concatenate(out)
+
+
 def _chunks(batch: pa.RecordBatch):
-    """(rows, word hashes, words of each row) of parts of a batch."""
+    """(rows, word hashes, words of each row, place of the first of them in its text) of parts of a batch; parts of a long text overlap by WINDOW - 1 words."""
     data, at = C.utf8_view(batch.column("text"))
     for a, b in C.row_chunks(at):
         edges = at[a : b + 1]
+        if edges[-1] - edges[0] > LONG_BYTES:
+            h = _long_hashes(data, int(edges[0]), int(edges[-1]))
+            for s in range(0, max(1, len(h) - WINDOW + 1), PIECE_WORDS):
+                part = h[s : s + PIECE_WORDS + WINDOW - 1]
+                yield np.arange(a, b), part, np.array([len(part)]), np.array([s])
+            continue
         start, end, counts = C.words_of(data, edges)
-        if len(start) >> _POSITION:
-            raise ValueError("a text of more than 2**26 words")
-        yield np.arange(a, b), C.word_hashes(data, int(edges[0]), start, end), counts
+        yield np.arange(a, b), C.word_hashes(data, int(edges[0]), start, end), counts, np.zeros(b - a, np.int64)
 
 
 def _anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, times); the row whose anchor is null counts windows."""
     for batch in batches:
-        for _, h, counts in _chunks(batch):
-            _, _, place, anchors = windows_of(h, counts)
+        for _, h, counts, _ in _chunks(batch):
+            starts, _, place, anchors = windows_of(h, counts)
             a, n = np.unique(anchors[np.unique(place)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n)], names=["anchor", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([*a.view(np.int64).tolist(), None], pa.int64()), pa.array([*n.tolist(), len(starts)], pa.int64())], names=["anchor", "n"])
+
 
+def survey(docs: DataFrame, hot_runs: int = HOT_RUNS) -> tuple[np.ndarray, int]:
+    """(hot anchors, sorted; about how many windows docs has), from a sample of documents.
 
-def hot_anchors(docs: DataFrame) -> np.ndarray:
-    """Anchors of which each occurs HOT times or more in a sample of about SAMPLE_DOCS documents: their number is bounded, whatever the input."""
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    some = docs.select(C.text_or_empty())
+    The list is bounded whatever the input: an anchor makes up a share of 1 /
+    MOST_HOT documents of the sample at least.
+    """
+    n = docs.count()
+    size = max(SAMPLE_DOCS, int(40 * n**0.5))
+    share = min(1.0, size / max(1, n))
+    least = max(LEAST, math.ceil(hot_runs * share), min(n, size) // MOST_HOT)
+    some = docs.select("text")
     some = some.sample(share, seed=3) if share < 1 else some
-    found = some.mapInArrow(_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
-    rows = found.orderBy(F.desc("n"), "anchor").limit(50_000).toArrow()
-    return np.sort(rows.column("anchor").to_numpy().astype(np.int64).view(np.uint64))
+    found = some.mapInArrow(_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    rows = found.where(F.col("anchor").isNull() | (F.col("n") >= least)).toArrow()
+    anchors, times = rows.column("anchor").combine_chunks(), rows.column("n").to_pylist()
+    windows = sum(t for t, null in zip(times, anchors.is_null().to_pylist()) if null)
+    return np.sort(anchors.drop_null().to_numpy().view(np.uint64)), int(windows / share)
+
+
+def _edge_keys(anchor: np.ndarray, offset: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """What tells edges apart: minimizer, place of it in the window (may wrap around), bytes of the window's own hash."""
+    with np.errstate(over="ignore"):
+        return C.mix64(C.mix64(anchor + offset.astype(np.uint64) * _STEP) + code)
+
+
+def _fragment_ids(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return C.mix64(first + length.astype(np.uint64) * _STEP).view(np.int64)
+
 
+def _blocks(buckets: int, hot: np.ndarray, code_bytes: int):
+    mask = np.uint64((1 << 8 * code_bytes) - 1)
 
-def _blocks(buckets: int, hot: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
-            doc_id, null = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
-            text_hash = batch.column("text_hash").to_numpy(zero_copy_only=False)
-            for rows, h, counts in _chunks(batch):
+            doc, no_id, text_key = (batch.column(c).to_numpy(zero_copy_only=False) for c in KEY)
+            for rows, h, counts, base in _chunks(batch):
                 starts, hashes, place, anchors = windows_of(h, counts)
                 if not len(starts):
                     continue
-                first_word = np.cumsum(counts) - counts
+                first_word = np.cumsum(counts) - counts - base
                 row = np.repeat(np.arange(len(rows)), counts)[starts]
                 is_hot = np.isin(anchors[place], hot) if len(hot) else np.zeros(len(starts), bool)
                 new = np.ones(len(starts), bool)
@@ -121,7 +184,7 @@ def _blocks(buckets: int, hot: np.ndarray):
                 at = np.flatnonzero(new)
                 runs = np.zeros(len(at), RUN)
                 runs["anchor"] = anchors[place[at]]
-                runs["doc_id"], runs["null"], runs["text_hash"] = doc_id[rows[row[at]]], null[rows[row[at]]], text_hash[rows[row[at]]]
+                runs["doc"], runs["no_id"], runs["text_key"] = doc[rows[row[at]]], no_id[rows[row[at]]], text_key[rows[row[at]]]
                 runs["start"] = starts[at] - first_word[row[at]]
                 runs["offset"] = place[at] - starts[at]
                 runs["count"] = np.diff(np.append(at, len(starts)))
@@ -130,31 +193,33 @@ def _blocks(buckets: int, hot: np.ndarray):
                     single = np.flatnonzero(is_hot[at])
                     w = hashes[at[single]]
                     route[single] = w
-                    _, first, back, times = np.unique(w, return_index=True, return_inverse=True, return_counts=True)
-                    again = times[back] > 1
-                    runs["again"][single] = again
+                    code = w & mask
+                    key = _edge_keys(runs["anchor"][single], runs["offset"][single], code)
+                    _, first, back, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                    runs["again"][single] = times[back] > 1
                     keep = np.zeros(len(single), bool)
                     keep[first] = True
                     send[single] = keep
-                    if again.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([int(route[0] % np.uint64(buckets))], pa.int32()), pa.array([True]), pa.array([runs[single[again]].tobytes()], pa.binary()), pa.array([b""], pa.binary())], schema=_BLOCK)
+                    if not keep.all():
+                        rest, ids = runs[single[~keep]], _fragment_ids(key[~keep], np.ones(int((~keep).sum()), np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array([int(route[0] % np.uint64(buckets))], pa.int32()), pa.array([True]), pa.array([rest.tobytes()], pa.binary()), pa.array([ids.tobytes()], pa.binary())], schema=_BLOCK)
                 bucket = (C.mix64(route) % np.uint64(buckets)).astype(np.int32)
                 order = np.flatnonzero(send)
                 order = order[np.argsort(bucket[order], kind="stable")]
-                yield from _cut(runs, at, hashes, bucket, order)
+                yield from _cut(runs, at, hashes, bucket, order, code_bytes)
 
     return run
 
 
-def _cut(runs, at, hashes, bucket, order) -> Iterator[pa.RecordBatch]:
-    """One row per bucket: its runs, and 40 bits of the hash of each of their windows."""
+def _cut(runs, at, hashes, bucket, order, code_bytes: int) -> Iterator[pa.RecordBatch]:
+    """One row per bucket: its runs, and code_bytes of the hash of each of their windows."""
     count = runs["count"].astype(np.int64)[order]
     window = np.repeat(at[order] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    w = np.ascontiguousarray(hashes[window][:, None].view(np.uint8)[:, :5]).tobytes()
+    w = np.ascontiguousarray(hashes[window][:, None].view(np.uint8)[:, :code_bytes]).tobytes()
     mine, runs = bucket[order], runs[order]
     cut = np.flatnonzero(np.append(True, mine[1:] != mine[:-1])) if len(mine) else np.zeros(0, np.int64)
     edge = np.append(cut, len(mine))
-    byte = 5 * np.concatenate([[0], np.cumsum(count)])[edge]
+    byte = code_bytes * np.concatenate([[0], np.cumsum(count)])[edge]
     yield pa.RecordBatch.from_arrays(
         [
             pa.array(mine[cut], pa.int32()), pa.array(np.zeros(len(cut), bool)),
@@ -164,27 +229,32 @@ def _cut(runs, at, hashes, bucket, order) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _spans(runs: np.ndarray, first: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+def _spans(runs: np.ndarray, first: np.ndarray, length: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(runs["doc_id"], mask=runs["null"].astype(bool)), pa.array(np.ascontiguousarray(runs["text_hash"])), pa.array((runs["start"] + first).astype(np.int32)), pa.array(length.astype(np.int32))], schema=_SPAN
+        [pa.array(np.ascontiguousarray(runs["doc"])), pa.array(runs["no_id"].astype(bool)), pa.array(np.ascontiguousarray(runs["text_key"])), pa.array((runs["start"] + first).astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(ids)], schema=_SPAN
     )
 
 
-def _own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Path fragments: maximal runs of repeated windows within a run."""
-    all_runs, all_windows = [], []
-    for batch in batches:
-        for local, runs, windows in zip(*(batch.column(c).to_pylist() for c in ("local", "runs", "windows"))):
-            runs = np.frombuffer(runs, RUN)
-            if local:
-                yield _spans(runs, np.zeros(len(runs), np.int32), np.ones(len(runs), np.int32))
-            else:
-                all_runs.append(runs)
-                all_windows.append(np.frombuffer(windows, np.uint8))
-    if not all_runs:
-        return
-    runs, windows = np.concatenate(all_runs), np.concatenate(all_windows)
-    del all_runs, all_windows
+def _own(code_bytes: int):
+    """Fragments: chains of repeated edges of a run, cut where an edge doesn't always follow the one before."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_runs, all_windows = [], []
+        for batch in batches:
+            for local, runs, windows in zip(*(batch.column(c).to_pylist() for c in ("local", "runs", "windows"))):
+                runs = np.frombuffer(runs, RUN)
+                if local:
+                    yield _spans(runs, np.zeros(len(runs), np.int32), np.ones(len(runs), np.int32), np.frombuffer(windows, np.int64))
+                else:
+                    all_runs.append(runs)
+                    all_windows.append(np.frombuffer(windows, np.uint8))
+        if all_runs:
+            yield from _fragments(np.concatenate(all_runs), np.concatenate(all_windows), code_bytes)
+
+    return run
+
+
+def _fragments(runs: np.ndarray, windows: np.ndarray, code_bytes: int) -> Iterator[pa.RecordBatch]:
     count = runs["count"].astype(np.int64)
     first = np.cumsum(count) - count
     _, back, times = np.unique(runs["anchor"], return_inverse=True, return_counts=True)
@@ -194,28 +264,73 @@ def _own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     run = np.repeat(np.arange(len(runs)), count)
     step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-    bytes_ = windows.reshape(-1, 5)[np.repeat(first, count) + step]
-    w = np.zeros((len(run), 8), np.uint8)
-    w[:, :5] = bytes_
-    with np.errstate(over="ignore"):
-        offset = (runs["offset"][run].astype(np.int64) - step).astype(np.uint64)
-        key = C.mix64(C.mix64(runs["anchor"][run] + offset * np.uint64(0x9E3779B97F4A7C15)) + w.view(np.uint64)[:, 0])
+    code = np.zeros((len(run), 8), np.uint8)
+    code[:, :code_bytes] = windows.reshape(-1, code_bytes)[np.repeat(first, count) + step] if code_bytes else 0
+    key = _edge_keys(runs["anchor"][run], runs["offset"][run].astype(np.int64) - step, code.view(np.uint64)[:, 0])
     _, back, times = np.unique(key, return_inverse=True, return_counts=True)
+    times = times[back]
     again = times > 1
-    again[back[runs["again"][run] > 0]] = True
-    again = again[back]
-    edge = np.ones(len(run), bool)
-    edge[1:] = (run[1:] != run[:-1]) | (again[1:] != again[:-1])
-    at = np.flatnonzero(edge)
+    again |= runs["again"][run] > 0
+    same = run[1:] == run[:-1]
+    with np.errstate(over="ignore"):
+        pair = C.mix64(key[:-1] * _STEP + key[1:])
+    pair[~same] = np.arange(int((~same).sum()), dtype=np.uint64)  # no edge follows here
+    _, back, follows = np.unique(pair, return_inverse=True, return_counts=True)
+    follows = follows[back]
+    chain = same & again[1:] & again[:-1] & (follows == times[1:]) & (follows == times[:-1])
+    at = np.flatnonzero(np.append(True, ~chain))
     length = np.diff(np.append(at, len(run)))
     at, length = at[again[at]], length[again[at]]
+    ids = _fragment_ids(key[at], length)
     for a in range(0, len(at), 50_000):
         s = slice(a, a + 50_000)
-        yield _spans(runs[run[at[s]]], step[at[s]], length[s])
+        yield _spans(runs[run[at[s]]], step[at[s]], length[s], ids[s])
+
+
+def repeated_fragments(docs: DataFrame, hot_runs: int = HOT_RUNS, code_bytes: int = CODE_BYTES) -> DataFrame:
+    """(doc, no_id, text_key, start, length, fragment) of documents with their KEY and text: start counts words, length windows."""
+    hot, windows = survey(docs, hot_runs)
+    n = max(C.partitions(docs.sparkSession), math.ceil(windows / OWNER_WINDOWS))
+    blocks = docs.mapInArrow(_blocks(n, hot, code_bytes), _BLOCK_DDL)
+    return C.materialize(blocks.repartitionById(n, F.col("bucket")).mapInArrow(_own(code_bytes), _SPAN_DDL), "fragments")
+
+
+def compact(fragments: DataFrame) -> DataFrame:
+    """(doc, no_id, text_key, start, length, path): occurrences of paths, fragments glued at nonbranching nodes."""
+    by_row = Window.partitionBy(*KEY).orderBy("start")
+    # a row that is repeated has each fragment several times at the same place
+    e = fragments.repartition(*KEY).groupBy(*KEY, "start", "length", "fragment").agg(F.count("*").alias("n"))
+    e = e.withColumn("next", F.when(F.lead("start").over(by_row) == F.col("start") + F.col("length"), F.lead("fragment").over(by_row)))
+    times = e.groupBy("fragment").agg(F.sum("n").alias("times"))
+    follows = e.where("next is not null").groupBy("fragment", "next").agg(F.sum("n").alias("follows"))
+    glued = follows.join(times, "fragment").where("follows = times").drop("times")
+    glued = glued.join(times.withColumnRenamed("fragment", "next"), "next").where("follows = times").select("fragment", "next", F.lit(True).alias("glued"))
+    e = e.join(glued, ["fragment", "next"], "left").withColumn("glued", F.coalesce("glued", F.lit(False)))
+    e = e.withColumn("head", ~F.coalesce(F.lag("glued").over(by_row), F.lit(False)))
+    e = e.withColumn("k", F.sum(F.col("head").cast("int")).over(by_row))
+    return e.groupBy(*KEY, "k").agg(F.min("start").alias("start"), F.sum("length").cast("int").alias("length"), F.min_by("fragment", "start").alias("path")).drop("k")
+
 
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
-_DONE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
-_DONE_DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+
+_SPANS = "array<struct<start:int,length:int,path:long>>"
+_CHECK = pa.list_(pa.struct([("path", pa.int64()), ("digest", pa.binary())]))
+_DONE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *(_SPAN.field(k) for k in KEY), ("checks", _CHECK)])
+_DONE_DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string, doc long, no_id boolean, text_key long, checks array<struct<path:long,digest:binary>>"
+
+
+def _rows_with_spans(batches: Iterable[pa.RecordBatch]):
+    """(row's batch, its number, words, starts, lengths, paths)"""
+    for batch in batches:
+        data, at = C.utf8_view(batch.column("text"))
+        spans = batch.column("spans")
+        edges, flat = spans.offsets.to_numpy(), spans.values  # offsets count from the start of values
+        begin, length, path = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "length", "path"))
+        for i in range(batch.num_rows):
+            s = slice(edges[i], edges[i + 1])
+            yield batch, i, data[at[i] : at[i + 1]].tobytes().split(), begin[s], length[s], path[s]
 
 
 def _remove(with_text: bool):
@@ -223,43 +338,45 @@ def _remove(with_text: bool):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = C.utf8_view(batch.column("text"))
-            whole = data.tobytes()
-            spans = batch.column("spans")
-            edges = spans.offsets.to_numpy()
-            flat = spans.values  # offsets count from the start of values
-            begin, length = flat.field("start").to_numpy(zero_copy_only=False), flat.field("length").to_numpy(zero_copy_only=False)
             out = []
-            for i in range(batch.num_rows):
-                words = whole[at[i] : at[i + 1]].split()
-                a, b = edges[i], edges[i + 1]
-                kept = words
-                if a < b:
+            for _, _, words, begin, length, path in _rows_with_spans([batch]):
+                kept, checks = words, []
+                if len(begin):
                     cover = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(cover, begin[a:b], 1)
-                    np.add.at(cover, begin[a:b] + length[a:b] + WINDOW - 1, -1)
+                    ends = begin + length + WINDOW - 1
+                    np.add.at(cover, begin, 1)
+                    np.add.at(cover, ends, -1)
                     kept = [words[k] for k in np.flatnonzero(np.cumsum(cover[:-1]) == 0)]
+                    checks = [{"path": p, "digest": _digest(words[a:b])} for a, b, p in zip(begin.tolist(), ends.tolist(), path.tolist())]
                 text = b" ".join(kept)
-                out.append((len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode()) if with_text else (len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest()))
-            cols = list(zip(*out)) if out else [[]] * (len(schema) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, f.type) for x, f in zip(cols, list(schema)[1:]))], schema=schema)
+                row = (len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), checks)
+                out.append((*row, text.decode()) if with_text else row)
+            cols = list(zip(*out)) if out else [[]] * (5 if with_text else 4)
+            arrays = dict(zip(["n_words", "n_removed", "kept_sha256", "checks", "kept_text"], cols))
+            yield pa.RecordBatch.from_arrays([pa.array(arrays[f.name], f.type) if f.name in arrays else batch.column(f.name) for f in schema], schema=schema)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """(doc_id, text_hash, start, length): runs of windows of WINDOW words that start elsewhere too; start counts words, length windows."""
-    n = buckets or C.partitions(docs.sparkSession)
-    base = _base(docs)
-    blocks = base.mapInArrow(_blocks(n, hot_anchors(docs)), _BLOCK_DDL)
-    return blocks.repartitionById(n, F.col("bucket")).mapInArrow(_own, _SPAN_DDL)
+def _window_digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, i, words, begin, length, _ in _rows_with_spans(batches):
+        at = np.concatenate([np.arange(a, a + n) for a, n in zip(begin, length)]).tolist()
+        keys = [pa.array([batch.column(k)[i].as_py()] * len(at), _SPAN.field(k).type) for k in KEY]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(at, pa.int32()), pa.array([_digest(words[a : a + WINDOW]) for a in at], pa.binary())], names=[*KEY, "start", "digest"])
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_or_empty()).withColumn("text_hash", F.hash("text"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_or_empty())
+    return d.select("doc_id", "text", F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64("text").alias("text_key"))
+
 
+def _with_spans(base: DataFrame, spans: DataFrame, how: str) -> DataFrame:
+    """base's rows with their spans; how: "left" for all of them, "inner" for those that have some."""
+    lists = spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "length", "path")).alias("spans"))  # as many as a text has windows at most
+    return base.join(lists, KEY, how).select("doc_id", "text", *KEY, F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+
+def remove_repeats(docs: DataFrame, with_text: bool = False, hot_runs: int = HOT_RUNS, code_bytes: int = CODE_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text; one row per row of docs.
 
     A window is WINDOW consecutive words of one document; every word that is
@@ -267,11 +384,27 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     places.  Null and empty texts have no words, and the hash of the empty
     string.  Rows are told apart by doc_id (null included) and text, so a
     repeated row counts as another place: its windows are all repeated.  Texts
-    of fewer than WINDOW words stay as they are but for white space.  An empty
-    table gives no rows; other columns of docs are ignored.
+    of fewer than WINDOW words stay as they are but for white space; texts of any
+    length are cut in overlapping pieces.  An empty table gives no rows; other
+    columns of docs are ignored.  code_bytes: the fewer, the more candidates that
+    the words at their coordinates refute.
     """
-    spans = repeated_spans(docs).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    d, s = _base(docs).alias("d"), spans.alias("s")
-    joined = d.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_hash") == F.col("s.text_hash")), "left")
-    none = F.array().cast("array<struct<start:int,length:int>>")
-    return joined.select("d.doc_id", "d.text", F.coalesce("s.spans", none).alias("spans")).mapInArrow(_remove(with_text), _DONE_DDL + (", kept_text string" if with_text else ""))
+    base = _base(docs)
+    paths = compact(repeated_fragments(base, hot_runs, code_bytes))
+    ddl, columns = _DONE_DDL + ", kept_text string" * with_text, ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
+    done = C.materialize(_with_spans(base, paths, "left").mapInArrow(_remove(with_text), ddl), "removed")
+    checks = done.select(*KEY, F.explode("checks").alias("check")).select(*KEY, "check.path", "check.digest")
+    kinds = checks.groupBy("path", "digest").agg(F.count("*").alias("n")).groupBy("path").agg(F.count("*").alias("kinds"))
+    refuted = C.materialize(kinds.where("kinds > 1").select("path"), "refuted")
+    if not refuted.limit(1).count():
+        return done.select(*columns)
+    # hashes collided: the windows of such paths are compared by their words, the rows that hold them done again
+    paths = C.materialize(paths, "paths")
+    again = C.materialize(checks.join(refuted, "path", "left_semi").select(*KEY).distinct(), "rows")
+    digests = _with_spans(base, paths.join(refuted, "path", "left_semi"), "inner").mapInArrow(_window_digests, "doc long, no_id boolean, text_key long, start int, digest binary")
+    digests = C.materialize(digests, "digests")
+    twice = digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    found = digests.join(twice, "digest", "left_semi").select(*KEY, "start").distinct().select(*KEY, "start", F.lit(1).alias("length"), F.lit(0).cast("long").alias("path"))
+    spans = paths.join(refuted, "path", "left_anti").join(again, KEY, "left_semi").unionByName(found)
+    anew = _with_spans(base.join(again, KEY, "left_semi"), spans, "left").mapInArrow(_remove(with_text), ddl)
+    return done.join(again, KEY, "left_anti").select(*columns).unionByName(anew.select(*columns))
