@@ -3,7 +3,7 @@
 A flat file is little-endian 16- or 32-bit ids on end, without an index.  Files
 are cut into blocks of fixed size; a task finds the separators of a block with
 one vectorised comparison, and a prefix scan over block summaries (separators so
-far, place of the last one) stitches documents that span blocks.
+far, place of the last one), a row a block, stitches documents that span blocks.
 """
 
 from __future__ import annotations
@@ -32,9 +32,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
 
     Runs now.  Gives (file, ordinal, doc_id, bytes): a row per document in file
     order, and one per file whose ordinal is null and which says its length.
-    File names hold the attempt, so what a lost task left is never read.
+    File names hold the attempt, so what a lost task left is never read.  Text
+    that spells a special token is ordinary text, so end_id stands at ends only
+    where the vocabulary has no other use for it.  Identifiers that dtype can't
+    hold are an error.
     """
     path = tokenizer or default_path()
+    if max(encoder(path).vocabulary_size - 1, end_id) > np.iinfo(dtype).max:
+        raise ValueError(f"{dtype} is too narrow for the identifiers of {path}")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
@@ -47,7 +52,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         with system.open_output_stream(where) as out:
             for batch in batches:
                 for text in batch.column("text"):
-                    b = encode(text.as_py()).astype(dtype).tobytes() + end
+                    b = encode(text.as_py(), special=False).astype(dtype).tobytes() + end
                     out.write(b)
                     size += len(b)
                 n = batch.num_rows
@@ -89,9 +94,10 @@ def count_tokens(files: DataFrame, end_id: int = END_ID, dtype: str = DTYPE, blo
     if block_bytes % width:
         raise ValueError("blocks must hold whole identifiers")
     blocks = files.where("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / block_bytes).cast("long"))).alias("block"))
-    scanned = blocks.repartition("file", "block").mapInArrow(_scan(end_id, dtype, block_bytes), _SCANNED_DDL)
+    scanned = C.materialize(blocks.repartition("file", "block").mapInArrow(_scan(end_id, dtype, block_bytes), _SCANNED_DDL), "separators")  # each file is read once
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = scanned.withColumns({"base": F.coalesce(F.sum("n_ends").over(before), F.lit(0)), "prev": F.coalesce(F.max("last_end").over(before), F.lit(-1))})
+    summaries = scanned.select("file", "block", F.coalesce(F.sum("n_ends").over(before), F.lit(0)).alias("base"), F.coalesce(F.max("last_end").over(before), F.lit(-1)).alias("prev"))
+    stitched = scanned.select("file", "block", "ends").where("size(ends) > 0").join(summaries, ["file", "block"])
     at = stitched.select("file", "base", "prev", "ends", F.posexplode("ends").alias("k", "end"))
     n = F.col("end") - F.when(F.col("k") == 0, F.col("prev")).otherwise(F.get("ends", F.col("k") - 1)) - 1
     whole = at.select("file", (F.col("base") + F.col("k")).alias("ordinal"), n.alias("n_tokens"), F.lit(True).alias("ended"))

@@ -24,7 +24,10 @@ def _bytes_of_characters() -> dict[str, int]:
 
 
 class ByteBpe:
-    """The ids that the `tokenizers` library gives for a byte-level BPE file with special tokens neither added nor looked for.
+    """The ids that the `tokenizers` library gives for a byte-level BPE file, add_special_tokens=False.
+
+    Text that spells a special token gets that token's id, as there, unless
+    encode() is told that it is ordinary text (encode_special_tokens there).
 
     In these files a merged token's id grows with the place of its merge, so the
     ids serve as merge ranks and a rank-based encoder gives the same ids, three
@@ -39,13 +42,14 @@ class ByteBpe:
         if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"] or spec["normalizer"]:
             raise ValueError(f"{path} is no plain byte-level BPE")
         byte = _bytes_of_characters()
-        special = {t["content"] for t in spec["added_tokens"] if t["special"]}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.encoding = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.vocabulary_size = max(spec["model"]["vocab"].values()) + 1
+        self.encoding = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.vocabulary_size = max([*spec["model"]["vocab"].values(), *special.values()]) + 1
 
-    def encode(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+    def encode(self, text: str, special: bool = True) -> np.ndarray:
+        """special: whether spelled special tokens are found."""
+        return self.encoding.encode_to_numpy(text, allowed_special="all" if special else set(), disallowed_special=()).astype(np.uint32, copy=False)
 
 
 _encoders: dict[str, ByteBpe] = {}
