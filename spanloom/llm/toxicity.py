@@ -2,16 +2,18 @@
 
 A word is the mean of the vectors of its character n-grams, so a misspelling
 that training never saw shares most of its vector with the word it distorts.  A
-document is the sum over its distinct words over the root of the number of words
-that have a vector (a plain mean would drown a few words in a long text), and
-the softmax is linear in it.  Embeddings and softmax are fitted together by Adam;
-buckets that tell the classes apart in no significant way keep the zero vector.
+document is the mean over all of its words, and the softmax is linear in it.
+Embeddings and softmax are fitted together by mini-batches with Adagrad: first
+those of the buckets that tell the classes apart by themselves, then, from there,
+those of all buckets, each on a scale that falls with the weakness of its own
+evidence, which takes the place of a penalty.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,14 @@ from . import common as C
 
 #: Labelled rows that the classifier is fitted on at most, of each class: those with the smallest hashes of their doc_id.
 FIT_ROWS = {0: 4000, 1: 2000}
-#: Longest text of a fitting row, in characters; only fitting is bounded, scoring reads whole texts.
-FIT_CHARS = 20_000
 THRESHOLD = 0.3
-BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 17, 8, 60, 0.05, 7
-#: Least two-proportion z score of a bucket that gets a vector of its own, and the decay of vectors.
-LEAST_Z, DECAY = 4.0, 1e-5
+BUCKETS, DIM, SEED = 1 << 17, 8, 7
+#: Passes over the fitting rows with the buckets of a two-proportion z score of LEAST_Z or more, then with all; the scale of another bucket is (|z| / LEAST_Z) ** STEEP.
+FIRST, ALL, LEAST_Z, STEEP = 20, 1, 5.0, 8
+#: Documents of a batch, rate of Adagrad, and the factor of the averages that go into the softmax.
+BATCH, RATE, SCALE = 64, 0.2, 30.0
+#: Words without a vector that every average takes in, lest a short text hang on one word.
+NEUTRAL = 20
 NGRAMS = (3, 4, 5, 6)
 CACHE_WORDS = 300_000
 #: Characters of a run without white space that stands as one word; longer ones are taken apart into words and windows of WINDOW characters.
@@ -38,13 +42,23 @@ _INK = re.compile(r"[\w@$]")
 _JOINT = re.compile(r"(?<=(?:[^\W_]|[@$])(?:[^\W_]|[@$]))(?:[^\w@$]|_)+(?=(?:[^\W_]|[@$]){2})")
 
 
-def words(text: str) -> list[str]:
-    """Distinct lower-case words as they stand, long ones in pieces; normal() takes punctuation off them."""
-    own = set(text.lower().split())
+def words(text: str) -> Counter[str]:
+    """How often the lower-case words of a text stand there, long ones in pieces; normal() takes punctuation off them."""
+    own = Counter(text.lower().split())
     for w in [w for w in own if len(w) > LONG]:
-        own.discard(w)
-        own.update(pieces(w))
-    return list(own)
+        n = own.pop(w)
+        for p in pieces(w):
+            own[p] += n
+    return own
+
+
+def bag(text: str) -> dict[str, int]:
+    """How often the words of a text, normal()ised, stand there."""
+    out: dict[str, int] = {}
+    for w, n in words(text).items():
+        if w := normal(w):
+            out[w] = out.get(w, 0) + n
+    return out
 
 
 def pieces(run: str) -> Iterator[str]:
@@ -105,13 +119,22 @@ def hash_word(w: str) -> int:
     return zlib.crc32(b) | zlib.adler32(b) << 32
 
 
-def _segment_sum(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(counts), x.shape[1]), np.float32)
-    full = counts > 0
-    if full.any():
-        starts = (np.cumsum(counts) - counts)[full]
-        out[full] = np.add.reduceat(x, starts, axis=0)
-    return out
+class _Rows:
+    """Fitting rows as weighted buckets: a word's n-grams share its weight, a document's words, repeated ones and NEUTRAL more included, share 1."""
+
+    def __init__(self, bags: list[dict[str, int]]):
+        index: dict[str, int] = {}
+        self.docs = [(np.fromiter((index.setdefault(w, len(index)) for w in b), np.int64, len(b)), np.fromiter(b.values(), np.float64, len(b))) for b in bags]
+        self.ids, self.counts = ngram_ids(list(index)) if index else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct buckets, weights) of a document."""
+        own, times = self.docs[i]
+        n = self.counts[own]
+        at = np.arange(n.sum()) + np.repeat(self.starts[own] - (np.cumsum(n) - n), n)
+        ids, back = np.unique(self.ids[at], return_inverse=True)
+        return ids, np.bincount(back, np.repeat(times / (times.sum() + NEUTRAL) / n, n), len(ids)).astype(np.float32)
 
 
 class SubwordSoftmax:
@@ -120,7 +143,7 @@ class SubwordSoftmax:
     def __init__(self, embeddings: np.ndarray, out: np.ndarray, bias: np.ndarray):
         self.embeddings, self.out, self.bias = embeddings, out, bias
         #: what each bucket adds to the log odds of class 1, before averaging
-        self.odds = (embeddings @ (out[:, 1] - out[:, 0])).astype(np.float64)
+        self.odds = (embeddings @ (out[:, 1] - out[:, 0])).astype(np.float64) * SCALE
         self.prior = float(bias[1] - bias[0])
 
     def word_odds(self, vocabulary: list[str]) -> np.ndarray:
@@ -128,66 +151,70 @@ class SubwordSoftmax:
         return np.add.reduceat(self.odds[ids], np.cumsum(counts) - counts) / counts
 
     @classmethod
-    def fit(cls, texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED, rate: float = RATE) -> SubwordSoftmax:
-        index: dict[str, int] = {}
-        doc_words, y1 = [], np.asarray(labels, int)
-        for t in texts:
-            own = {index.setdefault(w, len(index)) for w in map(normal, words(t)) if w}
-            doc_words.append(np.fromiter(own, np.int64, len(own)))
-        vocabulary, dc = list(index), np.array([len(x) for x in doc_words], np.int64)
+    def fit(cls, texts: list[str], labels: np.ndarray, seed: int = SEED) -> SubwordSoftmax:
+        return cls.fit_bags([bag(t) for t in texts], labels, seed=seed)
+
+    @classmethod
+    def fit_bags(cls, bags: list[dict[str, int]], labels: np.ndarray, share: float | None = None, seed: int = SEED) -> SubwordSoftmax:
+        """bags: what bag() gives for each text; share: that of class 1 where the texts come from, if they don't hold as much of it."""
+        y = np.asarray(labels, int)
         rng = np.random.default_rng(seed)
         e = np.zeros((BUCKETS, DIM), np.float32)
         u = (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32)
-        share = float(np.clip(y1.mean() if len(y1) else 0.1, 1e-3, 1 - 1e-3))
-        b = np.array([0.0, np.log(share / (1 - share))], np.float32)
-        if not vocabulary or not 0 < y1.sum() < len(y1):
+        odds = lambda p: float(np.log(np.clip(p, 1e-3, 1 - 1e-3) / (1 - np.clip(p, 1e-3, 1 - 1e-3))))
+        drawn = y.mean() if len(y) else 0.1
+        b = np.array([0.0, odds(drawn)], np.float32)
+        rows = _Rows(bags)
+        if not len(rows.ids) or not 0 < y.sum() < len(y):
             return cls(e, u, b)
-        ng, nc = ngram_ids(vocabulary)
-        # documents of each class that hold a bucket: buckets that don't tell the classes apart keep the zero vector
-        hits = np.zeros((2, BUCKETS))
-        ends = np.cumsum(nc)
-        for x, k in zip(doc_words, y1):
-            own = np.unique(np.concatenate([ng[ends[w] - nc[w] : ends[w]] for w in x])) if len(x) else x
-            hits[k, own] += 1
-        n0, n1 = (y1 == 0).sum(), (y1 == 1).sum()
-        pooled = (hits.sum(0) + 1) / (len(y1) + 2)
-        z = (hits[1] / n1 - hits[0] / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / n1))
-        told = np.abs(z) >= LEAST_Z
+        hits = np.zeros((2, BUCKETS))  # documents of each class that hold a bucket
+        for i, k in enumerate(y):
+            hits[k, rows.of(i)[0]] += 1
+        n0, n1 = (y == 0).sum(), (y == 1).sum()
+        pooled = (hits.sum(0) + 1) / (len(y) + 2)
+        z = np.abs((hits[1] / n1 - hits[0] / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / n1)))
+        told = z >= LEAST_Z
         e[told] = rng.standard_normal((int(told.sum()), DIM)) * 0.01
-        keep = told[ng]
-        word_of = np.repeat(np.arange(len(nc), dtype=np.int32), nc)[keep]
-        ng = ng[keep]
-        kept = np.bincount(word_of, minlength=len(nc))
-        inv_n = (1 / nc).astype(np.float32)[:, None]
-        useful = kept > 0
-        doc_words = [x[useful[x]] for x in doc_words]
-        mc = np.array([len(x) for x in doc_words], np.int64)
-        inv_d = (1 / np.sqrt(np.maximum(mc, 1))).astype(np.float32)[:, None]
-        dw, doc_of = np.concatenate(doc_words), np.repeat(np.arange(len(mc)), mc)
-        by_word, by_bucket = np.argsort(dw, kind="stable"), np.argsort(ng, kind="stable")
-        wc, bc = np.bincount(dw, minlength=len(vocabulary)), np.bincount(ng, minlength=BUCKETS)
-        word_by_bucket, doc_by_word = word_of[by_bucket], doc_of[by_word]
-        y = np.zeros((len(texts), 2), np.float32)
-        y[np.arange(len(texts)), y1] = 1
-        state = [(np.zeros_like(p), np.zeros_like(p)) for p in (e, u, b)]
-        for step in range(1, epochs + 1):
-            wv = _segment_sum(e[ng], kept) * inv_n
-            dv = _segment_sum(wv[dw], mc) * inv_d
-            g = dv @ u + b
+        scale = (np.minimum(1, z / LEAST_Z) ** STEEP).astype(np.float32)
+        few = [(ids[k := told[ids]], w[k]) for ids, w in map(rows.of, range(len(y)))]
+
+        def every(i: int) -> tuple[np.ndarray, np.ndarray]:
+            ids, w = rows.of(i)
+            return ids, w * scale[ids]
+
+        state = [np.full(BUCKETS, 1e-8, np.float32), np.full(u.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)]
+        _train(few.__getitem__, y, e, u, b, state, FIRST, rng)
+        _train(every, y, e, u, b, state, ALL, rng)
+        b[1] += odds(drawn if share is None else share) - odds(drawn)
+        return cls(e * scale[:, None], u, b)
+
+
+def _train(row: Callable, y: np.ndarray, e: np.ndarray, u: np.ndarray, b: np.ndarray, state: list, epochs: int, rng) -> None:
+    """Change e, u and b; state: sums of their squared gradients so far."""
+    for _ in range(epochs):
+        order = rng.permutation(len(y))
+        for a in range(0, len(order), BATCH):
+            own = [(i, *row(i)) for i in order[a : a + BATCH].tolist()]
+            own = [x for x in own if len(x[1])]
+            if not own:
+                continue
+            n = np.array([len(ids) for _, ids, _ in own])
+            ids, w = np.concatenate([x[1] for x in own]), np.concatenate([x[2] for x in own])[:, None] * np.float32(SCALE)
+            averages = np.add.reduceat(e[ids] * w, np.cumsum(n) - n, axis=0)
+            g = averages @ u + b
             g = np.exp(g - g.max(1, keepdims=True))
-            g = (g / g.sum(1, keepdims=True) - y) / len(texts)
-            gd = (g @ u.T) * inv_d
-            gw = _segment_sum(gd[doc_by_word], wc) * inv_n
-            ge = _segment_sum(gw[word_by_bucket], bc) + DECAY * e
-            for q, grad, (m, v) in zip((e, u, b), (ge, dv.T @ g, g.sum(0)), state):
-                m += 0.1 * (grad - m)
-                v += 0.01 * (grad * grad - v)
-                q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        return cls(e, u, b)
-
-
-def _score_words(total: float, prior: float, count: int) -> float:
-    return float(1 / (1 + np.exp(-np.clip(prior + total / np.sqrt(max(count, 1)), -50, 50))))
+            g /= g.sum(1, keepdims=True)
+            g[np.arange(len(own)), y[[x[0] for x in own]]] -= 1
+            g /= len(own)
+            by_bucket = np.argsort(ids, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(ids[by_bucket]) != 0))
+            ge = np.add.reduceat((np.repeat(g @ u.T, n, axis=0) * w)[by_bucket], first, axis=0)
+            at = ids[by_bucket][first]
+            state[0][at] += (ge * ge).mean(1)
+            e[at] -= RATE * ge / np.sqrt(state[0][at])[:, None]
+            for q, grad, h in ((u, averages.T @ g, state[1]), (b, g.sum(0), state[2])):
+                h += grad * grad
+                q -= RATE * grad / np.sqrt(h)
 
 
 class Scorer:
@@ -199,20 +226,20 @@ class Scorer:
         self._reset()
 
     def _reset(self) -> None:
-        self.raw: dict[str, int] = {}  # a word as it stands: its number, -1 where nothing is left of it
-        self.index: dict[str, int] = {}
+        self.raw: dict[str, int] = {}  # a word as it stands: its number, 0 where nothing is left of it
+        self.index: dict[str, int] = {"": 0}
         self.odds = np.zeros(1 << 16)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if len(self.raw) > CACHE_WORDS:
             self._reset()
-        sets = [words(t) for t in texts]
+        bags = [words(t) for t in texts]
         fresh: list[str] = []
-        for own in sets:
+        for own in bags:
             for w in own:
                 if w not in self.raw:
                     n = normal(w)
-                    k = self.index.get(n) if n else -1
+                    k = self.index.get(n)
                     if k is None:
                         k = self.index[n] = len(self.index)
                         fresh.append(n)
@@ -224,13 +251,12 @@ class Scorer:
             some = fresh[a : a + 20_000]
             at = have - len(fresh) + a
             self.odds[at : at + len(some)] = self.model.word_odds(some)
-        out = np.empty(len(texts))
-        for i, own in enumerate(sets):
-            ids = set(map(self.raw.__getitem__, own))
-            ids.discard(-1)
-            o = self.odds[sorted(ids)] if ids else np.zeros(1)
-            out[i] = _score_words(o.sum(), self.model.prior, int(np.count_nonzero(o)))
-        return out
+        mean = np.zeros(len(texts))
+        for i, own in enumerate(bags):
+            ids = np.fromiter(map(self.raw.__getitem__, own), np.int64, len(own))
+            times = np.fromiter(own.values(), np.float64, len(own)) * (ids > 0)
+            mean[i] = self.odds[ids] @ times / (times.sum() + NEUTRAL)
+        return 1 / (1 + np.exp(-np.clip(self.model.prior + mean, -50, 50)))
 
 
 def held_out():
@@ -241,18 +267,31 @@ def held_out():
 def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: dict[int, int] | None = None) -> SubwordSoftmax:
     """Fit on at most fit_rows[label] labelled rows of each class, none of them held out (crc32(doc_id) mod 4 = 2).
 
-    Rows whose label or doc_id is null are left out; without both classes the
-    model scores every text with the share of class 1.
+    Rows whose label or doc_id is null are left out; of documents that share a
+    doc_id the smallest text is learnt from; without both classes the model
+    scores every text with the share of class 1.
     """
     most = fit_rows or FIT_ROWS
     learn = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     learn = learn.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [learn.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in sorted(most.items())]
     ids = some[0].unionByName(some[1])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(C.text_or_empty(), 1, FIT_CHARS).alias("text"))
-    # the ids are at most sum(most) rows; a repeated doc_id can't make the sample larger than twice that
-    rows = rows.join(F.broadcast(ids), "doc_id").limit(2 * sum(most.values())).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return SubwordSoftmax.fit(rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), int))
+    share = learn.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_or_empty())
+    # the ids are at most sum(most) rows, and of rows that repeat a doc_id the one with the smallest text is taken
+    rows = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    # texts are whole, and what comes here of each is its distinct words with their counts
+    rows = rows.mapInArrow(_bags, "doc_id long, toxic int, words array<string>, counts array<int>").toArrow().sort_by([("doc_id", "ascending")])
+    bags = [dict(zip(w, n)) for w, n in zip(rows.column("words").to_pylist(), rows.column("counts").to_pylist())]
+    return SubwordSoftmax.fit_bags(bags, np.array(rows.column("toxic").to_pylist(), int), share)
+
+
+def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [bag(t) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("toxic"), pa.array([list(x) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], names=["doc_id", "toxic", "words", "counts"]
+        )
 
 
 _DDL = "doc_id long, score double"
