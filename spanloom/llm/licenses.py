@@ -51,8 +51,10 @@ CLAIM = "Proprietary"
 LINE, WHOLE = 0.75, 0.7
 #: Terms of a header at most that is wrapped over several lines.
 HEADER_TERMS = 64
-#: Directories whose licenses are broadcast at most.
-BROADCAST_DIRECTORIES = 20_000
+#: Directories whose licenses are broadcast at most, and characters of their names.
+BROADCAST_DIRECTORIES, BROADCAST_CHARS = 20_000, 4_000_000
+#: Digits of a cosine: scores that differ in rounding only are ties.
+DIGITS = 9
 
 _TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
@@ -97,7 +99,7 @@ class FileMatcher:
             for i, y in self.postings.get(w, ()):
                 score[i] += x * y
         i = max(range(len(score)), key=lambda k: (score[k], -k))
-        return score[i] / math.sqrt(total), self.names[i]
+        return round(score[i] / math.sqrt(total), DIGITS), self.names[i]
 
 
 class Matcher:
@@ -135,7 +137,7 @@ class Matcher:
             for i, x in self.postings.get(w, ()):
                 score[i] += c * self.idf[w] * x
         i = max(range(len(score)), key=lambda k: (score[k], -k))
-        return (score[i] / norm if norm else 0.0), i
+        return (round(score[i] / norm, DIGITS) if norm else 0.0), i
 
     def wrapped(self, lines: list[str], cued: list[int], top: tuple) -> tuple:
         """top, or a better (cosine, template, first line) of a header that goes over several lines, one of them in cued."""
@@ -173,8 +175,8 @@ class Matcher:
                         score[i] += self.idf[w] * x
                 if b > a and hit:
                     i = max(range(len(score)), key=lambda k: (score[k], -k))
-                    s = score[i] / math.sqrt(norm)
-                    if s >= self.line and s > top[0] + 1e-9 and self.names[i] != CLAIM:
+                    s = round(score[i] / math.sqrt(norm), DIGITS)
+                    if s >= self.line and s > top[0] and self.names[i] != CLAIM:
                         top = (s, i, a)
         return top
 
@@ -196,7 +198,7 @@ class Matcher:
                 elif s > top[0]:
                     top = (s, i, k)
         top = self.wrapped(lines, cued, top)
-        s, i = self.best(text) if cue and (len(text) < 100_000 or top[2] is None) else (0.0, 0)
+        s, i = self.best(text) if cue else (0.0, 0)
         if file[0] >= self.whole and (file[0] >= s or self.names[i] == CLAIM):
             return file[1], file[0], top[2], True
         if s >= self.whole and (self.names[i] != CLAIM or top[2] is None):
@@ -222,24 +224,26 @@ def scan_licenses(docs: DataFrame, path) -> DataFrame:
 
     path: a Column, the place of a text in a tree, segments separated by "/"; a
     null path has no directories above it.  Of the license files of a directory
-    the one of the highest score, then smallest doc_id, holds for what is below.
+    the one of the highest score, then smallest doc_id, then smallest license,
+    holds for what is below.
     Null and empty texts have no license of their own but inherit.  Repeated rows
     and null doc_ids are scanned like any other; an empty table gives no rows.
     """
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_or_empty(), path.cast("string").alias("path")).mapInArrow(_scan, _FOUND_DDL)
     found = C.materialize(found.withColumn("directory", F.regexp_extract("path", "^(.*)/[^/]*$", 1)), "licenses")
-    files = found.where("is_file and path is not null").groupBy("directory").agg(F.min_by("license", F.struct(-F.round("score", 9), F.coalesce("doc_id", F.lit(2**63 - 1)))).alias("inherited"))
+    files = found.where("is_file and path is not null").groupBy("directory").agg(F.min_by("license", F.struct(-F.col("score"), F.coalesce("doc_id", F.lit(2**63 - 1)), "license")).alias("inherited"))
     files = files.select(F.col("directory").alias("ancestor"), "inherited")
     directories = found.where("path is not null").select("directory").distinct()
     parts = F.split("directory", "/")
     above = directories.select("directory", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("ancestor"))
     nearest = above.join(files, "ancestor").groupBy("directory").agg(F.max_by(F.struct("ancestor", "inherited"), F.length("ancestor")).alias("near"))
     nearest = C.materialize(nearest.select("directory", "near.ancestor", "near.inherited"), "directories")
-    side = F.broadcast(nearest) if nearest.limit(BROADCAST_DIRECTORIES + 1).count() <= BROADCAST_DIRECTORIES else nearest
+    rows, chars = nearest.agg(F.count("*"), F.coalesce(F.sum(F.length("directory") + F.length("ancestor")), F.lit(0))).first()
+    side = F.broadcast(nearest) if rows <= BROADCAST_DIRECTORIES and chars <= BROADCAST_CHARS else nearest
     out = found.join(side, "directory", "left")
     own = F.col("license").isNotNull()
     how = F.when(own, "own").when(F.col("inherited").isNotNull() & F.col("path").isNotNull(), "inherited").otherwise("none")
     return out.withColumn("found_in", how).select(
-        "doc_id", F.when(F.col("found_in") == "inherited", F.col("inherited")).otherwise(F.col("license")).alias("license"), F.round("score", 9).alias("score"), "line", "found_in",
+        "doc_id", F.when(F.col("found_in") == "inherited", F.col("inherited")).otherwise(F.col("license")).alias("license"), "score", "line", "found_in",
         F.when(F.col("found_in") == "inherited", F.col("ancestor")).alias("directory"),
     )
