@@ -69,7 +69,7 @@ class HarmonicBins:
         start, total = 0, len(ids)
         for size, k in harmonic_cuts(total, self.capacity):
             bin_ = self.open.setdefault(k, [])
-            bin_.append((doc, start, ids[start : start + size], total))
+            bin_.append((doc, start, ids[start : start + size] if size == self.capacity else ids[start : start + size].copy(), total))  # a view would keep the whole text's ids alive
             start += size
             if len(bin_) == k:
                 self._emit(self.open.pop(k), k)
@@ -94,8 +94,9 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     """Pack the texts of docs into sequences of at most `capacity` tokens; one row per piece.
 
     doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, class_k
-    and, with_ids, the ids of the piece.  A text that is null or empty is the
-    single token end_id.  Null doc_ids and repeated rows are packed like any
+    and, with_ids, the ids of the piece.  Text that spells a special token of the
+    vocabulary is that token.  A text that is null or empty is the single token
+    end_id; a text of any length is cut.  Null doc_ids and repeated rows are packed like any
     other row.  sequence_id is the task's number times 2**33 plus its bins so
     far; sequences are shorter than capacity where a class leaves a rest and at
     the end of a task.  An empty table gives no rows; other columns are ignored.
