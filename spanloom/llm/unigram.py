@@ -1,13 +1,16 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie.
 
-Pieces and their log scores come from a public model file (a BPE model's scores
-serve as they are).  As no piece of such files holds the white-space marker after
-another character, the best path splits at markers; every distinct word is
-encoded once, many words at a time.
+Pieces and their log scores come from a public model file.  A unigram model's
+scores are log probabilities; those of a BPE model are the ranks of its merges,
+from which Zipf's law gives log probabilities without any training.  As no piece
+of such files holds the white-space marker after another character, the best path
+splits at markers, and within long words wherever no piece goes across; every
+distinct word is encoded once, many words at a time.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from collections.abc import Iterable, Iterator
@@ -22,6 +25,11 @@ from . import common as C
 MARK = "▁"
 UNK_PENALTY = 10.0
 CACHE_WORDS = 500_000
+#: Mandelbrot's shift of ranks in Zipf's law.
+SHIFT = 2.7
+#: Characters of a word beyond which it is cut, and bytes of what is left uncut beyond which it is encoded by itself.
+LONG_WORD, ALONE = 48, 256
+BPE = 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -62,6 +70,15 @@ def _fields(b: bytes) -> Iterator[tuple[int, object]]:
             i += size
 
 
+def log_scores(scores: np.ndarray, types: np.ndarray, model_type: int) -> np.ndarray:
+    """Log probabilities of pieces, in steps of 2**-16 so that sums of them are exact: a BPE model's scores are negated ranks r, whose share is 1 / (r + SHIFT)."""
+    normal = types == NORMAL
+    if model_type == BPE and normal.any():
+        share = np.where(normal, 1 / (scores[normal].max() - scores + SHIFT), 0)
+        scores = np.where(normal, np.log(share / share.sum(), where=normal, out=np.zeros(len(share))), scores)
+    return np.round(scores * 65536) / 65536
+
+
 def read_model(path: str) -> dict:
     """Pieces (as bytes), scores, types and switches of a SentencePiece model file."""
     with open(path, "rb") as f:
@@ -82,7 +99,8 @@ def read_model(path: str) -> dict:
             flags |= {"charsmap": d.get(2, b""), "dummy_prefix": bool(d.get(3, 1)), "squeeze": bool(d.get(4, 1)), "escape": bool(d.get(5, 1))}
     if flags["charsmap"] or flags["squeeze"] or not flags["escape"]:
         raise ValueError("only models that leave their text as it is are read")
-    return {"pieces": pieces, "scores": np.array(scores), "types": np.array(types), **flags}
+    types = np.array(types)
+    return {"pieces": pieces, "scores": log_scores(np.array(scores), types, flags["model_type"]), "types": types, **flags}
 
 
 class DoubleArray:
@@ -157,6 +175,8 @@ class Unigram:
             self.byte_id[int(self.pieces[i][3:-1], 16)] = i
         self.trie = trie or DoubleArray([self.pieces[i] for i in normal], normal)
         self.out = [b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else bytes([int(p[3:-1], 16)]) if t == BYTE else p.replace(mark, b" ") for p, t in zip(self.pieces, self.types)]
+        self.longest = max(len(self.pieces[i]) for i in normal)
+        self.lists: tuple | None = None
         self._reset()
 
     def _reset(self) -> None:
@@ -168,6 +188,9 @@ class Unigram:
         """Ids of the best path of every word; of equal paths the one whose last piece is longest, as in lattice order."""
         out: list[list[int]] = [[]] * len(words)
         by_size = sorted(range(len(words)), key=lambda i: len(words[i]))
+        while by_size and len(words[by_size[-1]]) > ALONE:
+            i = by_size.pop()
+            out[i] = self._one(words[i])
         a = 0
         while a < len(by_size):
             size = len(words[by_size[a]])
@@ -222,23 +245,87 @@ class Unigram:
                 up = score > best[to, w]
                 w = w[up]
                 best[to, w], back[to, w], piece[to, w] = score[up], s, self.unk
-        out = []
-        for i, w in enumerate(words):
-            ids, at = [], int(lens[i])
-            while at:
-                s = int(back[at, i])
-                p = int(piece[at, i])
-                ids.extend([int(self.byte_id[x]) for x in reversed(w[s:at])] if p == self.unk and self.byte_fallback else [p])
-                at = s
-            out.append(ids[::-1])
-        return out
+        return [self._path(w, back[:, i], piece[:, i]) for i, w in enumerate(words)]
+
+    def _one(self, word: bytes) -> list[int]:
+        """_batch() for one long word, by plain loops."""
+        if self.lists is None:
+            self.lists = (self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist(), self.scores.tolist())
+        base, check, value, scores = self.lists
+        n, low = len(word), -math.inf
+        best, back, piece = [0.0] + [low] * n, [0] * (n + 1), [0] * (n + 1)
+        for s in range(n):
+            c = word[s]
+            here = best[s]
+            if c & 0xC0 == 0x80 or here == low:
+                continue
+            single = s + (1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4)
+            state, known = 0, False
+            for e in range(s + 1, n + 1):
+                nxt = base[state] + word[e - 1] + 1
+                if check[nxt] != state:
+                    break
+                state = nxt
+                p = value[state]
+                if p >= 0:
+                    known |= e == single
+                    if here + scores[p] > best[e]:
+                        best[e], back[e], piece[e] = here + scores[p], s, p
+            if not known and here + self.unk_score > best[single]:
+                best[single], back[single], piece[single] = here + self.unk_score, s, self.unk
+        return self._path(word, back, piece)
+
+    def _path(self, word: bytes, back, piece) -> list[int]:
+        ids, at = [], len(word)
+        while at:
+            s, p = int(back[at]), int(piece[at])
+            ids.extend([int(self.byte_id[x]) for x in reversed(word[s:at])] if p == self.unk and self.byte_fallback else [p])
+            at = s
+        return ids[::-1]
+
+    def cuts(self, word: bytes) -> list[int]:
+        """Places within a word that no piece goes across, so that the best path has an edge there."""
+        c = np.frombuffer(word, np.uint8).astype(np.int32)
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        out, far = [], 0
+        for a in range(0, len(c), 1 << 20):
+            b = min(a + (1 << 20), len(c))
+            lead = c[a:b]
+            who = a + np.flatnonzero((lead & 0xC0) != 0x80)
+            first = c[who]
+            reach = np.zeros(b - a, np.int64)
+            reach[who - a] = who + np.where(first < 0x80, 1, np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4)))
+            state, at = np.zeros(len(who), np.int32), who.copy()
+            while len(who):
+                nxt = base[state] + c[np.minimum(at, len(c) - 1)] + 1
+                ok = (at < len(c)) & (check[nxt] == state)
+                who, state, at = who[ok], nxt[ok], at[ok] + 1
+                hit = value[state] >= 0
+                reach[who[hit] - a] = np.maximum(reach[who[hit] - a], at[hit])
+            reach[0] = max(reach[0], far)
+            reach = np.maximum.accumulate(reach)
+            far = int(reach[-1])
+            place = np.arange(a + 1, b + 1)
+            out.append(place[(reach <= place) & (place < len(c))])
+        return np.concatenate(out).tolist() if out else []
 
     def words(self, text: str) -> list[str]:
-        """The text with markers, cut where a marker follows another character."""
+        """The text with markers, cut where a marker follows another character; long words are cut further."""
         if not text:
             return []
         text = text.replace(" ", MARK)
-        return _WORD.findall(MARK + text if self.dummy_prefix else text)
+        found = _WORD.findall(MARK + text if self.dummy_prefix else text)
+        if max(map(len, found)) <= LONG_WORD:
+            return found
+        out: list[str] = []
+        for w in found:
+            if len(w) <= LONG_WORD:
+                out.append(w)
+            else:
+                b = w.encode("utf-8", "surrogatepass")
+                edges = [0, *self.cuts(b), len(b)]
+                out += [b[x:y].decode("utf-8", "surrogatepass") for x, y in zip(edges, edges[1:])]
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts on end, number of ids of each)."""
