@@ -40,6 +40,20 @@ def test_pipeline(spark, tmp_path):
     assert 1000 not in found and 1001 not in found and 1002 not in found and 1003 in found
 
 
+def test_stages_tell_rows_of_one_id_apart(spark, tmp_path):
+    """Null ids, repeated ids and repeated rows beside columns with clashing names."""
+    rows = [(1, "alpha x", "k"), (None, "alpha x", "k"), (None, "beta y", "k"), (4, "B text", "k"), (5, "A text", "k"), (5, "B text", "k"), (5, "A text", "k"), (6, None, "k"), (7, " ", "k"), (8, "C  text", "k"), (8, "C text", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text string").selectExpr("*", "1 AS k1", "2 AS row", "3 AS text_key", "4 AS kept", "5 AS `a.b`")
+    got = P.exact(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, "beta y"), (1, "alpha x"), (4, "B text"), (5, "A text"), (7, " "), (8, "C  text")]
+    assert all(r._text == "k" and r["a.b"] == 5 for r in got.collect())
+    near = P.near(spark, docs, str(tmp_path))
+    assert near.columns == docs.columns
+    kept = sorted((r.doc_id or 0, r.text or "") for r in near.collect())
+    assert len(kept) == len(set(kept)) and (0, "beta y") in kept and (1, "alpha x") in kept and (0, "alpha x") not in kept and kept.count((5, "A text")) == 1
+
+
 def test_stages_keep_columns(spark, tmp_path):
     rows, labels = toxic_corpus(spark, 40)
     labels.write.parquet(f"{tmp_path}/labels.parquet")
