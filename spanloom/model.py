@@ -19,11 +19,12 @@ class Collection:
     """Texts with a token address space per document.
 
     docs: (doc, text); annotations: (feature, doc, p, q, v, n) beside the tokens,
-    which are computed from the texts when a query asks for them.
+    which come from a stored index (operators/index.py) if there is one, else from
+    the texts when a query asks for them.
     """
 
-    def __init__(self, docs: DataFrame, annotations: DataFrame | None = None, params: dict | None = None):
-        self.docs, self.annotations, self.params = docs, annotations, dict(params or {})
+    def __init__(self, docs: DataFrame, annotations: DataFrame | None = None, params: dict | None = None, index=None):
+        self.docs, self.annotations, self.params, self.index = docs, annotations, dict(params or {}), index
 
     @classmethod
     def of(cls, df: DataFrame, id_col: str, text_col: str, **more) -> Collection:
@@ -32,9 +33,29 @@ class Collection:
     def annotate(self, rows: DataFrame) -> Collection:
         """With more annotations; rows whose p > q, whose p is negative or whose feature is null or empty are dropped."""
         rows = rows.where("p <= q and p >= 0 and feature <> ''").select("feature", "doc", "p", "q", "v", "n")
-        return Collection(self.docs, rows if self.annotations is None else self.annotations.unionByName(rows), self.params)
+        return Collection(self.docs, rows if self.annotations is None else self.annotations.unionByName(rows), self.params, self.index)
+
+    def indexed(self, path: str) -> Collection:
+        """With an index, which is built below path unless it is there."""
+        from .operators.index import Index
+
+        index = Index(self.docs.sparkSession, path, self.docs)
+        return Collection(self.docs, self.annotations, self.params, index if index.whole() else Index.build(self.docs, path))
+
+    def stats(self):
+        """The statistics that rankers use (see stats.select)."""
+        from .operators import stats
+
+        return stats.select(self)
+
+    def count_of(self, features: list[str]) -> dict[str, int]:
+        """How often features stand in the collection, a row a feature of the list."""
+        rows = self.index.counts(features) if self.index is not None and self.annotations is None else self.postings(features).groupBy("feature").agg(F.count("*").alias("count"))
+        return {r.feature: r["count"] for r in rows.collect()}
 
     def lengths(self) -> DataFrame:
+        if self.index is not None:
+            return self.index.lengths()
         return self.docs.select("doc", F.size(T.ascii_words(F.col("text"))).cast("long").alias("length"))
 
     def bases(self, bits: int = 16) -> DataFrame:
@@ -75,6 +96,8 @@ class Collection:
         return reduce(lambda a, b: a + b, hits) >= need
 
     def _posting(self, terms: list[str], need: int) -> DataFrame:
+        if self.index is not None:
+            return self.index.postings(terms).select("feature", "doc", "p", F.col("p").alias("q"), F.lit(0.0).alias("v"), F.lit(None).cast("long").alias("n"))
         words = self.docs.where(self._holds(terms, need)).select("doc", F.posexplode(T.ascii_words(F.col("text"))).alias("p", "word"))
         words = words.where(F.lower("word").isin([t.lower() for t in terms]))
         rows = words.select("doc", F.col("p").cast("long").alias("p"), F.explode(T.ascii_features(F.col("word"))).alias("feature")).where(F.col("feature").isin(terms))
@@ -102,13 +125,16 @@ class Collection:
         for i, t in enumerate(terms):
             place.setdefault(t, []).append(i)
         tags = F.create_map(*[x for t, k in place.items() for x in (F.lit(t), F.array(*map(F.lit, k)))])
-        bare = Collection(self.docs)
+        bare = Collection(self.docs, index=self.index)
         return bare.postings(list(place), min(need, len(place))).withColumn("tag", F.explode(tags[F.col("feature")])).select(*I.COLUMNS, "tag")
 
     def gcl(self, query: str | X.Expr) -> DataFrame:
-        """The intervals (doc, p, q, v, n) of a prefix query."""
-        e = X.parse(query) if isinstance(query, str) else query
-        return lower(X.expand_phrases(e, X.split_ascii), self)
+        """The intervals (doc, p, q, v, n) of a prefix query, rewritten by how often its terms stand in the collection where that can help."""
+        e = X.expand_phrases(X.parse(query) if isinstance(query, str) else query, X.split_ascii)
+        if self.params.get("optimize", True) and X.optimize(e, lambda _: 0, False) != e:
+            counts = self.count_of(sorted(set(e.terms())))
+            e = X.optimize(e, lambda t: counts.get(t, 0), False)
+        return lower(e, self)
 
     def infix(self, query: str, session: X.Infix | None = None) -> DataFrame | None:
         """The intervals of an infix query; None for an assignment."""
@@ -123,6 +149,12 @@ class Collection:
 
     def counts(self) -> DataFrame:
         """(feature, count) of all tokens and annotations."""
+        if self.index is not None:
+            every = self.index.counts()
+            if self.annotations is None:
+                return every
+            more = self.annotations.groupBy("feature").agg(F.count("*").alias("count"))
+            return every.unionByName(more).groupBy("feature").agg(F.sum("count").alias("count"))
         every = self.tokens().select("feature")
         if self.annotations is not None:
             every = every.unionByName(self.annotations.select("feature"))

@@ -16,6 +16,20 @@ def gains(qrels: DataFrame, exponential: bool = True) -> DataFrame:
     return qrels.crossJoin(F.broadcast(top)).withColumn("gain", gain).drop("most")  # top is one row
 
 
+def docnos(collection, feature: str) -> DataFrame:
+    """(docno, doc) of the document numbers that stand in a collection under a feature."""
+    from ..functions import text as T
+
+    return collection.translate(collection.term(feature)).select(T.docno(F.col("content")).alias("docno"), "doc")
+
+
+def located(qrels: DataFrame, collection, feature: str) -> DataFrame:
+    """qrels (topic, docno, ...) with the documents of their numbers, which are cleaned first; judgements of documents that aren't there drop out."""
+    from ..functions import text as T
+
+    return qrels.withColumn("docno", T.docno(F.col("docno"))).join(docnos(collection, feature), "docno")
+
+
 def _judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return run.join(qrels.select("topic", "doc", "gain"), ["topic", "doc"], "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)))
 
@@ -97,20 +111,33 @@ def tune_best(trials: DataFrame) -> DataFrame:
 def bootstrap(trials: DataFrame, rounds: int = 1000, seed: int = 1) -> DataFrame:
     """(trial, wins): how often a trial has the largest mean over topics drawn with replacement.
 
-    Topics are drawn by hashes, so a round is the same on every cluster.
+    Topics are drawn by MD5 sums, so a round is the same in every engine.
     """
+    from .rank import uniform
+
     n_topics = trials.select("topic").distinct()
     numbered = n_topics.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("topic")) - 1)
     count = F.broadcast(numbered.agg(F.count("*").alias("m")))
-    draws = numbered.crossJoin(count).select("m", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"), "k").withColumn("pick", F.pmod(F.xxhash64(F.lit(seed), "round", "k"), F.col("m")))
+    pick = F.floor(uniform(F.lit(seed), F.col("round"), F.col("k")) * F.col("m")).cast("long")
+    draws = numbered.crossJoin(count).select("m", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"), "k").withColumn("pick", pick)
     drawn = draws.join(numbered.select(F.col("k").alias("pick"), "topic"), "pick").join(trials, "topic")
     means = drawn.groupBy("round", "trial").agg(F.avg("value").alias("value"))
     return means.groupBy("round").agg(F.max_by("trial", F.struct(F.round("value", 12), -F.col("trial"))).alias("trial")).groupBy("trial").agg(F.count("*").alias("wins"))
 
 
-def running_mean(scores: DataFrame) -> DataFrame:
-    """scores (step, value) with the mean of the values so far."""
-    return scores.withColumn("mean", F.avg("value").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
+def running_mean(scores: DataFrame, bits: int = 16) -> DataFrame:
+    """scores (step, value), steps whole numbers, with the mean of the values so far.
+
+    Prefix sums in two levels: within runs of 2**bits consecutive steps, each a
+    partition of its own, and over the runs' totals, a row a run.
+    """
+    rows = scores.withColumn("run", F.shiftright("step", bits))
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.groupBy("run").agg(F.sum("value").alias("s"), F.count("value").alias("c"))
+    runs = runs.select("run", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"))
+    inner = Window.partitionBy("run").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    within = rows.withColumns({"s1": F.sum("value").over(inner), "c1": F.count("value").over(inner)}).join(runs, "run")
+    return within.withColumn("mean", (F.col("s0") + F.col("s1")) / (F.col("c0") + F.col("c1"))).drop("run", "s0", "s1", "c0", "c1")
 
 
 def training_triples(topics: DataFrame, better: DataFrame, texts: DataFrame) -> DataFrame:

@@ -1,15 +1,19 @@
-"""Ranking models, fusion and feedback over (doc, text) tables.
+"""Ranking models, fusion and feedback over (doc, text) tables or stored statistics.
 
 Queries are (topic, term, w); results (topic, doc, score, rank), scores rounded
 to DIGITS digits so that ties are ties everywhere, and broken by doc.  Query
-terms are broadcast behind a check of their number.
+terms are broadcast behind a check of their number and size.  Where a function
+takes `docs`, a stats.Stats, as a stored index is, may stand in its place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..model import Collection
 from . import intervals as I
 from . import stats as S
@@ -19,8 +23,8 @@ DEFAULTS = {"bm25": {"b": 0.25, "k1": 0.5}, "lmd": {"mu": 2000.0}, "ssr": {"K":
 #: Ranges that parameters are drawn from when tuning: (least, most, whether on a log scale).
 RANGES = {"bm25": {"b": (0.0, 1.0, False), "k1": (0.01, 1000.0, True)}, "lmd": {"mu": (100.0, 10000.0, False)}, "ssr": {"K": (1.0, 1000.0, True)}, "tiered": {"delta": (0.0, 10.0, False)}}
 DEPTH = 1000
-#: Query terms that are broadcast at most; a larger query set joins by shuffle.
-BROADCAST_TERMS = 1_000_000
+#: Rows and bytes of a table that is broadcast at most; a larger one joins by shuffle.
+BROADCAST_TERMS, BROADCAST_BYTES = 1_000_000, 64 << 20
 #: The stop list of the "stop" stage.
 STOPWORDS = "a an and are as at be by for from has he in is it its of on or she that the this to was were what when where which who will with".split()
 
@@ -41,17 +45,17 @@ def random_params(model: str, trials: int, seed: int = 0) -> list[dict[str, floa
     return [dict(DEFAULTS[model]), *({k: draw(*r) for k, r in RANGES[model].items()} for _ in range(trials - 1))][:trials]
 
 
-def few(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+def settle(df: DataFrame) -> tuple[DataFrame, bool]:
+    """(df, whether it is small): a small table is computed once and stands in the plan as rows, a larger one is written to the shared folder."""
+    rows = df.limit(BROADCAST_TERMS + 1).toArrow()
+    if rows.num_rows <= BROADCAST_TERMS and rows.nbytes <= BROADCAST_BYTES:
+        return df.sparkSession.createDataFrame(rows, df.schema), True
+    return shared.materialize(df, "ranking"), False
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has BROADCAST_TERMS rows at most; it is kept, so that the check and the join compute it once."""
-    kept = df.persist()
-    if few(kept):
-        return F.broadcast(kept)
-    kept.unpersist()
-    return df
+    """df, computed once, with a broadcast hint if it is small."""
+    return _hint(*settle(df))
 
 
 def _hint(df: DataFrame, is_small: bool) -> DataFrame:
@@ -77,13 +81,17 @@ def topics(df: DataFrame, id_col: str, text_col: str, words: int | None = None)
 def bm25(docs: DataFrame, queries: DataFrame, params: dict | None = None, depth: int = DEPTH, tf: DataFrame | None = None) -> DataFrame:
     """tf: (doc, len, term, tf) to use in place of the documents' own words."""
     b, k1 = param("bm25", "b", params), param("bm25", "k1", params)
-    is_small = few(queries)
-    own = tf is None and is_small  # then tf holds query terms only, and both uses of it are one scan and one shuffle
-    tf = S.tf(docs, queries if is_small else None) if tf is None else tf
-    n = F.broadcast(S.totals(docs))  # one row
-    weight = tf.groupBy("term").agg(F.count("*").alias("df"))
-    if not own:
-        weight = weight.join(_hint(queries.select("term").distinct(), is_small), "term", "left_semi")
+    stats = S.of(docs)
+    queries, is_small = settle(queries)
+    terms = queries if is_small else None
+    n = F.broadcast(stats.totals())  # one row
+    if tf is None:
+        tf = stats.tf(terms)
+        weight = stats.weights(tf, terms)
+    else:
+        weight = S.Stats.weights(stats, tf)
+    if not is_small:
+        weight = weight.join(queries.select("term").distinct(), "term", "left_semi")
     weight = weight.crossJoin(n).select("term", "avgl", S.rsj(F.col("items"), F.col("df")).alias("rsj")).where("rsj > 0")
     norm = k1 * ((1 - b) + b * F.col("len") / F.col("avgl"))
     score = F.sum(F.col("w") * F.col("rsj") * F.col("tf") / (norm + F.col("tf")))
@@ -91,13 +99,29 @@ def bm25(docs: DataFrame, queries: DataFrame, params: dict | None = None, depth:
     return top(m.groupBy("topic", "doc").agg(score.alias("score")), depth)
 
 
+def bm25_trials(docs, queries: DataFrame, trials: list[dict], depth: int = DEPTH) -> DataFrame:
+    """(trial, topic, doc, score, rank) of BM25 for several parameters at once: matches are read once, and scored for every trial."""
+    stats = S.of(docs)
+    queries, is_small = settle(queries)
+    terms = queries if is_small else None
+    tf = stats.tf(terms)
+    weight = stats.weights(tf, terms).crossJoin(F.broadcast(stats.totals())).select("term", "avgl", S.rsj(F.col("items"), F.col("df")).alias("rsj")).where("rsj > 0")
+    m = tf.join(_hint(weight, is_small), "term").join(_hint(queries, is_small), "term")
+    own = [F.struct(F.lit(i).alias("trial"), F.lit(float(param("bm25", "b", p))).alias("b"), F.lit(float(param("bm25", "k1", p))).alias("k1")) for i, p in enumerate(trials)]
+    m = m.withColumn("x", F.explode(F.array(*own))).select("*", "x.*")
+    norm = F.col("k1") * ((1 - F.col("b")) + F.col("b") * F.col("len") / F.col("avgl"))
+    s = m.groupBy("trial", "topic", "doc").agg(F.round(F.sum(F.col("w") * F.col("rsj") * F.col("tf") / (norm + F.col("tf"))), DIGITS).alias("score")).where("score > 0")
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy("trial", "topic").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= depth)
+
+
 def lmd(docs: DataFrame, queries: DataFrame, params: dict | None = None, depth: int = DEPTH) -> DataFrame:
     """Dirichlet-smoothed language model over matching terms; results may have scores below 0, so they are not cut there."""
-    mu = param("lmd", "mu", params)
-    is_small = few(queries)
-    tf = S.tf(docs, queries if is_small else None)
-    n = F.broadcast(S.totals(docs).select(F.col("length").alias("tokens")))  # one row
-    ctf = tf.groupBy("term").agg(F.sum("tf").alias("ctf")).crossJoin(n)
+    mu, stats = param("lmd", "mu", params), S.of(docs)
+    queries, is_small = settle(queries)
+    terms = queries if is_small else None
+    tf = stats.tf(terms)
+    n = F.broadcast(stats.totals().select(F.col("length").alias("tokens")))  # one row
+    ctf = stats.weights(tf, terms).select("term", "ctf").crossJoin(n)
     m = tf.join(_hint(queries, is_small), "term")
     s = F.sum(F.col("w") * (F.log(mu + F.col("tf") * F.col("tokens") / F.col("ctf")) - F.log(mu + F.col("len"))))
     s = m.join(_hint(ctf, is_small), "term").groupBy("topic", "doc").agg(F.round(s, DIGITS).alias("score"))
@@ -108,8 +132,8 @@ def bm25f(fields: dict[str, DataFrame], weights: dict[str, float], queries: Data
     """BM25 over the weighted sum of field frequencies; a field of weight 0 drops out, a negative weight is an error."""
     if any(w < 0 for w in weights.values()):
         raise ValueError("a field weight is negative")
-    used = {f: d for f, d in fields.items() if weights.get(f)}
-    is_small, every = few(queries), None
+    used, every = {f: d for f, d in fields.items() if weights.get(f)}, None
+    queries, is_small = settle(queries)
     for f, d in used.items():
         one = S.tf(d, queries if is_small else None).select("doc", "term", (F.col("tf") * weights[f]).alias("tf"))
         every = one if every is None else every.unionByName(one)
@@ -184,10 +208,10 @@ def build_tiers(collection: Collection, query: str, params: dict | None = None,
     terms = list(dict.fromkeys(split_ascii(query)))
     if not terms:
         return []
-    row = collection.counts().agg(F.count("*"), F.sum("count")).first()
-    counts = {r.feature: r["count"] for r in collection.postings(terms).groupBy("feature").agg(F.count("*").alias("count")).collect()}  # a row a query term
-    length = collection.lengths().agg(F.sum("length")).first()[0] or 0
-    weight = {t: math.log((length + row[0]) / (counts.get(t, 0) + 1)) for t in terms}
+    stats = collection.stats()
+    vocab, length = stats.vocabulary().first()[0], stats.totals().first().length
+    counts = collection.count_of(terms)
+    weight = {t: math.log((length + vocab) / (counts.get(t, 0) + 1)) for t in terms}
     terms = sorted(terms, key=lambda t: (-weight[t], t))[:most]
     subsets = []
     for m in range((1 << len(terms)) - 1, 0, -1):
@@ -224,8 +248,14 @@ def _expand(queries: DataFrame, extra: DataFrame) -> DataFrame:
 
 def _feedback_terms(docs: DataFrame, run: DataFrame, depth: int) -> DataFrame:
     """(topic, term, len) for the distinct words of each topic's first documents."""
-    chosen = small(run.where(F.col("rank") <= depth).select("topic", "doc"))
-    return S.words(docs).join(chosen, "doc").select("topic", "len", F.explode(F.array_distinct("words")).alias("term"))
+    chosen, is_small = settle(run.where(F.col("rank") <= depth).select("topic", "doc"))
+    return _words_of(docs, chosen, is_small).join(_hint(chosen, is_small), "doc").select("topic", "len", F.explode(F.array_distinct("words")).alias("term"))
+
+
+def _words_of(docs, chosen: DataFrame, is_small: bool) -> DataFrame:
+    """(doc, len, words) of chosen documents: other texts aren't taken apart if they are few."""
+    stats = S.of(docs)
+    return stats.words(chosen) if is_small else S.words(stats.docs)
 
 
 def _best(terms: DataFrame, k: int) -> DataFrame:
@@ -236,31 +266,37 @@ def _best(terms: DataFrame, k: int) -> DataFrame:
 def rsj_feedback(docs: DataFrame, run: DataFrame, params: dict | None = None) -> DataFrame:
     """(topic, term, tsv, rank): expansion terms by their number of feedback documents times their weight."""
     f = _feedback_terms(docs, run, int(param("rsj", "depth", params))).groupBy("topic", "term").agg(F.count("*").alias("f"))
-    n = F.broadcast(S.totals(docs).select("items"))
-    scored = f.join(S.df(docs), "term").crossJoin(n).select("topic", "term", (F.col("f") * S.rsj(F.col("items"), F.col("df"))).alias("tsv")).where("tsv > 0")
+    stats = S.of(docs)
+    f, is_small = settle(f)
+    n = F.broadcast(stats.totals().select("items"))
+    scored = stats.df(f).join(_hint(f, is_small), "term").crossJoin(n).select("topic", "term", (F.col("f") * S.rsj(F.col("items"), F.col("df"))).alias("tsv")).where("tsv > 0")
     return _best(scored, int(param("rsj", "expansions", params)))
 
 
 def kld_feedback(docs: DataFrame, run: DataFrame, params: dict | None = None) -> DataFrame:
     """Expansion terms found in more feedback documents than their share of the collection lets expect."""
     f = _feedback_terms(docs, run, int(param("kld", "depth", params)))
-    counts = S.term_counts(docs)
-    total = F.broadcast(counts.agg(F.count("*").alias("vocab")).crossJoin(S.totals(docs).select("length")))
+    counts, total = _counts(docs)
     prob = (F.col("count") + 1) / (F.col("length") + F.col("vocab"))
     e = f.join(counts.withColumnRenamed("feature", "term"), "term").crossJoin(total).groupBy("topic", "term").agg(F.count("*").alias("f"), F.sum(1 - F.pow(1 - prob, F.col("len"))).alias("e"))
     return _best(e.where("f > 1").select("topic", "term", (F.col("f") * F.log(F.col("f") / F.col("e"))).alias("tsv")), int(param("kld", "expansions", params)))
 
 
+def _counts(docs) -> tuple[DataFrame, DataFrame]:
+    """(feature, count), and one row with length and vocab, to be broadcast."""
+    stats = S.of(docs)
+    return stats.counts(), F.broadcast(stats.vocabulary().crossJoin(stats.totals().select("length")))
+
+
 def qa_feedback(collection: Collection, run: DataFrame, params: dict | None = None) -> DataFrame:
     """Like kld_feedback over the words within `window` of each cover, at their distance from it; run is ssr()'s."""
     depth, window = int(param("kld", "depth", params)), int(param("kld", "window", params))
-    chosen = small(run.where(F.col("rank") <= depth).select("topic", "doc", "p", "q"))
-    near = S.words(collection.docs).join(chosen, "doc").select("topic", "doc", "p", "q", F.posexplode("words").alias("at", "term"))
+    chosen, is_small = settle(run.where(F.col("rank") <= depth).select("topic", "doc", "p", "q"))
+    near = _words_of(collection.stats(), chosen, is_small).join(_hint(chosen, is_small), "doc").select("topic", "doc", "p", "q", F.posexplode("words").alias("at", "term"))
     near = near.where((F.col("at") >= F.col("p") - window) & (F.col("at") <= F.col("q") + window))
     gap = F.when(F.col("at") < F.col("p"), F.col("q") - F.col("at")).when(F.col("at") > F.col("q"), F.col("at") - F.col("p") - 1).otherwise(F.col("q") - F.col("p") + 1)
     near = near.groupBy("topic", "doc", "term").agg(F.min(gap).alias("gap"))
-    counts = S.term_counts(collection.docs)
-    total = F.broadcast(counts.agg(F.count("*").alias("vocab")).crossJoin(S.totals(collection.docs).select("length")))
+    counts, total = _counts(collection.stats())
     prob = (F.col("count") + 1) / (F.col("length") + F.col("vocab"))
     e = near.join(counts.withColumnRenamed("feature", "term"), "term").crossJoin(total).groupBy("topic", "term").agg(F.count("*").alias("f"), F.sum(1 - F.pow(1 - prob, F.greatest("gap", F.lit(1)))).alias("e"))
     return _best(e.where("f > 1").select("topic", "term", (F.col("f") * F.log(F.col("f") / F.col("e"))).alias("tsv")), int(param("kld", "expansions", params)))
@@ -273,16 +309,15 @@ def qap(collection: Collection, terms: list[str], weights: dict[str, float], par
     (distance from the cover + 1))); query words weigh nothing.
     """
     depth, length, passages, window = (int(param("qap", k, params)) for k in ("depth", "length", "passages", "window"))
-    chosen = small(icover(collection, terms, weights, passages).select("doc", "p", "q", "rank"))
-    w = S.words(collection.docs).join(chosen, "doc")
+    chosen, is_small = settle(icover(collection, terms, weights, passages).select("doc", "p", "q", "rank"))
+    w = _words_of(collection.stats(), chosen, is_small).join(_hint(chosen, is_small), "doc")
     lo, hi = F.greatest(F.col("p") - window, F.lit(0)), F.least(F.col("q") + window, F.col("len") - 1)
     passage = w.select("doc", "rank", "p", "q", lo.alias("lo"), F.slice("words", (lo + 1).cast("int"), (hi - lo + 1).cast("int")).alias("words"))
     each = passage.select("doc", "rank", "lo", "p", "q", F.posexplode("words").alias("k", "term"))
     at = F.col("lo") + F.col("k")
     gap = F.when(at < F.col("p"), F.col("p") - at).when(at > F.col("q"), at - F.col("q")).otherwise(F.lit(0))
     near = each.groupBy("doc", "term").agg(F.min(gap).alias("gap"))
-    counts = S.term_counts(collection.docs)
-    total = F.broadcast(counts.agg(F.count("*").alias("vocab")).crossJoin(S.totals(collection.docs).select("length")))
+    counts, total = _counts(collection.stats())
     weight = near.join(counts.withColumnRenamed("feature", "term"), "term").crossJoin(total).groupBy("term").agg(F.sum(F.log((F.col("length") + F.col("vocab")) / ((F.col("count") + 1) * (F.col("gap") + 1)))).alias("w"))
     weight = small(weight.where(~F.col("term").isin(terms)).select("term", F.pow("w", 3).alias("w")))
     starts = passage.select("doc", "rank", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - length, F.lit(0)))).alias("s"))
@@ -292,14 +327,35 @@ def qap(collection: Collection, terms: list[str], weights: dict[str, float], par
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= depth)
 
 
-def random_ranking(docs: DataFrame, seed: int = 0, depth: int = DEPTH) -> DataFrame:
-    h = (F.xxhash64(F.lit(seed), "doc") % (1 << 40)).cast("double") / (1 << 40)
-    return top(docs.select(F.lit(0).cast("long").alias("topic"), "doc", F.abs(h).alias("score")), depth)
+def uniform(*parts) -> Column:
+    """A number from 0 to 1 made of the first 8 digits of an MD5 sum, the same in every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("double") / (1 << 32)
+
 
+def random_ranking(docs, seed: int = 0, depth: int = DEPTH) -> DataFrame:
+    return top(S.of(docs).docs.select(F.lit(0).cast("long").alias("topic"), "doc", uniform(F.lit(seed), F.col("doc")).alias("score")), depth)
 
-def pipeline(docs: DataFrame, queries: DataFrame, stages: str, params: dict | None = None, depth: int = DEPTH) -> DataFrame:
-    """Stages in turn: stop, stem, bm25, lmd, rsj, kld, random, name=value; a later ranking replaces an earlier one."""
-    params, run, q = dict(params or {}), None, queries
+
+#: Further stages by name: functions (docs or Stats, queries, run, params) to (queries, run).
+STAGES: dict[str, Callable] = {}
+
+
+def stage(name: str):
+    """Register a function as a stage of pipeline()."""
+
+    def add(f: Callable) -> Callable:
+        STAGES[name] = f
+        return f
+
+    return add
+
+
+def pipeline(docs, queries: DataFrame, stages: str, params: dict | None = None, depth: int = DEPTH) -> DataFrame:
+    """Stages in turn: stop, stem, bm25, lmd, rsj, kld, random, name=value and those of STAGES; a later ranking replaces an earlier one.
+
+    What one stage hands to the next is computed once (see settle()).
+    """
+    params, run, q, texts = dict(params or {}), None, queries, S.of(docs).docs
     for stage in stages.split():
         if "=" in stage:
             name, value = stage.split("=", 1)
@@ -311,25 +367,27 @@ def pipeline(docs: DataFrame, queries: DataFrame, stages: str, params: dict | No
         elif stage == "stem":
             from ..functions.stem import stem_vocabulary
 
-            v = stem_vocabulary(docs.select(F.explode(F.array_distinct(S.T.ascii_split(F.col("text")))).alias("word")).unionByName(q.select(F.col("term").alias("word"))))
+            v = stem_vocabulary(texts.select(F.explode(F.array_distinct(S.T.ascii_split(F.col("text")))).alias("word")).unionByName(q.select(F.col("term").alias("word"))))
             stems = small(q.select(F.col("term").alias("word")).distinct().join(v, "word").select("stem").distinct())
             variants = v.join(stems, "stem")
-            tf = S.words(docs).select("doc", "len", F.explode("words").alias("word")).join(small(variants), "word").groupBy("doc", "len", F.col("stem").alias("term")).agg(F.count("*").alias("tf"))
+            tf = S.words(texts).select("doc", "len", F.explode("words").alias("word")).join(small(variants), "word").groupBy("doc", "len", F.col("stem").alias("term")).agg(F.count("*").alias("tf"))
             params["_tf"] = tf
             q = q.join(variants.withColumnRenamed("word", "term"), "term").groupBy("topic", F.col("stem").alias("term")).agg(F.sum("w").alias("w"))
         elif stage == "bm25":
             tf = params.get("_tf")
-            run = bm25(docs, q, {k: v for k, v in params.items() if k[0] != "_"}, depth, tf=tf).persist()
+            run = settle(bm25(docs, q, {k: v for k, v in params.items() if k[0] != "_"}, depth, tf=tf))[0]
         elif stage == "lmd":
-            run = lmd(docs, q, params, depth)
+            run = settle(lmd(docs, q, params, depth))[0]
         elif stage == "rsj":
-            q = _expand(q, rsj_feedback(docs, run, params).withColumn("w", F.lit(float(param("rsj", "gamma", params))))).persist()
+            q = settle(_expand(q, rsj_feedback(docs, run, params).withColumn("w", F.lit(float(param("rsj", "gamma", params))))))[0]
         elif stage == "kld":
             k = kld_feedback(docs, run, params)
             most = F.max("tsv").over(Window.partitionBy("topic"))
-            q = _expand(q, k.withColumn("w", param("kld", "gamma", params) * F.col("tsv") / most)).persist()
+            q = settle(_expand(q, k.withColumn("w", param("kld", "gamma", params) * F.col("tsv") / most)))[0]
         elif stage == "random":
-            run = q.select("topic").distinct().crossJoin(random_ranking(docs, depth=depth).drop("topic"))
+            run = q.select("topic").distinct().crossJoin(F.broadcast(random_ranking(docs, depth=depth).drop("topic")))  # depth rows
+        elif stage in STAGES:
+            q, run = STAGES[stage](docs, q, run, params)
         else:
             raise ValueError(f"unknown stage {stage}")
     return run

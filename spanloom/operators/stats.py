@@ -1,4 +1,4 @@
-"""Term and collection statistics."""
+"""Term and collection statistics: computed from texts, stored, or read from annotations."""
 
 from __future__ import annotations
 
@@ -58,3 +58,84 @@ def field_tf(fields: dict[str, DataFrame]) -> DataFrame:
         one = tf(docs).select("doc", "term", F.lit(name).alias("field"), "tf")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+class Stats:
+    """What rankers ask of a collection; this kind computes it from (doc, text) when asked."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs = docs
+
+    def tf(self, terms: DataFrame | None = None) -> DataFrame:
+        """(doc, len, term, tf); terms: a table of checked size."""
+        return tf(self.docs, terms)
+
+    def weights(self, own: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+        """(term, df, ctf): documents that hold a term, and its occurrences. own: what tf(terms) gave."""
+        return own.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
+
+    def df(self, terms: DataFrame) -> DataFrame:
+        """(term, df) of the terms of a table of any size."""
+        return df(self.docs).join(terms.select("term").distinct(), "term", "left_semi")
+
+    def totals(self) -> DataFrame:
+        return totals(self.docs)
+
+    def counts(self) -> DataFrame:
+        """(feature, count)."""
+        return term_counts(self.docs)
+
+    def vocabulary(self) -> DataFrame:
+        """One row: vocab, the number of features."""
+        return self.counts().agg(F.count("*").alias("vocab"))
+
+    def words(self, chosen: DataFrame) -> DataFrame:
+        """(doc, len, words) of the documents of a table of checked size: no other text is taken apart."""
+        return words(self.docs.join(F.broadcast(chosen.select("doc").distinct()), "doc", "left_semi"))
+
+
+class AnnotatedStats(Stats):
+    """Statistics that a forager left as annotations tf:term (n: the frequency, at the item's start) and df:term (n: the items)."""
+
+    def __init__(self, collection, tag: str = ""):
+        super().__init__(collection.docs)
+        self.rows, self.prefix = collection.annotations, f"{tag}:" if tag else ""
+
+    def _of(self, kind: str) -> DataFrame:
+        start = f"{self.prefix}{kind}:"
+        return self.rows.where(F.col("feature").startswith(start)).withColumn("term", F.substring("feature", len(start) + 1, 1 << 30))
+
+    def tf(self, terms: DataFrame | None = None) -> DataFrame:
+        rows = self._of("tf").select("doc", "term", F.col("n").alias("tf"))
+        rows = rows if terms is None else rows.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+        per_doc = rows.groupBy("doc", "term").agg(F.sum("tf").alias("tf"))
+        return per_doc.join(words(self.docs).select("doc", "len"), "doc").select("doc", "len", "term", "tf")
+
+
+def of(source) -> Stats:
+    """The Stats of a (doc, text) table; a Stats stays as it is."""
+    return source if isinstance(source, Stats) else Stats(source)
+
+
+def select(collection, params: dict | None = None) -> Stats:
+    """Stats by the parameter `statistics` (text, index or tf-idf, with tf-idf:tag for a forager's tag), or, without it, the stored ones if there are any."""
+    name = (params or collection.params or {}).get("statistics") or ("index" if collection.index is not None else "text")
+    kind, _, tag = str(name).partition(":")
+    if kind == "text":
+        return Stats(collection.docs)
+    if kind == "index":
+        if collection.index is None:
+            raise ValueError("the collection has no stored index")
+        return collection.index
+    if kind in ("tf-idf", "tf_idf"):
+        if collection.annotations is None:
+            raise ValueError("the collection has no annotations")
+        return AnnotatedStats(collection, tag)
+    raise ValueError(f"unknown statistics {name}")
+
+
+def df_difference(index: DataFrame, one: Stats, two: Stats) -> DataFrame:
+    """(term, one, two): terms of a list whose document frequencies differ between two sources, 0 where a source lacks the term."""
+    a, b = one.df(index).withColumnRenamed("df", "one"), two.df(index).withColumnRenamed("df", "two")
+    both = a.join(b, "term", "full").select("term", F.coalesce("one", F.lit(0)).alias("one"), F.coalesce("two", F.lit(0)).alias("two"))
+    return both.where("one <> two")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from .. import shared
 from ..operators import intervals as I
 from .expr import Expr
 
@@ -16,7 +17,7 @@ def lower(e: Expr, collection) -> DataFrame:
     if k == "fixed":
         return I.all_windows(collection.lengths(), e.n)
     if k == "materialize":
-        return lower(args[0], collection).persist()
+        return shared.materialize(lower(args[0], collection), "intervals")
     if k == "link":
         return I.link(lower(args[0], collection))
     if k in ("and", "or", "of", "seq") and len(args) == 1:
