@@ -82,6 +82,17 @@ def split_tsv(s: Column, sep: str = "\t") -> Column:
     return F.filter(F.split(s, r"\s+"), lambda x: x != "")
 
 
+def textual_date(s: Column) -> Column:
+    """The date of a time as text: 2012-11-20T20:02:24.386Z (any offset), Feb 20 2015, milliseconds since 1970, Fri May 25 19:30:28 UTC 2007; null for others and before 1970."""
+    day = lambda text, form: F.try_to_timestamp(text, F.lit(form)).cast("date")
+    iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), day(F.substring(s, 1, 10), "yyyy-MM-dd"))
+    words = r"^(?:[A-Z][a-z]{2} )?([A-Z][a-z]{2}) +(\d{1,2})(?: \d{2}:\d{2}:\d{2} [A-Z]+)? (\d{4})$"
+    named = F.when(s.rlike(words), day(F.concat_ws(" ", F.regexp_extract(s, words, 1), F.regexp_extract(s, words, 2), F.regexp_extract(s, words, 3)), "MMM d yyyy"))
+    number = F.when(s.rlike(r"^\d{1,15}$"), F.date_add(F.lit("1970-01-01").cast("date"), F.floor(s.cast("long") / 86_400_000).cast("int")))
+    found = F.coalesce(iso, named, number)
+    return F.when(found >= "1970-01-01", found)
+
+
 def normal_path(s: Column) -> Column:
     return F.when(s.contains("/"), s).otherwise(F.concat(F.lit("./"), s))
 

@@ -5,36 +5,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
+
 #: Characters that stand for JSON structure in token streams; in data they are replaced.
 MARKERS = {c: chr(0xFDD0 + i) for i, c in enumerate('{}[]":,')}
-_NON = "[﷐-﷯]"
+STRUCTURE = "[\uFDD0-\uFDD6]"
+_NON = "[\uFDD0-\uFDEF]"
+#: Levels of nesting that flatten() looks into in one pass; deeper ones take a pass each.
+DEPTH = 8
 
 
 def sanitize(s: Column) -> Column:
-    return F.regexp_replace(s, _NON, "�")
+    return F.regexp_replace(s, _NON, "\uFFFD")
 
 
-def flatten(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
+def flatten(docs: DataFrame, id_col: str, json_col: str, depth: int = DEPTH) -> DataFrame:
     """(id, path, kind, value, num, ok): a row for every value of every document.
 
     Paths are :a:b: and :a:[0]:, the whole document is ":".  value is the text of
     a scalar, num its number (1 and 0 for booleans, the length of an array).
-    Malformed documents give one row with ok = false.  One pass over a level of
-    nesting; it ends when a level holds no more containers.
+    Malformed documents give one row with ok = false.  The first `depth` levels of
+    nesting are one plan without a job of its own: each value is kept and, if it is
+    a container, taken apart beside it.  What is nested deeper, if a look at the
+    last level finds any, is written to the shared folder and treated in the same
+    way.
     """
     base = docs.select(F.col(id_col).alias("id"), F.try_parse_json(sanitize(F.col(json_col))).alias("v"), F.col(json_col).isNotNull().alias("given"))
     bad = base.where("v is null and given").select("id", F.lit(":").alias("path"), F.lit("error").alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("double").alias("num"), F.lit(False).alias("ok"))
     level = base.where("v is not null").select("id", F.lit(":").alias("path"), "v")
     out = bad
     while True:
-        out = out.unionByName(_describe(level))
-        deeper = level.where(_kind(F.col("v")).isin("object", "array"))
-        if not deeper.limit(1).count():
+        every = level.select("id", "path", "v", F.lit(0).alias("level"))
+        for k in range(depth):
+            every = _deeper(every, k)
+        out = out.unionByName(_describe(every.where(F.col("level") < depth)))
+        rest = every.where(F.col("level") == depth).select("id", "path", "v")
+        if not rest.limit(1).count():
             return out
-        view = deeper.select("id", "path", "v")
-        level = view.lateralJoin(view.sparkSession.tvf.variant_explode(F.col("v").outer()), how="inner") if hasattr(view, "lateralJoin") else view
-        step = F.when(F.col("key").isNotNull(), F.col("key")).otherwise(F.concat(F.lit("["), F.col("pos"), F.lit("]")))
-        level = level.select("id", F.concat("path", step, F.lit(":")).alias("path"), F.col("value").alias("v"))
+        level = shared.materialize(rest.select("id", "path", F.to_json("v").alias("js")), "json").select("id", "path", F.parse_json("js").alias("v"))
+
+
+def _deeper(rows: DataFrame, k: int) -> DataFrame:
+    """rows, with what the containers of level k hold as rows of level k + 1 beside them."""
+    open_ = (F.col("level") == k) & _kind(F.col("v")).isin("object", "array")
+    names = F.when(open_ & (_kind(F.col("v")) == "object"), F.try_variant_get("v", "$", "map<string,variant>"))
+    places = F.when(open_ & (_kind(F.col("v")) == "array"), F.try_variant_get("v", "$", "array<variant>"))
+    own = F.struct(F.col("path").alias("path"), F.col("v").alias("v"), F.col("level").alias("level"))
+    inner = lambda step, v: F.struct(F.concat("path", step, F.lit(":")).alias("path"), v.alias("v"), F.lit(k + 1).alias("level"))
+    fields = F.transform(F.map_entries(names), lambda x: inner(x["key"], x["value"]))
+    items = F.transform(places, lambda x, i: inner(F.concat(F.lit("["), i.cast("string"), F.lit("]")), x))
+    none = F.array().cast("array<struct<path:string,v:variant,level:int>>")
+    return rows.select("id", F.explode(F.concat(F.array(own), F.coalesce(fields, none), F.coalesce(items, none))).alias("x")).select("id", "x.path", "x.v", "x.level")
 
 
 def _kind(v: Column) -> Column:
@@ -59,19 +80,30 @@ def at(json: Column, path: str) -> Column:
 
 
 def encode(s: Column) -> Column:
-    """A JSON string literal of s, quotes and escapes replaced as JSON wants them."""
+    """A JSON string literal of s, quotes, backslashes and control characters escaped as JSON wants them."""
     x = F.regexp_replace(sanitize(s), r"\\", r"\\\\")
     x = F.regexp_replace(x, '"', r'\\"')
     for raw, name in (("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")):
         x = F.replace(x, F.lit(raw), F.lit("\\" + name))
+    rest = x
+    for code in (c for c in range(32) if c not in (8, 9, 10, 12, 13)):
+        rest = F.replace(rest, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    x = F.when(x.rlike(r"[\x00-\x1F]"), rest).otherwise(x)
     return F.concat(F.lit('"'), x, F.lit('"'))
 
 
 def mark(s: Column) -> Column:
-    """JSON text with structural characters as markers, outside strings that hold none of them."""
-    return F.translate(s, "".join(MARKERS), "".join(MARKERS.values()))
+    """JSON text with its structural characters as markers; characters inside strings stay as they are."""
+    strings = F.regexp_extract_all(sanitize(s), F.lit(_STRING), F.lit(0))
+    between = F.split(sanitize(s), _STRING, -1)
+    outside = F.transform(between, lambda x: F.translate(x, "".join(MARKERS), "".join(MARKERS.values())))
+    inside = F.transform(strings, lambda x: F.concat(F.lit(MARKERS['"']), F.substring(x, F.lit(2), F.length(x) - 2), F.lit(MARKERS['"'])))
+    return F.array_join(F.zip_with(outside, inside, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 def unmark(s: Column) -> Column:
     """Markers back to the JSON characters they stand for."""
     return F.translate(s, "".join(MARKERS.values()), "".join(MARKERS))
+
+
+_STRING = r'"(?:[^"\\]|\\.)*+"'

@@ -24,8 +24,10 @@ def json_lines(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def json_annotations(spark: SparkSession, *paths: str) -> DataFrame:
+    """jsonpaths.flatten() of every line, its id the number of the line, and for each a row of kind source: path "/" and the file's path."""
     rows = json_lines(spark, *paths).withColumn("id", F.monotonically_increasing_id())
-    return jsonpaths.flatten(rows, "id", "json")
+    source = rows.select("id", F.lit("/").alias("path"), F.lit("source").alias("kind"), T.normal_path(F.col("source")).alias("value"), F.lit(None).cast("double").alias("num"), F.lit(True).alias("ok"))
+    return jsonpaths.flatten(rows, "id", "json").unionByName(source)
 
 
 def separated(lines: DataFrame, line: str = "value", sep: str = "\t") -> DataFrame:
