@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import shared
 from .functions import stem
 from .functions import text as T
 from .model import Collection
@@ -61,14 +62,26 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_TEXTS = ("documents", "pages", "conversations", "events")
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return shared.spread(df) if name in _TEXTS else df
 
 
-def documents(spark: SparkSession, sf: str) -> Collection:
+def texts(spark: SparkSession, sf: str) -> Collection:
+    """documents without an index: everything comes from the texts."""
     return Collection.of(table(spark, sf, "documents"), "doc_id", "text")
 
 
+def documents(spark: SparkSession, sf: str) -> Collection:
+    """documents with their stored index, which the first query of a session builds in the shared folder."""
+    where = _INDEXES.setdefault((spark.sparkContext.applicationId, sf), shared.new_path(spark, "index"))
+    return texts(spark, sf).indexed(where)
+
+
 def with_lines(spark: SparkSession, sf: str) -> Collection:
     c = documents(spark, sf)
     return c.annotate(c.lines())
@@ -84,8 +97,8 @@ def spans(df: DataFrame) -> DataFrame:
 
 # --- tokenizers and scalar functions
 
-query("tok_ascii", f"WITH {TOK} SELECT doc, pos, lower(word) AS feature FROM tok UNION ALL SELECT doc, pos, word AS feature FROM tok WHERE regexp_matches(substr(word, 2), '[A-Z]')")(lambda s, d: documents(s, d).tokens())
-query("tok_split", f"WITH {TERMS} SELECT doc, pos, term FROM term")(lambda s, d: S.words(documents(s, d).docs).select("doc", F.posexplode("words").alias("pos", "term")).select("doc", F.col("pos").cast("long").alias("pos"), "term"))
+query("tok_ascii", f"WITH {TOK} SELECT doc, pos, lower(word) AS feature FROM tok UNION ALL SELECT doc, pos, word AS feature FROM tok WHERE regexp_matches(substr(word, 2), '[A-Z]')")(lambda s, d: texts(s, d).tokens())
+query("tok_split", f"WITH {TERMS} SELECT doc, pos, term FROM term")(lambda s, d: S.words(texts(s, d).docs).select("doc", F.posexplode("words").alias("pos", "term")).select("doc", F.col("pos").cast("long").alias("pos"), "term"))
 query(
     "tok_xml",
     r"""WITH m AS (SELECT page_id, list_filter(regexp_extract_all(coalesce(html, ''), '</?[A-Za-z_][A-Za-z0-9_.\-]*[^\n>]*>|&[^ \n;]*;|[A-Za-z0-9]+'), lambda s: NOT starts_with(s, '&')) AS ws FROM pages),
@@ -97,12 +110,12 @@ query(
     r"""WITH m AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{17000}-\x{187F7}\x{18D00}-\x{18D08}\x{20000}-\x{323AF}\x{FDD0}-\x{FDEF}]|\p{So}|[\p{L}\p{M}\p{N}]+') AS ws FROM documents)
     SELECT doc_id, unnest(ws).lower() AS token, generate_subscripts(ws, 1) - 1 AS pos FROM m""",
 )(lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(T.utf8_split(F.coalesce("text", F.lit("")))).alias("pos", "token")).select("doc_id", "token", F.col("pos").cast("long").alias("pos")))
-query("vocab_counts", f"WITH {TOK}, f AS (SELECT lower(word) AS feature FROM tok UNION ALL SELECT word FROM tok WHERE regexp_matches(substr(word, 2), '[A-Z]')) SELECT feature, count(*) AS count FROM f GROUP BY feature")(lambda s, d: documents(s, d).counts())
+query("vocab_counts", f"WITH {TOK}, f AS (SELECT lower(word) AS feature FROM tok UNION ALL SELECT word FROM tok WHERE regexp_matches(substr(word, 2), '[A-Z]')) SELECT feature, count(*) AS count FROM f GROUP BY feature")(lambda s, d: texts(s, d).counts())
 query("txt_tokens", f"WITH {TERMS} SELECT count(*) AS docs, CAST(sum(len) AS BIGINT) AS tokens, min(len) AS shortest, max(len) AS longest FROM item")(
-    lambda s, d: documents(s, d).lengths().where("length > 0").agg(F.count("*").alias("docs"), F.sum("length").alias("tokens"), F.min("length").alias("shortest"), F.max("length").alias("longest"))
+    lambda s, d: texts(s, d).lengths().where("length > 0").agg(F.count("*").alias("docs"), F.sum("length").alias("tokens"), F.min("length").alias("shortest"), F.max("length").alias("longest"))
 )
 query("txt_translate", r"SELECT doc_id AS doc, array_to_string(list_slice(regexp_extract_all(text, '[A-Za-z0-9]+[^A-Za-z0-9]*'), 3, 6), '') AS content FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z0-9]+')) >= 6")(
-    lambda s, d: documents(s, d).translate(documents(s, d).lengths().where("length >= 6").select("doc", F.lit(2).alias("p"), F.lit(5).alias("q"))).select("doc", "content")
+    lambda s, d: texts(s, d).translate(texts(s, d).lengths().where("length >= 6").select("doc", F.lit(2).alias("p"), F.lit(5).alias("q"))).select("doc", "content")
 )
 query("tok_skip", r"WITH m AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+[^A-Za-z0-9]*') AS ws FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN len(ws) > 3 THEN array_to_string(list_slice(ws, 4, len(ws)), '') ELSE '' END AS rest FROM m")(
     lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", T.skip_words(F.col("text"), 3).alias("rest"))
@@ -113,16 +126,16 @@ query("str_split", r"SELECT conv_id, turn, len(string_split(text, chr(10))) AS n
 query("docno_clean", "SELECT doc_id, source || '-' || doc_id AS docno FROM documents")(
     lambda s, d: table(s, d, "documents").select("doc_id", T.docno(F.concat(F.lit(' <DOCNO> "'), "source", F.lit('"-'), "doc_id", F.lit(" </DOCNO> x"))).alias("docno"))
 )
-query("path_okay", "SELECT page_id, CASE WHEN contains(url, '/') THEN url ELSE './' || url END AS path, lower(substr(url, 1, 4)) IN ('y', 'yes', 'true', 'okay', 'ok', 'on') AS truthy FROM pages")(
-    lambda s, d: table(s, d, "pages").select("page_id", T.normal_path(F.col("url")).alias("path"), T.okay(F.substring("url", 1, 4)).alias("truthy"))
+query("path_okay", "SELECT page_id, CASE WHEN contains(url, '/') THEN url ELSE './' || url END AS path, url LIKE '%1' AS truthy, regexp_extract(url, '[^/]+$') AS bare FROM pages")(
+    lambda s, d: table(s, d, "pages").select("page_id", T.normal_path(F.col("url")).alias("path"), T.okay(F.when(F.col("url").endswith("1"), "okay").otherwise("not okay")).alias("truthy"), F.regexp_replace(T.normal_path(F.regexp_extract("url", "[^/]+$", 0)), "^\\./", "").alias("bare"))
 )
-query("stem_vocab")(lambda s, d: stem.stem_vocabulary(S.words(documents(s, d).docs).select(F.explode("words").alias("word"))))
+query("stem_vocab")(lambda s, d: stem.stem_vocabulary(S.words(texts(s, d).docs).select(F.explode("words").alias("word"))))
 
 # --- cursor primitives, postings and counts
 
 query("scan_feature", f"WITH {TOK} SELECT doc, pos AS p, pos AS q FROM tok WHERE lower(word) = '{A}'")(lambda s, d: spans(documents(s, d).term(A)))
-query("idx_count", f"WITH {TOK} SELECT lower(word) AS feature, count(*) AS count FROM tok WHERE lower(word) IN ('{A}', '{B}', '{C3}') GROUP BY 1")(lambda s, d: documents(s, d).postings([A, B, C3]).groupBy("feature").agg(F.count("*").alias("count")))
-query("idx_vocab", f"WITH {TOK}, f AS (SELECT lower(word) AS feature FROM tok UNION SELECT word FROM tok WHERE regexp_matches(substr(word, 2), '[A-Z]')) SELECT count(*) AS vocab FROM f")(lambda s, d: documents(s, d).counts().agg(F.count("*").alias("vocab")))
+query("idx_count", f"WITH {TOK} SELECT lower(word) AS feature, count(*) AS count FROM tok WHERE lower(word) IN ('{A}', '{B}', '{C3}') GROUP BY 1")(lambda s, d: documents(s, d).index.counts([A, B, C3]))
+query("idx_vocab", f"WITH {TOK}, f AS (SELECT lower(word) AS feature FROM tok UNION SELECT word FROM tok WHERE regexp_matches(substr(word, 2), '[A-Z]')) SELECT count(*) AS vocab FROM f")(lambda s, d: documents(s, d).index.vocabulary())
 query("idx_value_histogram", f"WITH {LINES} SELECT n AS value, count(*) AS count FROM line GROUP BY n")(lambda s, d: documents(s, d).lines().groupBy(F.col("n").alias("value")).agg(F.count("*").alias("count")))
 _PROBE = {"tau": ("min", "p >= line.p", "p"), "rho": ("min", "q >= line.q", "p"), "uat": ("max", "q <= line.q", "p"), "ohr": ("max", "p <= line.p", "p")}
 for _m, (_f, _on, _x) in _PROBE.items():
@@ -150,7 +163,7 @@ query("gcl_merge_n", f"{AB}, u AS (SELECT doc, p, q, 0 AS n FROM a UNION ALL SEL
 query("gcl_link", "SELECT DISTINCT o_custkey AS p, o_custkey AS q FROM orders WHERE o_totalprice > 100000")(
     lambda s, d: I.link(table(s, d, "orders").where("o_totalprice > 100000").select(F.lit(0).cast("long").alias("doc"), F.col("o_orderkey").alias("p"), F.col("o_orderkey").alias("q"), F.lit(0.0).alias("v"), F.col("o_custkey").alias("n"))).select("p", "q")
 )
-query("gcl_materialize", f"{AB}, {reduced('r', AND_SRC)} SELECT * FROM r")(lambda s, d: spans(documents(s, d).gcl(f"(materialize (^ {A} {B}))")))
+query("gcl_materialize", f"{AB}, {reduced('r', AND_SRC)}, {reduced('t', 'SELECT r.doc, r.p, c.q FROM r JOIN c ON r.doc = c.doc AND r.q < c.p')} SELECT * FROM t")(lambda s, d: spans(documents(s, d).gcl(f"(... (materialize (^ {A} {B})) {C3})")))
 query("gcl_fixed", f"{AB}, {reduced('r', SEQ_SRC)} SELECT DISTINCT doc, x AS p, x + 3 AS q FROM (SELECT doc, unnest(range(p, q - 2)) AS x FROM r WHERE q - p >= 3)")(lambda s, d: spans(documents(s, d).gcl(f"(<< (# 4) (... {A} {B}))")))
 query("gcl_fixed_containing", f"{AB}, {reduced('r', SEQ_SRC)}, n AS (SELECT doc, len(ws) AS len FROM w) SELECT DISTINCT doc, x AS p, x + 9 AS q FROM (SELECT doc, len, unnest(range(greatest(0, q - 9), p + 1)) AS x FROM r JOIN n USING (doc) WHERE q - p <= 9) WHERE x + 10 <= len")(
     lambda s, d: spans(documents(s, d).gcl(f"(>> (# 10) (... {A} {B}))"))
@@ -181,14 +194,14 @@ query(
 
 # --- statistics
 
-query("stat_tf", f"WITH {TF} SELECT doc, term, tf FROM tf")(lambda s, d: S.tf(documents(s, d).docs).select("doc", "term", "tf"))
-query("stat_df", f"WITH {TF} SELECT term, df FROM df")(lambda s, d: S.df(documents(s, d).docs))
-query("stat_totals", f"WITH {TF} SELECT items, CAST(length AS BIGINT) AS length, round(avgl, 6) AS avgl FROM tot")(lambda s, d: S.totals(documents(s, d).docs).withColumn("avgl", F.round("avgl", 6)))
+query("stat_tf", f"WITH {TF} SELECT doc, term, tf FROM tf")(lambda s, d: documents(s, d).stats().tf().select("doc", "term", "tf"))
+query("stat_df", f"WITH {TF} SELECT term, df FROM df")(lambda s, d: S.df(texts(s, d).docs))
+query("stat_totals", f"WITH {TF} SELECT items, CAST(length AS BIGINT) AS length, round(avgl, 6) AS avgl FROM tot")(lambda s, d: documents(s, d).stats().totals().withColumn("avgl", F.round("avgl", 6)))
 
 
 def _weights(s, d):
-    c = documents(s, d).docs
-    return S.df(c).crossJoin(F.broadcast(S.totals(c)))  # totals is one row
+    index = documents(s, d).index
+    return index.weights(index.tf()).crossJoin(F.broadcast(index.totals()))  # totals is one row
 
 
 query("stat_idf", f"WITH {TF} SELECT term, round(greatest(ln(items / df), 0), 6) AS idf FROM df, tot")(lambda s, d: _weights(s, d).select("term", F.round(S.idf(F.col("items"), F.col("df")), 6).alias("idf")))
@@ -198,9 +211,8 @@ _FEATURE = "f AS (SELECT lower(word) AS feature FROM tok UNION ALL SELECT word F
 
 @query("stat_icf", f"WITH {TOK}, {_FEATURE} SELECT feature, round(ln(nv::DOUBLE / (count + 1)), 6) AS icf FROM fc, nv")
 def stat_icf(s, d):
-    c = documents(s, d)
-    counts = c.counts()
-    n = counts.agg(F.count("*").alias("vocab")).crossJoin(c.lengths().agg(F.sum("length").alias("length")))
+    index = documents(s, d).index
+    counts, n = index.counts(), index.vocabulary().crossJoin(index.totals().select("length"))
     return counts.crossJoin(F.broadcast(n)).select("feature", F.round(S.icf(F.col("length") + F.col("vocab"), F.col("count")), 6).alias("icf"))
 
 
@@ -214,7 +226,7 @@ _FIELDS = f"""fw AS (SELECT page_id AS doc, 'title' AS field, unnest(regexp_extr
 ft AS (SELECT doc, {SPLIT.format('word')} AS term, field, count(*) AS tf FROM fw GROUP BY ALL)"""
 query("stat_field_tf", f"WITH {_FIELDS} SELECT doc, term, field, tf FROM ft")(lambda s, d: S.field_tf(page_fields(s, d)))
 query("stat_tf_range", f"WITH {TERMS} SELECT doc, term, count(*) AS tf FROM term WHERE pos >= 10 AND pos < 60 GROUP BY ALL")(
-    lambda s, d: S.words(documents(s, d).docs).select("doc", F.explode(F.slice("words", 11, 50)).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    lambda s, d: S.words(texts(s, d).docs).select("doc", F.explode(F.slice("words", 11, 50)).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
 )
 query("forage_tf_idf", f"WITH {TOK}, {LINES}, t AS (SELECT l.doc, l.p, lower(word) AS term, count(*) AS n FROM line l JOIN tok ON tok.doc = l.doc AND pos BETWEEN l.p AND l.q GROUP BY ALL) SELECT 'tf:' || term AS feature, doc, p, p AS q, n FROM t UNION ALL SELECT 'df:' || term, min(doc), 0, 0, count(*) FROM t GROUP BY term")(
     lambda s, d: versioned.forage(documents(s, d), documents(s, d).lines(), versioned.tf_idf_forager).select("feature", "doc", "p", "q", "n")
@@ -226,10 +238,11 @@ _RANK = "row_number() OVER (PARTITION BY topic ORDER BY score DESC, doc) AS rank
 _BM25 = f"""WITH {TF}, {TOPIC}, s AS (SELECT topic, doc, round(sum(ln((items - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (0.5::DOUBLE * (0.75::DOUBLE + 0.25::DOUBLE * len / avgl) + tf)), 6) AS score
 FROM topic JOIN tf USING (term) JOIN df USING (term) JOIN item USING (doc), tot WHERE ln((items - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) > 0 GROUP BY topic, doc),
 bm AS (SELECT * FROM (SELECT *, {_RANK} FROM s WHERE score > 0) WHERE rank <= 1000)"""
-query("rank_bm25", f"{_BM25} SELECT topic, doc, score, rank FROM bm")(lambda s, d: R.bm25(documents(s, d).docs, benchmark_topics(s, d)))
+query("rank_bm25", f"{_BM25} SELECT topic, doc, score, rank FROM bm")(lambda s, d: R.bm25(documents(s, d).index, benchmark_topics(s, d)))
 _LMD = f"""ctf AS (SELECT term, sum(tf) AS ctf FROM tf GROUP BY term), l AS (SELECT topic, doc, round(sum(ln(2000 + tf * length::DOUBLE / ctf) - ln(2000 + len)), 6) AS score FROM topic JOIN tf USING (term) JOIN ctf USING (term) JOIN item USING (doc), tot GROUP BY topic, doc),
 lm AS (SELECT * FROM (SELECT *, {_RANK} FROM l) WHERE rank <= 1000)"""
-query("rank_lmd", f"WITH {TF}, {TOPIC}, {_LMD} SELECT topic, doc, score, rank FROM lm")(lambda s, d: R.lmd(documents(s, d).docs, benchmark_topics(s, d)))
+query("rank_lmd", f"WITH {TF}, {TOPIC}, {_LMD} SELECT topic, doc, score, rank FROM lm")(lambda s, d: R.lmd(documents(s, d).index, benchmark_topics(s, d)))
+query("rank_bm25_scan", f"{_BM25} SELECT topic, doc, score, rank FROM bm")(lambda s, d: R.bm25(texts(s, d).docs, benchmark_topics(s, d)))
 query(
     "rank_bm25f",
     f"""WITH {_FIELDS}, ln0 AS (SELECT page_id AS doc FROM pages), lens AS (SELECT doc, count(word) AS len FROM ln0 LEFT JOIN fw USING (doc) GROUP BY doc), wt AS (SELECT doc, term, sum(CASE field WHEN 'title' THEN 3.0 ELSE 0.5 END * tf)::DOUBLE AS tf FROM ft GROUP BY ALL),
@@ -266,7 +279,7 @@ def rank_product(s, d):
 
 
 query("rrf", f"{_BM25}, {_LMD}, u AS (SELECT topic, doc, rank FROM bm UNION ALL SELECT topic, doc, rank FROM lm), f AS (SELECT topic, doc, round(sum(1 / (60::DOUBLE + rank)), 6) AS score FROM u GROUP BY topic, doc) SELECT topic, doc, score, {_RANK} FROM f QUALIFY rank <= 1000")(
-    lambda s, d: R.rrf([R.bm25(documents(s, d).docs, benchmark_topics(s, d)), R.lmd(documents(s, d).docs, benchmark_topics(s, d))])
+    lambda s, d: R.rrf([R.bm25(documents(s, d).index, benchmark_topics(s, d)), R.lmd(documents(s, d).index, benchmark_topics(s, d))])
 )
 query("topk", "SELECT o_custkey AS topic, o_orderkey AS doc, round(o_totalprice, 6) AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY round(o_totalprice, 6) DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 3")(
     lambda s, d: R.top(table(s, d, "orders").select(F.col("o_custkey").alias("topic"), F.col("o_orderkey").alias("doc"), F.col("o_totalprice").alias("score")), 3)
@@ -278,23 +291,16 @@ _TIER = f"""{AB}, {reduced('r0', SEQ_SRC)}, {reduced('r1', AND_SRC)}, u AS (SELE
 s AS (SELECT tier, doc, round(sum(1 / (42::DOUBLE + q - p)), 6) AS score, arg_min(p, (q - p) * 1000000000 + p) AS p, arg_min(q, (q - p) * 1000000000 + p) AS q FROM u GROUP BY tier, doc),
 f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc ORDER BY tier) = 1) SELECT doc, tier, p, q, score, row_number() OVER (ORDER BY tier, score DESC, doc) AS rank FROM f QUALIFY rank <= 100000"""
 query("tiered", _TIER)(lambda s, d: R.tiered(documents(s, d), [f"(... {A} {B})", f"(^ {A} {B})"], depth=100000).drop("cp"))
-query("tiers_build")(lambda s, d: s.createDataFrame(list(enumerate(R.build_tiers(documents(s, d), f"{A} {B} {C3}"))), "tier long, query string"))
-query("tiered_auto")(lambda s, d: R.tiered(documents(s, d), R.build_tiers(documents(s, d), f"{A} {B} {C3}")))
 _ICF = {A: 4.0, B: 4.25, C3: 5.0}
-query("rank_icover")(lambda s, d: R.icover(documents(s, d), [A, B, C3], _ICF))
-query("rank_random")(lambda s, d: R.random_ranking(documents(s, d).docs))
 query(
     "prf_rsj",
     f"{_BM25}, fb AS (SELECT topic, term, count(*) AS f FROM bm JOIN tf USING (doc) WHERE rank <= 10 GROUP BY ALL), t AS (SELECT topic, term, round(f * greatest(ln((items - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 0), 6) AS tsv FROM fb JOIN df USING (term), tot) SELECT topic, term, tsv, row_number() OVER (PARTITION BY topic ORDER BY tsv DESC, term) AS rank FROM t WHERE tsv > 0 QUALIFY rank <= 25",
-)(lambda s, d: R.rsj_feedback(documents(s, d).docs, R.bm25(documents(s, d).docs, benchmark_topics(s, d))))
+)(lambda s, d: R.rsj_feedback(documents(s, d).index, R.bm25(documents(s, d).index, benchmark_topics(s, d))))
 query(
     "prf_kld",
     f"{_BM25}, {_FEATURE}, fb AS (SELECT topic, term, len FROM bm JOIN tf USING (doc) JOIN item USING (doc) WHERE rank <= 16), t AS (SELECT topic, term, count(*) AS f, sum(1 - pow(1 - (count + 1)::DOUBLE / nv, len)) AS e FROM fb JOIN fc ON fc.feature = fb.term, nv GROUP BY topic, term), u AS (SELECT topic, term, round(f * ln(f / e), 6) AS tsv FROM t WHERE f > 1) SELECT topic, term, tsv, row_number() OVER (PARTITION BY topic ORDER BY tsv DESC, term) AS rank FROM u QUALIFY rank <= 8",
-)(lambda s, d: R.kld_feedback(documents(s, d).docs, R.bm25(documents(s, d).docs, benchmark_topics(s, d))))
-query("prf_qa")(lambda s, d: R.qa_feedback(documents(s, d), R.ssr(documents(s, d), f"(^ {A} {B})")))
-query("qap")(lambda s, d: R.qap(documents(s, d), [A, B, C3], _ICF))
-query("pipeline_bm25_rsj_bm25")(lambda s, d: R.pipeline(documents(s, d).docs, benchmark_topics(s, d), "bm25 rsj bm25"))
-query("pipeline_stop_stem")(lambda s, d: R.pipeline(documents(s, d).docs, benchmark_topics(s, d), "stop stem k1=0.9 bm25"))
+)(lambda s, d: R.kld_feedback(documents(s, d).index, R.bm25(documents(s, d).index, benchmark_topics(s, d))))
+query("pipeline_stop_stem")(lambda s, d: R.pipeline(documents(s, d).index, benchmark_topics(s, d), "stop stem k1=0.9 bm25"))
 query("rank_stop", f"WITH {TOPIC}, l AS (SELECT * FROM topic WHERE term NOT IN ({', '.join(repr(x) for x in R.STOPWORDS)})) SELECT topic, term FROM l UNION ALL SELECT topic, term FROM topic WHERE topic NOT IN (SELECT topic FROM l)")(lambda s, d: _stopped(benchmark_topics(s, d)))
 
 
@@ -304,21 +310,10 @@ def _stopped(q: DataFrame) -> DataFrame:
 
 
 query("trec_run", f"{_BM25}, n AS (SELECT topic, count(*) AS n FROM bm GROUP BY topic) SELECT topic, rank, concat_ws(' ', topic, 'Q0', doc, rank, n + 1 - rank, 'run1') AS line FROM bm JOIN n USING (topic) UNION ALL SELECT DISTINCT topic, 1, topic || ' Q0 FAKE 1 1 run1' FROM topic WHERE topic NOT IN (SELECT topic FROM bm)")(
-    lambda s, d: R.trec_run(R.bm25(documents(s, d).docs, benchmark_topics(s, d)), "run1", benchmark_topics(s, d))
+    lambda s, d: R.trec_run(R.settle(R.bm25(documents(s, d).index, benchmark_topics(s, d)))[0], "run1", benchmark_topics(s, d))
 )
 
 
-@query("ssr_snippet")
-def ssr_snippet(s, d):
-    """The words around each document's best cover, with the cover marked."""
-    c = documents(s, d)
-    r = R.ssr(c, f"(^ {A} {B})")
-    w = F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+[^A-Za-z0-9]*"), F.lit(0))
-    j = r.join(c.docs, "doc").withColumn("w", w).withColumn("lo", F.greatest(F.lit(0), F.col("p") - 100).cast("int"))
-    cut = lambda a, n: F.array_join(F.slice("w", (a + 1).cast("int"), F.greatest(F.lit(0), n).cast("int")), "")
-    return j.select("doc", "rank", F.concat(cut(F.col("lo"), F.col("p") - F.col("lo")), F.lit("<cover>"), cut(F.col("p"), F.col("q") - F.col("p") + 1), F.lit("</cover>"), cut(F.col("q") + 1, F.lit(100))).alias("snippet"))
-
-
 query("doc_fetch", "SELECT doc_id AS doc, text FROM documents WHERE contains(lower(text), 'license')")(lambda s, d: documents(s, d).docs.where(F.lower("text").contains("license")))
 query("page_next", f"WITH {TOK}, {posting('a', A)} SELECT doc, p FROM a ORDER BY doc, p LIMIT 24 OFFSET 24")(lambda s, d: documents(s, d).gcl(A).orderBy("doc", "p").offset(24).limit(24).select("doc", "p"))
 
@@ -329,6 +324,12 @@ def _events(s, d):
     return table(s, d, "events")
 
 
+def _some_missing(s, d):
+    """Documents of which some errors hold a path :odd:k: and others don't."""
+    odd = F.when((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0), F.struct(F.lit(1).alias("k")))
+    return _events(s, d).select("event_id", F.to_json(F.struct(F.col("event_type").alias("type"), odd.alias("odd"))).alias("js"))
+
+
 query("json_flatten", "SELECT event_id AS id, ':' AS path, 'object' AS kind, NULL::VARCHAR AS value, NULL::DOUBLE AS num, true AS ok FROM events WHERE props IS NOT NULL UNION ALL SELECT event_id, ':k:', 'number', json_extract_string(props, '$.k'), CAST(json_extract_string(props, '$.k') AS DOUBLE), true FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")(
     lambda s, d: J.flatten(_events(s, d), "event_id", "props")
 )
@@ -337,7 +338,7 @@ query("json_value_stats", "WITH v AS (SELECT CAST(json_extract_string(props, '$.
 )
 query("json_count", "SELECT count(json_extract_string(props, '$.k')) AS n FROM events")(lambda s, d: _events(s, d).agg(F.count(J.at(F.col("props"), ":k:")).alias("n")))
 query("json_path_eq", "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '7'")(lambda s, d: _events(s, d).where(J.at(F.col("props"), ":k:") == "7").select("event_id"))
-query("json_path_absent", "SELECT event_id FROM events WHERE json_extract_string(props, '$.missing') IS NULL AND event_type = 'error'")(lambda s, d: _events(s, d).where(J.at(F.col("props"), ":missing:").isNull() & (F.col("event_type") == "error")).select("event_id"))
+query("json_path_absent", "SELECT event_id FROM events WHERE NOT (event_type = 'error' AND event_id % 3 = 0)")(lambda s, d: _some_missing(s, d).where(J.at(F.col("js"), ":odd:k:").isNull()).select("event_id"))
 query("json_group_count", "SELECT json_extract_string(props, '$.k') AS value, count(*) AS n FROM events GROUP BY 1")(lambda s, d: _events(s, d).groupBy(J.at(F.col("props"), ":k:").alias("value")).agg(F.count("*").alias("n")))
 
 
@@ -400,10 +401,13 @@ e AS (SELECT topic, sum(CASE WHEN hit = 1 THEN sofar / rank ELSE 0 END) AS aps,
 query("eval_ap", f"{_P} SELECT topic, round(aps / greatest(coalesce(rel, 0), 1), 6) AS ap, round(rr_ret / greatest(coalesce(rel, 0), 1), 6) AS recall FROM e LEFT JOIN rel USING (topic)")(lambda s, d: _round(E.precision(_run(s, d), _qrels(s, d)).select("topic", "ap", "recall")))
 query("eval_pk", f"{_P} SELECT topic, round(p05, 6) AS p05, round(p10, 6) AS p10, round(p20, 6) AS p20 FROM e")(lambda s, d: _round(E.precision(_run(s, d), _qrels(s, d)).select("topic", "p05", "p10", "p20")))
 query("eval_rr", f"{_P} SELECT topic, round(rr, 6) AS rr FROM e")(lambda s, d: _round(E.precision(_run(s, d), _qrels(s, d)).select("topic", "rr")))
+_AT = "sum(gain * ln(2) / ln(rank + 1)) AS {0}, sum(CASE WHEN rank <= 5 THEN gain * ln(2) / ln(rank + 1) ELSE 0 END) AS {0}05, sum(CASE WHEN rank <= 10 THEN gain * ln(2) / ln(rank + 1) ELSE 0 END) AS {0}10, sum(CASE WHEN rank <= 20 THEN gain * ln(2) / ln(rank + 1) ELSE 0 END) AS {0}20"
 query(
     "eval_ndcg",
-    f"WITH {_RUN}, i AS (SELECT topic, gain, row_number() OVER (PARTITION BY topic ORDER BY gain DESC, doc) AS rank FROM g WHERE gain > 0), b AS (SELECT topic, sum(gain * ln(2) / ln(rank + 1)) AS best, sum(CASE WHEN rank <= 10 THEN gain * ln(2) / ln(rank + 1) ELSE 0 END) AS best10 FROM i GROUP BY topic), o AS (SELECT topic, sum(gain * ln(2) / ln(rank + 1)) AS dcg, sum(CASE WHEN rank <= 10 THEN gain * ln(2) / ln(rank + 1) ELSE 0 END) AS dcg10 FROM j GROUP BY topic) SELECT topic, round(dcg, 6) AS dcg, round(coalesce(dcg / best, 0), 6) AS ndcg, round(coalesce(dcg10 / best10, 0), 6) AS ndcg10 FROM o LEFT JOIN b USING (topic)",
-)(lambda s, d: _round(E.ndcg(_run(s, d), _qrels(s, d)).select("topic", "dcg", "ndcg", "ndcg10")))
+    f"WITH {_RUN}, i AS (SELECT topic, gain, row_number() OVER (PARTITION BY topic ORDER BY gain DESC, doc) AS rank FROM g WHERE gain > 0), b AS (SELECT topic, {_AT.format('best')} FROM i GROUP BY topic), o AS (SELECT topic, {_AT.format('dcg')} FROM j GROUP BY topic) SELECT topic, "
+    + ", ".join(f"round(dcg{k}, 6) AS dcg{k}, round(coalesce(dcg{k} / best{k}, 0), 6) AS ndcg{k}" for k in ("", "05", "10", "20"))
+    + " FROM o LEFT JOIN b USING (topic)",
+)(lambda s, d: _round(E.ndcg(_run(s, d), _qrels(s, d))))
 query("eval_rbp", f"WITH {_RUN} SELECT topic, round(0.5 * sum(gain * pow(0.5, rank - 1)), 6) AS rbp50, round(0.05 * sum(gain * pow(0.95, rank - 1)), 6) AS rbp95 FROM j GROUP BY topic")(lambda s, d: _round(E.rbp(_run(s, d), _qrels(s, d))))
 query(
     "eval_tbg",
@@ -422,9 +426,10 @@ query(
     f"""WITH {_RUN}, r2 AS (SELECT source AS topic, doc_id AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS rank FROM documents WHERE source IS NOT NULL QUALIFY rank <= 1000),
     b AS (SELECT topic, doc, r.rank AS a, r2.rank AS b FROM r FULL JOIN r2 USING (topic, doc)),
     s AS (SELECT topic, sum(CASE WHEN a <= coalesce(b, 1000000) THEN ln(2) / ln(a + 1) - coalesce(ln(2) / ln(b + 1), 0) ELSE 0 END) AS d1, sum(CASE WHEN b <= coalesce(a, 1000000) THEN ln(2) / ln(b + 1) - coalesce(ln(2) / ln(a + 1), 0) ELSE 0 END) AS d2,
-    sum(CASE WHEN a <= coalesce(b, 1000000) THEN pow(0.5, a) - coalesce(pow(0.5, b), 0) ELSE 0 END) AS e1, sum(CASE WHEN b <= coalesce(a, 1000000) THEN pow(0.5, b) - coalesce(pow(0.5, a), 0) ELSE 0 END) AS e2 FROM b GROUP BY topic)
-    SELECT topic, round(greatest(d1, d2), 6) AS med_dcg, round(greatest(e1, e2), 6) AS med_rbp50 FROM s""",
-)(lambda s, d: _round(E.med(_run(s, d), _other_run(s, d)).select("topic", "med_dcg", "med_rbp50")))
+    sum(CASE WHEN a <= coalesce(b, 1000000) THEN pow(0.5, a) - coalesce(pow(0.5, b), 0) ELSE 0 END) AS e1, sum(CASE WHEN b <= coalesce(a, 1000000) THEN pow(0.5, b) - coalesce(pow(0.5, a), 0) ELSE 0 END) AS e2,
+    0.05 * sum(CASE WHEN a <= coalesce(b, 1000000) THEN pow(0.95, a - 1) - coalesce(pow(0.95, b - 1), 0) ELSE 0 END) AS f1, 0.05 * sum(CASE WHEN b <= coalesce(a, 1000000) THEN pow(0.95, b - 1) - coalesce(pow(0.95, a - 1), 0) ELSE 0 END) AS f2, greatest(count(a), count(b)) AS n FROM b GROUP BY topic)
+    SELECT topic, round(greatest(d1, d2), 6) AS med_dcg, round(greatest(d1, d2) / list_sum(list_transform(range(1, n + 1), lambda x: ln(2) / ln(x + 1))), 6) AS med_ndcg, round(greatest(e1, e2), 6) AS med_rbp50, round(greatest(f1, f2), 6) AS med_rbp95 FROM s""",
+)(lambda s, d: _round(E.med(_run(s, d), _other_run(s, d))))
 
 
 def _trials(s, d):
@@ -445,40 +450,16 @@ query("pref_triples", r"SELECT t.item_id AS topic, a.conv_id AS doc, b.conv_id A
     )
 )
 
-
-@query("tune_trials")
-def tune_trials(s, d):
-    """Mean RBP of BM25 for random parameters; sources are judged for the topics of benchmark."""
-    docs, topics = documents(s, d).docs, benchmark_topics(s, d)
-    qrels = table(s, d, "labels").select(F.col("doc_id").alias("doc"), F.col("quality").cast("double").alias("gain"))
-    out = None
-    for i, p in enumerate(R.random_params("bm25", 4)):
-        run = R.bm25(docs, topics, p, depth=100)
-        judged = run.select("topic").distinct().crossJoin(qrels.where("false")).unionByName(run.select("topic", "doc").join(qrels, "doc"))
-        one = E.rbp(run, judged).select("topic", F.lit(i).alias("trial"), F.round("rbp95", 6).alias("value"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-query("tune_bootstrap")(lambda s, d: E.bootstrap(_trials(s, d)))
-
 # --- the versioned store
 
 
 def _scratch(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/store-{uuid.uuid4().hex}"
+    return shared.new_path(spark, "store")
 
 
 def _store(s, d):
     st = versioned.Store(s, _scratch(s))
-    docs = documents(s, d).docs
+    docs = texts(s, d).docs
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
     for part in (english, ~english):  # two commits
         st.begin().append(Collection.of(table(s, d, "documents").where(part), "doc_id", "text").docs).commit()
@@ -507,7 +488,7 @@ def dyn_compact(s, d):
     st = _store(s, d)
     st.begin().erase(10, 40).commit()
     st.compact()
-    st.vacuum()
+    st.vacuum(older_than=0)
     return _sizes(st.snapshot().docs())
 
 
@@ -519,3 +500,5 @@ def dyn_stream_ingest(s, d):
     q = stream.writeStream.foreachBatch(versioned.commit_batches(st)).option("checkpointLocation", st.path + "-progress").trigger(availableNow=True).start()
     q.awaitTermination()
     return _sizes(st.snapshot().docs())
+
+from . import catalogue_more  # noqa: E402, F401  registers further queries
