@@ -32,6 +32,7 @@ LONG_WORD, ALONE = 48, 256
 BPE = 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_LONG = re.compile(f"[^{MARK}]{{{LONG_WORD}}}|{MARK}{{{LONG_WORD}}}")
 
 
 def default_path() -> str:
@@ -186,24 +187,36 @@ class Unigram:
 
     def viterbi(self, words: list[bytes]) -> list[list[int]]:
         """Ids of the best path of every word; of equal paths the one whose last piece is longest, as in lattice order."""
-        out: list[list[int]] = [[]] * len(words)
+        ids, counts = self.paths(words)
+        ends = np.cumsum(counts).tolist()
+        flat = ids.tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def paths(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words on end, number of ids of each)."""
         by_size = sorted(range(len(words)), key=lambda i: len(words[i]))
+        parts: list[tuple] = []
         while by_size and len(words[by_size[-1]]) > ALONE:
             i = by_size.pop()
-            out[i] = self._one(words[i])
+            ids = self._one(words[i])
+            parts.append(([i], ids, [len(ids)]))
         a = 0
         while a < len(by_size):
             size = len(words[by_size[a]])
             b = a
             while b < len(by_size) and b - a < 50_000 and len(words[by_size[b]]) <= size + size // 8:
                 b += 1
-            some = by_size[a:b]
-            for i, ids in zip(some, self._batch([words[i] for i in some])):
-                out[i] = ids
+            parts.append((by_size[a:b], *self._batch([words[i] for i in by_size[a:b]])))
             a = b
-        return out
-
-    def _batch(self, words: list[bytes]) -> list[list[int]]:
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        who, ids, n = (np.concatenate([np.asarray(p[k], np.int64) for p in parts]) for k in range(3))
+        counts, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        counts[who], starts[who] = n, np.cumsum(n) - n
+        ends = np.cumsum(counts)
+        return ids[np.arange(ends[-1]) + np.repeat(starts - (ends - counts), counts)].astype(np.int32), counts
+
+    def _batch(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         n, lens = len(words), np.array([len(w) for w in words])
         width = int(lens.max()) if n else 0
         text = np.zeros((width + 1, n), np.int32)
@@ -245,7 +258,34 @@ class Unigram:
                 up = score > best[to, w]
                 w = w[up]
                 best[to, w], back[to, w], piece[to, w] = score[up], s, self.unk
-        return [self._path(w, back[:, i], piece[:, i]) for i, w in enumerate(words)]
+        return self._trace(words, lens, back, piece)
+
+    def _trace(self, words: list[bytes], lens: np.ndarray, back: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The paths of a batch, all words one piece further back at a time; unknown characters become the pieces of their bytes."""
+        at, who = lens.copy(), np.flatnonzero(lens)
+        owners, ids, keys = [], [], []
+        while len(who):
+            end, p = at[who], piece[at[who], who]
+            at[who] = begin = back[end, who]
+            if self.byte_fallback and (lost := np.flatnonzero(p == self.unk)).size:
+                own = [(who[i], words[who[i]][begin[i] : end[i]], begin[i]) for i in lost.tolist()]
+                owners.append(np.repeat([o for o, _, _ in own], [len(b) for _, b, _ in own]))
+                ids.append(self.byte_id[np.frombuffer(b"".join(b for _, b, _ in own), np.uint8)])
+                keys.append(np.concatenate([np.arange(k, k + len(b)) for _, b, k in own]))
+                known = p != self.unk
+                owners.append(who[known])
+                ids.append(p[known])
+                keys.append(begin[known])
+            else:
+                owners.append(who)
+                ids.append(p)
+                keys.append(begin)
+            who = who[at[who] > 0]
+        if not owners:
+            return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+        owner, found, key = np.concatenate(owners), np.concatenate(ids), np.concatenate(keys)
+        order = np.lexsort((key, owner))
+        return found[order], np.bincount(owner, minlength=len(words))
 
     def _one(self, word: bytes) -> list[int]:
         """_batch() for one long word, by plain loops."""
@@ -314,8 +354,9 @@ class Unigram:
         if not text:
             return []
         text = text.replace(" ", MARK)
-        found = _WORD.findall(MARK + text if self.dummy_prefix else text)
-        if max(map(len, found)) <= LONG_WORD:
+        text = MARK + text if self.dummy_prefix else text
+        found = _WORD.findall(text)
+        if not _LONG.search(text):
             return found
         out: list[str] = []
         for w in found:
@@ -339,16 +380,13 @@ class Unigram:
             flat += some
         look = self.index
         if missing := list(dict.fromkeys(w for w in flat if w not in look)):
-            starts, lens = [], []
-            for w, ids in zip(missing, self.viterbi([w.encode("utf-8", "surrogatepass") for w in missing])):
-                if self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                look[w] = len(look)
-                starts.append(self.used)
-                lens.append(len(ids))
-                self.used += len(ids)
-            self.starts, self.lens = np.concatenate([self.starts, np.array(starts, np.int64)]), np.concatenate([self.lens, np.array(lens, np.int64)])
+            fresh, n = self.paths([w.encode("utf-8", "surrogatepass") for w in missing])
+            while self.used + len(fresh) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(fresh)), np.int32)])
+            self.flat[self.used : self.used + len(fresh)] = fresh
+            look.update(zip(missing, range(len(look), len(look) + len(missing))))
+            self.starts, self.lens = np.concatenate([self.starts, self.used + np.cumsum(n) - n]), np.concatenate([self.lens, n])
+            self.used += len(fresh)
         at = np.fromiter(map(look.__getitem__, flat), np.int64, len(flat))
         lens, starts = self.lens[at], self.starts[at]
         ends = np.cumsum(lens)
