@@ -11,8 +11,8 @@ from .. import shared
 MARKERS = {c: chr(0xFDD0 + i) for i, c in enumerate('{}[]":,')}
 STRUCTURE = "[\uFDD0-\uFDD6]"
 _NON = "[\uFDD0-\uFDEF]"
-#: Levels of nesting that flatten() looks into in one pass; deeper ones take a pass each.
-DEPTH = 8
+#: Levels of nesting that flatten() looks into in one pass; deeper documents take a pass for as many levels.
+DEPTH = 4
 
 
 def sanitize(s: Column) -> Column:
@@ -24,20 +24,22 @@ def flatten(docs: DataFrame, id_col: str, json_col: str, depth: int = DEPTH) ->
 
     Paths are :a:b: and :a:[0]:, the whole document is ":".  value is the text of
     a scalar, num its number (1 and 0 for booleans, the length of an array).
-    Malformed documents give one row with ok = false.  The first `depth` levels of
-    nesting are one plan without a job of its own: each value is kept and, if it is
-    a container, taken apart beside it.  What is nested deeper, if a look at the
-    last level finds any, is written to the shared folder and treated in the same
-    way.
+    Malformed documents give one row with ok = false.  A document of at most
+    `depth` opening brackets isn't nested deeper than that: such documents are one
+    plan without a job of its own, in which each value is kept and, if it is a
+    container, taken apart beside it.  Of others, if there are any, what lies below
+    `depth` levels is written to the shared folder and treated in the same way.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.try_parse_json(sanitize(F.col(json_col))).alias("v"), F.col(json_col).isNotNull().alias("given"))
-    bad = base.where("v is null and given").select("id", F.lit(":").alias("path"), F.lit("error").alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("double").alias("num"), F.lit(False).alias("ok"))
-    level = base.where("v is not null").select("id", F.lit(":").alias("path"), "v")
-    out = bad
+    base = docs.select(F.col(id_col).alias("id"), F.try_parse_json(sanitize(F.col(json_col))).alias("v"), F.col(json_col).isNotNull().alias("given"), F.regexp_count(F.col(json_col), F.lit(r"[{\[]")).alias("open"))
+    out = base.where("v is null and given").select("id", F.lit(":").alias("path"), F.lit("error").alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("double").alias("num"), F.lit(False).alias("ok"))
+    level = base.where("v is not null").select("id", F.lit(":").alias("path"), "v", "open")
+    out = out.unionByName(_describe(_levels(level.where(F.col("open") <= depth), depth)))
+    deep = docs.where(F.regexp_count(F.col(json_col), F.lit(r"[{\[]")) > depth)
+    if not deep.limit(1).count():
+        return out
+    level = level.where(F.col("open") > depth)
     while True:
-        every = level.select("id", "path", "v", F.lit(0).alias("level"))
-        for k in range(depth):
-            every = _deeper(every, k)
+        every = _levels(level, depth)
         out = out.unionByName(_describe(every.where(F.col("level") < depth)))
         rest = every.where(F.col("level") == depth).select("id", "path", "v")
         if not rest.limit(1).count():
@@ -45,6 +47,13 @@ def flatten(docs: DataFrame, id_col: str, json_col: str, depth: int = DEPTH) ->
         level = shared.materialize(rest.select("id", "path", F.to_json("v").alias("js")), "json").select("id", "path", F.parse_json("js").alias("v"))
 
 
+def _levels(rows: DataFrame, depth: int) -> DataFrame:
+    rows = rows.select("id", "path", "v", F.lit(0).alias("level"))
+    for k in range(depth):
+        rows = _deeper(rows, k)
+    return rows
+
+
 def _deeper(rows: DataFrame, k: int) -> DataFrame:
     """rows, with what the containers of level k hold as rows of level k + 1 beside them."""
     open_ = (F.col("level") == k) & _kind(F.col("v")).isin("object", "array")

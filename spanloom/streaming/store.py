@@ -387,13 +387,16 @@ def tf_idf_forager(collection, intervals: DataFrame, parameters: dict | None = N
     from ..operators import intervals as I
 
     words = collection.tokens().where(F.col("feature") == F.lower("feature"))
-    spans = I.minimal(I.plain(intervals)).withColumn("k", F.row_number().over(I.Window.partitionBy("doc").orderBy("p")))
-    at = words.select("doc", F.col("pos").alias("k")).distinct()
-    first = I.probe(spans.select("doc", "p", "q", "v", F.col("k").alias("n")), at, "rho").select("doc", F.col("k").alias("pos"), F.col("n").alias("lo"))
-    last = I.probe(spans.select("doc", "p", "q", "v", F.col("k").alias("n")), at, "ohr").select("doc", F.col("k").alias("pos"), F.col("n").alias("hi"))
-    near = words.join(first, ["doc", "pos"]).join(last, ["doc", "pos"]).where("lo <= hi")
-    own = near.select("doc", "feature", F.explode(F.sequence("lo", "hi")).alias("k")).join(spans.select("doc", "k", "p"), ["doc", "k"])
-    tf = own.groupBy("doc", "p", "feature").agg(F.count("*").alias("n"))
+    by_doc = I.Window.partitionBy("doc")
+    spans = I.minimal(I.plain(intervals)).withColumn("k", F.row_number().over(by_doc.orderBy("p")))
+    null = F.lit(None)
+    both = words.select("doc", F.col("pos").alias("begin"), F.col("pos").alias("end"), "feature", null.cast("int").alias("k"))
+    both = both.unionByName(spans.select("doc", F.col("p").alias("begin"), F.col("q").alias("end"), null.cast("string").alias("feature"), "k"))
+    first = F.min("k").over(by_doc.orderBy("end").rangeBetween(0, I.Window.unboundedFollowing))  # of the intervals that end there or later
+    last = F.max("k").over(by_doc.orderBy("begin").rangeBetween(I.Window.unboundedPreceding, 0))  # of those that begin there or before
+    near = both.withColumns({"lo": first, "hi": last}).where("feature is not null and lo <= hi")
+    own = near.select("doc", "feature", F.explode(F.sequence("lo", "hi")).alias("k")).groupBy("doc", "k", "feature").agg(F.count("*").alias("n"))
+    tf = own.join(spans.select("doc", "k", "p"), ["doc", "k"]).select("doc", "p", "feature", "n")
     rows = tf.select(F.concat(F.lit("tf:"), "feature").alias("feature"), "doc", "p", F.col("p").alias("q"), F.lit(0.0).alias("v"), "n")
     df = tf.groupBy("feature").agg(F.count("*").alias("n"), F.min("doc").alias("doc"))
     return rows.unionByName(df.select(F.concat(F.lit("df:"), "feature").alias("feature"), "doc", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.lit(0.0).alias("v"), "n"))
