@@ -86,3 +86,21 @@ def test_service(spark):
     assert not s.answer({"op": "document", "collection": "one", "doc": 9})[0]["ok"] and not s.answer({"op": "other"})[0]["ok"] and not s.answer({"op": "next", "qid": "x"})[0]["ok"]
     tiers = s.answer({"op": "query", "query": "with from"})
     assert tiers[0]["ok"] and tiers[1]["rank"] == 1
+
+
+def test_scribes(spark, tmp_path):
+    from spanloom.sources import scribe
+    from spanloom.streaming.store import Store
+
+    (tmp_path / "a.txt").write_text("some words")
+    (tmp_path / "b.jsonl").write_text('{"k": "two words", "n": [3, null]}\n{"k": "other"}\n{bad\n')
+    for s in (scribe.StoreScribe(Store(spark, f"file://{tmp_path}/store")), scribe.BuilderScribe(f"file://{tmp_path}/built")):
+        scribe.scribe_files(spark, [f"{tmp_path}/a.txt"], s)
+        scribe.scribe_json_lines(spark, [f"{tmp_path}/b.jsonl"], s)
+        c = s.finalize()
+        assert [x[1] for x in marks(c, "content:")] == ["some words"] and sorted(x[1].strip() for x in marks(c, ":k:")) == ["other", "two words"]
+        assert [x[1].strip() for x in marks(c, ":n:[0]:")] == ["3"] and len(marks(c, ":")) == 2
+        source = c.annotations.where(F.col("feature").endswith("b.jsonl")).select("feature").first().feature
+        assert c.gcl(f"(<< :k: {source})").count() == 2 and s.calls == 2
+    nothing = scribe.scribe_files(spark, [f"{tmp_path}/a.txt"], scribe.Scribe())
+    assert nothing.finalize() is None and nothing.calls == 1
