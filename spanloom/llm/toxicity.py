@@ -2,7 +2,8 @@
 
 A word is the mean of the vectors of its character n-grams, so a misspelling
 that training never saw shares most of its vector with the word it distorts.  A
-document is the mean over all of its words, and the softmax is linear in it.
+document is the mean over its words, of which one that stands there n times
+counts 1 + ln n times, and the softmax is linear in it.
 Embeddings and softmax are fitted together by mini-batches with Adagrad: first
 those of the buckets that tell the classes apart by themselves, then, from there,
 those of all buckets, each on a scale that falls with the weakness of its own
@@ -119,12 +120,17 @@ def hash_word(w: str) -> int:
     return zlib.crc32(b) | zlib.adler32(b) << 32
 
 
+def damped(times: np.ndarray) -> np.ndarray:
+    """What words that stand in a text so many times count in its average."""
+    return 1 + np.log(times)
+
+
 class _Rows:
-    """Fitting rows as weighted buckets: a word's n-grams share its weight, a document's words, repeated ones and NEUTRAL more included, share 1."""
+    """Fitting rows as weighted buckets: a word's n-grams share its weight, a document's words and NEUTRAL more share 1."""
 
     def __init__(self, bags: list[dict[str, int]]):
         index: dict[str, int] = {}
-        self.docs = [(np.fromiter((index.setdefault(w, len(index)) for w in b), np.int64, len(b)), np.fromiter(b.values(), np.float64, len(b))) for b in bags]
+        self.docs = [(np.fromiter((index.setdefault(w, len(index)) for w in b), np.int64, len(b)), damped(np.fromiter(b.values(), np.float64, len(b)))) for b in bags]
         self.ids, self.counts = ngram_ids(list(index)) if index else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         self.starts = np.cumsum(self.counts) - self.counts
 
@@ -254,7 +260,8 @@ class Scorer:
         mean = np.zeros(len(texts))
         for i, own in enumerate(bags):
             ids = np.fromiter(map(self.raw.__getitem__, own), np.int64, len(own))
-            times = np.fromiter(own.values(), np.float64, len(own)) * (ids > 0)
+            ids, back = np.unique(ids, return_inverse=True)
+            times = damped(np.bincount(back, np.fromiter(own.values(), np.float64, len(own)), len(ids))) * (ids > 0)
             mean[i] = self.odds[ids] @ times / (times.sum() + NEUTRAL)
         return 1 / (1 + np.exp(-np.clip(self.model.prior + mean, -50, 50)))
 

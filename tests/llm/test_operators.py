@@ -240,7 +240,8 @@ def test_toxicity_scores_by_brute_force(spark):
 
     for text, got in zip([t or "" for _, t, *_ in rows[::7]], toxicity.Scorer(model.odds, model.prior).scores([t or "" for _, t, *_ in rows[::7]])):
         own = [w for w in (re.sub(r"^[^\w@$]+|[^\w@$]+$", "", w) for w in text.lower().split()) if w]
-        mean = sum(map(vector, own), np.zeros(toxicity.DIM)) / (len(own) + toxicity.NEUTRAL)
+        weight = {w: 1 + math.log(n) for w, n in Counter(own).items()}
+        mean = sum((x * vector(w) for w, x in weight.items()), np.zeros(toxicity.DIM)) / (sum(weight.values()) + toxicity.NEUTRAL)
         a, b = (mean * toxicity.SCALE) @ model.out.astype(float) + model.bias
         assert abs(got - math.exp(b) / (math.exp(a) + math.exp(b))) < 1e-5
 
