@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .functions import stem
 from .functions import text as T
 from .model import Collection
 from .operators import evaluate as E
@@ -129,7 +128,6 @@ query("docno_clean", "SELECT doc_id, source || '-' || doc_id AS docno FROM docum
 query("path_okay", "SELECT page_id, CASE WHEN contains(url, '/') THEN url ELSE './' || url END AS path, url LIKE '%1' AS truthy, regexp_extract(url, '[^/]+$') AS bare FROM pages")(
     lambda s, d: table(s, d, "pages").select("page_id", T.normal_path(F.col("url")).alias("path"), T.okay(F.when(F.col("url").endswith("1"), "okay").otherwise("not okay")).alias("truthy"), F.regexp_replace(T.normal_path(F.regexp_extract("url", "[^/]+$", 0)), "^\\./", "").alias("bare"))
 )
-query("stem_vocab")(lambda s, d: stem.stem_vocabulary(S.words(texts(s, d).docs).select(F.explode("words").alias("word"))))
 
 # --- cursor primitives, postings and counts
 
@@ -300,7 +298,6 @@ query(
     "prf_kld",
     f"{_BM25}, {_FEATURE}, fb AS (SELECT topic, term, len FROM bm JOIN tf USING (doc) JOIN item USING (doc) WHERE rank <= 16), t AS (SELECT topic, term, count(*) AS f, sum(1 - pow(1 - (count + 1)::DOUBLE / nv, len)) AS e FROM fb JOIN fc ON fc.feature = fb.term, nv GROUP BY topic, term), u AS (SELECT topic, term, round(f * ln(f / e), 6) AS tsv FROM t WHERE f > 1) SELECT topic, term, tsv, row_number() OVER (PARTITION BY topic ORDER BY tsv DESC, term) AS rank FROM u QUALIFY rank <= 8",
 )(lambda s, d: R.kld_feedback(documents(s, d).index, R.bm25(documents(s, d).index, benchmark_topics(s, d))))
-query("pipeline_stop_stem")(lambda s, d: R.pipeline(documents(s, d).index, benchmark_topics(s, d), "stop stem k1=0.9 bm25"))
 query("rank_stop", f"WITH {TOPIC}, l AS (SELECT * FROM topic WHERE term NOT IN ({', '.join(repr(x) for x in R.STOPWORDS)})) SELECT topic, term FROM l UNION ALL SELECT topic, term FROM topic WHERE topic NOT IN (SELECT topic FROM l)")(lambda s, d: _stopped(benchmark_topics(s, d)))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .catalogue import _BM25, _ICF, _RANK, A, AB, AND_SRC, B, C3, LINES, TERMS, TF, TOK, TOPIC, WORDS, _round, benchmark_topics, documents, query, reduced, spans, table, texts, with_lines
+from .functions import stem
 from .functions import text as T
 from .model import Collection
 from .operators import evaluate as E
@@ -87,6 +88,52 @@ query(
     s2 AS (SELECT x.topic, doc, round({_WEIGHTED}, 6) AS score FROM x JOIN tf USING (term) JOIN df USING (term) JOIN item USING (doc), tot WHERE ln((items - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) > 0 GROUP BY x.topic, doc)
     SELECT topic, doc, score, {_RANK} FROM s2 WHERE score > 0 QUALIFY rank <= 1000""",
 )(lambda s, d: R.pipeline(documents(s, d).index, benchmark_topics(s, d), "bm25 rsj bm25"))
+
+
+def _porter(words: str) -> str:
+    """CTEs that stem the column word of `words`; the last is stems (word, stem)."""
+
+    def shape(e: str) -> str:
+        """V for vowels, C for consonants; y is what the letter before it isn't."""
+        x = f"regexp_replace(regexp_replace(regexp_replace({e}, '[aeiou]', 'V', 'g'), '[b-df-hj-np-tv-xz]', 'C', 'g'), '^y', 'C')"
+        for _ in range(6):
+            x = f"replace(replace({x}, 'Cy', 'CV'), 'Vy', 'VC')"
+        return x
+
+    m = lambda k, s="s": f"len(regexp_extract_all(left({s}, len({s}) - {k}), 'V+C+'))"
+    cut = lambda k, more="": f"left(w, len(w) - {k})" + (f" || '{more}'" if more else "")
+    cvc = lambda k: f"(right(left(s, len(s) - {k}), 3) = 'CVC' AND substr(w, len(w) - {k}, 1) NOT IN ('w', 'x', 'y'))"
+    ends = lambda e: f"ends_with(w, '{e}')"
+
+    def table(t: dict, least: int, also: str = "true") -> str:
+        rows = sorted(t.items(), key=lambda x: -len(x[0]))
+        return "CASE " + " ".join(f"WHEN {ends(e)} THEN CASE WHEN {m(len(e))} > {least} AND {also if e == 'ion' else 'true'} THEN {cut(len(e), to)} ELSE w END" for e, to in rows) + " ELSE w END"
+
+    vowel = lambda k: f"contains(left(s, len(s) - {k}), 'V')"
+    steps = [
+        f"CASE WHEN {ends('sses')} OR {ends('ies')} THEN {cut(2)} WHEN {ends('s')} AND NOT {ends('ss')} THEN {cut(1)} ELSE w END",
+        f"CASE WHEN {ends('eed')} THEN CASE WHEN {m(3)} > 0 THEN {cut(1)} ELSE w END WHEN {ends('ed')} THEN CASE WHEN {vowel(2)} THEN {cut(2)} || '+' ELSE w END WHEN {ends('ing')} THEN CASE WHEN {vowel(3)} THEN {cut(3)} || '+' ELSE w END ELSE w END",
+        # + marks a word that lost ed or ing
+        f"CASE WHEN NOT {ends('+')} THEN w WHEN {ends('at+')} OR {ends('bl+')} OR {ends('iz+')} THEN {cut(1, 'e')} WHEN len(w) > 2 AND substr(w, len(w) - 1, 1) = substr(w, len(w) - 2, 1) AND substr(s, len(s) - 1, 1) = 'C' THEN CASE WHEN substr(w, len(w) - 1, 1) IN ('l', 's', 'z') THEN CASE WHEN {m(1)} = 1 AND {cvc(1)} THEN {cut(1, 'e')} ELSE {cut(1)} END ELSE {cut(2)} END WHEN {m(1)} = 1 AND {cvc(1)} THEN {cut(1, 'e')} ELSE {cut(1)} END",
+        f"CASE WHEN {ends('y')} AND {vowel(1)} THEN {cut(1, 'i')} ELSE w END",
+        table(stem.STEP2, 0), table(stem.STEP3, 0), table(dict.fromkeys(stem.STEP4, ""), 1, "substr(w, len(w) - 3, 1) IN ('s', 't')"),
+        f"CASE WHEN {ends('e')} AND ({m(1)} > 1 OR ({m(1)} = 1 AND NOT {cvc(1)})) THEN {cut(1)} ELSE w END",
+        f"CASE WHEN {ends('ll')} AND {m(0)} > 1 THEN {cut(1)} ELSE w END",
+    ]
+    out = [f"p0 AS (SELECT word, lower(word) AS w, {shape('lower(word)')} AS s FROM {words} WHERE regexp_full_match(word, '[A-Za-z]{{3,32}}'))"]
+    out += [f"p{i} AS (SELECT word, w, {shape('w')} AS s FROM (SELECT word, {x} AS w FROM p{i - 1}))" for i, x in enumerate(steps, 1)]
+    return ", ".join([*out, f"stems AS (SELECT word, 'porter:' || w AS stem FROM p{len(steps)} UNION ALL SELECT word, word FROM {words} WHERE NOT regexp_full_match(word, '[A-Za-z]{{3,32}}'))"])
+
+
+query("stem_vocab", f"WITH {TERMS}, voc AS (SELECT DISTINCT term AS word FROM term), {_porter('voc')} SELECT word, stem FROM stems")(lambda s, d: stem.stem_vocabulary(S.words(texts(s, d).docs).select(F.explode("words").alias("word"))))
+_STOPPED = f"left_ AS (SELECT * FROM topic WHERE term NOT IN ({', '.join(repr(x) for x in R.STOPWORDS)})), qs AS (SELECT * FROM left_ UNION ALL SELECT * FROM topic WHERE topic NOT IN (SELECT topic FROM left_))"
+query(
+    "pipeline_stop_stem",
+    f"""WITH {TF}, {TOPIC}, {_STOPPED}, voc AS (SELECT term AS word FROM term UNION SELECT term FROM topic), {_porter('voc')}, x AS (SELECT topic, stem AS term, count(*)::DOUBLE AS w FROM qs JOIN stems ON word = qs.term GROUP BY ALL),
+    stf AS (SELECT doc, stem AS term, sum(tf.tf) AS tf FROM tf JOIN stems ON word = tf.term WHERE stem IN (SELECT term FROM x) GROUP BY ALL), sdf AS (SELECT term, count(*) AS df FROM stf GROUP BY term),
+    s2 AS (SELECT topic, doc, round(sum(x.w * ln((items - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (0.9::DOUBLE * (0.75::DOUBLE + 0.25::DOUBLE * len / avgl) + tf)), 6) AS score
+    FROM x JOIN stf USING (term) JOIN sdf USING (term) JOIN item USING (doc), tot WHERE ln((items - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) > 0 GROUP BY topic, doc) SELECT topic, doc, score, {_RANK} FROM s2 WHERE score > 0 QUALIFY rank <= 1000""",
+)(lambda s, d: R.pipeline(documents(s, d).index, benchmark_topics(s, d), "stop stem k1=0.9 bm25"))
 _TRIALS = R.random_params("bm25", 4)
 
 

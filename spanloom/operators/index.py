@@ -39,9 +39,10 @@ class Index(S.Stats):
 
     @classmethod
     def build(cls, docs: DataFrame, path: str, buckets: int = BUCKETS) -> Index:
+        """Write the tables, totals last; what an interrupted build left is overwritten."""
         spark = docs.sparkSession
         split = docs.select("doc", T.ascii_words(F.col("text")).alias("words")).select("doc", F.size("words").cast("long").alias("len"), "words")
-        split.select("doc", "len").write.parquet(f"{path}/lengths")
+        split.select("doc", "len").write.mode("overwrite").parquet(f"{path}/lengths")
         n = spark.read.parquet(f"{path}/lengths").count()
         each = split.select("doc", "len", F.posexplode("words").alias("p", "word"))
         own = lambda x, y: F.struct(x.alias("feature"), F.lit(y).alias("split"))
@@ -51,12 +52,12 @@ class Index(S.Stats):
         rows = each.groupBy("feature", "doc", "len").agg(F.sum("split").alias("tf"), F.sort_array(F.collect_list("p")).alias("positions"))
         rows = rows.withColumn("bucket", bucket_of(F.col("feature"), buckets))
         rows = rows.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(1 + n // DOCS_A_FILE))).sortWithinPartitions("bucket", "feature", "doc")
-        rows.write.partitionBy("bucket").parquet(f"{path}/postings")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         index = cls(spark, path, docs, buckets)
         terms = index.rows().groupBy("bucket", "feature").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"), F.sum("tf").alias("ctf"), F.sum(F.size("positions").cast("long")).alias("count"))
-        terms.repartition("bucket").sortWithinPartitions("bucket", "feature").write.partitionBy("bucket").parquet(f"{path}/terms")
+        terms.repartition("bucket").sortWithinPartitions("bucket", "feature").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
         lengths = index.lengths().where("length > 0").agg(F.count("*").alias("items"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"))
-        lengths.crossJoin(index.terms().agg(F.count("*").alias("vocab"))).coalesce(1).write.parquet(f"{path}/totals")  # one row with one row
+        lengths.crossJoin(index.terms().agg(F.count("*").alias("vocab"))).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")  # one row with one row
         return index
 
     def whole(self) -> bool:

@@ -71,3 +71,22 @@ def test_stems():
     # published examples of the algorithm's steps
     for w, s in {"caresses": "caress", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "vietnamization": "vietnam", "triplicate": "triplic", "adjustment": "adjust", "adoption": "adopt", "probate": "probat", "controlling": "control"}.items():
         assert stem(w) == "porter:" + s
+
+
+def test_stems_by_sql():
+    """The stemmer against its formulation in SQL, on words made of stems and endings."""
+    import random
+
+    import duckdb
+
+    from spanloom.catalogue import ORACLES
+    from spanloom.functions import stem
+
+    rng = random.Random(1)
+    endings = [*stem.STEP2, *stem.STEP3, *stem.STEP4, *"sses ies ed ing eed y e ll s ated izing bling tting".split()]
+    words = {"".join(rng.choice("tr o y gen ab el st i ss hop fall z ay ey bb".split()) for _ in range(rng.randint(1, 4))) + rng.choice(endings) for _ in range(4000)} | {"ab", "x1", "a" * 33, "Sky"}
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.execute("INSERT INTO documents VALUES (1, ?)", [" ".join(words)])
+    got = dict(c.execute(ORACLES["stem_vocab"]).fetchall())
+    assert got == {w.lower() if w == "Sky" else w: stem.stem(w) for w in words}

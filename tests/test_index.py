@@ -69,6 +69,14 @@ def test_a_query_reads_its_terms_only(indexed):
     assert len(indexed.index.rows(["with"]).inputFiles()) >= 1
 
 
+def test_an_interrupted_build_is_done_again(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/i"
+    spark.range(3).write.parquet(f"{path}/lengths")
+    spark.range(3).write.parquet(f"{path}/terms")
+    c = docs.indexed(path)
+    assert c.index.whole() and rows(c.index.counts()) == rows(S.Stats(docs.docs).counts())
+
+
 def test_statistics_are_selected(spark, docs, indexed):
     assert S.select(docs).__class__ is S.Stats and S.select(indexed) is indexed.index and S.select(indexed, {"statistics": "text"}).__class__ is S.Stats
     foraged = docs.annotate(tf_idf_forager(docs, docs.lengths().where("length > 0").selectExpr("doc", "0L AS p", "length - 1 AS q", "0.0D AS v", "NULL AS n")))
