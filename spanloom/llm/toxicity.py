@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,15 +129,17 @@ def damped(times: np.ndarray) -> np.ndarray:
 class _Rows:
     """Fitting rows as weighted buckets: a word's n-grams share its weight, a document's words and NEUTRAL more share 1."""
 
-    def __init__(self, bags: list[dict[str, int]]):
-        index: dict[str, int] = {}
-        self.docs = [(np.fromiter((index.setdefault(w, len(index)) for w in b), np.int64, len(b)), damped(np.fromiter(b.values(), np.float64, len(b)))) for b in bags]
-        self.ids, self.counts = ngram_ids(list(index)) if index else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    def __init__(self, words: pa.ListArray, times: pa.ListArray):
+        """words: those of each document; times: how often they stand there. Only the vocabulary becomes Python strings."""
+        known = words.flatten().dictionary_encode()
+        self.word, self.weight = known.indices.to_numpy(), damped(times.flatten().to_numpy())
+        self.edges = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        self.ids, self.counts = ngram_ids(known.dictionary.to_pylist()) if len(known) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         self.starts = np.cumsum(self.counts) - self.counts
 
     def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """(distinct buckets, weights) of a document."""
-        own, times = self.docs[i]
+        own, times = self.word[self.edges[i] : self.edges[i + 1]], self.weight[self.edges[i] : self.edges[i + 1]]
         n = self.counts[own]
         at = np.arange(n.sum()) + np.repeat(self.starts[own] - (np.cumsum(n) - n), n)
         ids, back = np.unique(self.ids[at], return_inverse=True)
@@ -158,11 +161,12 @@ class SubwordSoftmax:
 
     @classmethod
     def fit(cls, texts: list[str], labels: np.ndarray, seed: int = SEED) -> SubwordSoftmax:
-        return cls.fit_bags([bag(t) for t in texts], labels, seed=seed)
+        bags = [bag(t) for t in texts]
+        return cls.fit_words(*_arrays(bags), labels, seed=seed)
 
     @classmethod
-    def fit_bags(cls, bags: list[dict[str, int]], labels: np.ndarray, share: float | None = None, seed: int = SEED) -> SubwordSoftmax:
-        """bags: what bag() gives for each text; share: that of class 1 where the texts come from, if they don't hold as much of it."""
+    def fit_words(cls, words: pa.ListArray, times: pa.ListArray, labels: np.ndarray, share: float | None = None, seed: int = SEED) -> SubwordSoftmax:
+        """words, times: what bag() gives for each text; share: that of class 1 where the texts come from, if they don't hold as much of it."""
         y = np.asarray(labels, int)
         rng = np.random.default_rng(seed)
         e = np.zeros((BUCKETS, DIM), np.float32)
@@ -170,7 +174,7 @@ class SubwordSoftmax:
         odds = lambda p: float(np.log(np.clip(p, 1e-3, 1 - 1e-3) / (1 - np.clip(p, 1e-3, 1 - 1e-3))))
         drawn = y.mean() if len(y) else 0.1
         b = np.array([0.0, odds(drawn)], np.float32)
-        rows = _Rows(bags)
+        rows = _Rows(words, times)
         if not len(rows.ids) or not 0 < y.sum() < len(y):
             return cls(e, u, b)
         hits = np.zeros((2, BUCKETS))  # documents of each class that hold a bucket
@@ -289,16 +293,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: dict[int, int] |
     rows = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
     # texts are whole, and what comes here of each is its distinct words with their counts
     rows = rows.mapInArrow(_bags, "doc_id long, toxic int, words array<string>, counts array<int>").toArrow().sort_by([("doc_id", "ascending")])
-    bags = [dict(zip(w, n)) for w, n in zip(rows.column("words").to_pylist(), rows.column("counts").to_pylist())]
-    return SubwordSoftmax.fit_bags(bags, np.array(rows.column("toxic").to_pylist(), int), share)
+    rows = rows.combine_chunks()
+    words, times = (pa.concat_arrays(rows.column(c).chunks) if rows.num_rows else pa.array([], rows.schema.field(c).type) for c in ("words", "counts"))
+    return SubwordSoftmax.fit_words(words, times, np.array(rows.column("toxic").to_pylist(), int), share)
+
+
+def _arrays(bags: list[dict[str, int]]) -> tuple[pa.ListArray, pa.ListArray]:
+    return pa.array([list(x) for x in bags], pa.list_(pa.string())), pa.array([list(x.values()) for x in bags], pa.list_(pa.int32()))
 
 
 def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [bag(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("toxic"), pa.array([list(x) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], names=["doc_id", "toxic", "words", "counts"]
-        )
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *_arrays(found)], names=["doc_id", "toxic", "words", "counts"])
 
 
 _DDL = "doc_id long, score double"
