@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of input beyond which spread() leaves it as it is.
+SPREAD_BYTES = 4 << 30
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or, in local mode only, a new folder where that is unset."""
@@ -33,7 +36,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where it is read as fewer splits, as a small file of one row group is; larger tables are left as they are."""
+    """df over all cores where it is small and read as fewer splits, as a file of one row group is; larger tables are never shuffled for that."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
