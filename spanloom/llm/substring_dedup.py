@@ -298,8 +298,8 @@ def repeated_fragments(docs: DataFrame, hot_runs: int = HOT_RUNS, code_bytes: in
 def compact(fragments: DataFrame) -> DataFrame:
     """(doc, no_id, text_key, start, length, path): occurrences of paths, fragments glued at nonbranching nodes."""
     by_row = Window.partitionBy(*KEY).orderBy("start")
-    # a row that is repeated has each fragment several times at the same place
-    e = fragments.repartition(*KEY).groupBy(*KEY, "start", "length", "fragment").agg(F.count("*").alias("n"))
+    # a row that is repeated has each fragment several times at the same place: they are combined before rows meet
+    e = fragments.groupBy(*KEY, "start", "length", "fragment").agg(F.count("*").alias("n"))
     e = e.withColumn("next", F.when(F.lead("start").over(by_row) == F.col("start") + F.col("length"), F.lead("fragment").over(by_row)))
     times = e.groupBy("fragment").agg(F.sum("n").alias("times"))
     follows = e.where("next is not null").groupBy("fragment", "next").agg(F.sum("n").alias("follows"))
