@@ -161,7 +161,7 @@ query(
     "tune_bootstrap",
     f"""WITH t AS (SELECT o_orderpriority AS topic, year(o_orderdate) AS trial, avg(o_totalprice) AS value FROM orders GROUP BY ALL), n AS (SELECT topic, row_number() OVER (ORDER BY topic) - 1 AS k FROM (SELECT DISTINCT topic FROM t)),
     dr AS (SELECT round, CAST(floor({_UNIFORM.format("'1:' || round || ':' || k")} * (SELECT count(*) FROM n)) AS BIGINT) AS pick FROM n, range(1, 1001) r(round)),
-    m AS (SELECT round, trial, round(avg(value), 12) AS value FROM dr JOIN n ON n.k = pick JOIN t USING (topic) GROUP BY ALL), b AS (SELECT round, trial FROM m QUALIFY row_number() OVER (PARTITION BY round ORDER BY value DESC, trial) = 1) SELECT trial, count(*) AS wins FROM b GROUP BY trial""",
+    m AS (SELECT round, trial, round(avg(value), 12) AS value FROM dr JOIN n ON n.k = pick JOIN t USING (topic) GROUP BY ALL), b AS (SELECT round, trial FROM m QUALIFY row_number() OVER (PARTITION BY round ORDER BY value DESC, trial) = 1) SELECT CAST(trial AS INTEGER) AS trial, count(*) AS wins FROM b GROUP BY trial""",
 )(lambda s, d: E.bootstrap(_orders_trials(s, d)))
 
 # --- the index, cursors and windows
