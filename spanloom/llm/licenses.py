@@ -226,7 +226,8 @@ def scan_licenses(docs: DataFrame, path) -> DataFrame:
     null path has no directories above it.  Of the license files of a directory
     the one of the highest score, then smallest doc_id, then smallest license,
     holds for what is below.
-    Null and empty texts have no license of their own but inherit.  Repeated rows
+    Null and empty texts have no license of their own but inherit; texts of any
+    length are compared as a whole.  Other columns are ignored.  Repeated rows
     and null doc_ids are scanned like any other; an empty table gives no rows.
     """
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_or_empty(), path.cast("string").alias("path")).mapInArrow(_scan, _FOUND_DDL)

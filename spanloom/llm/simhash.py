@@ -276,7 +276,8 @@ def simhash_groups(docs: DataFrame, max_distance: int = MAX_DISTANCE, plan: Plan
     same SimHash, kept whether class_id is the row's own.  Null and empty texts
     are copies of each other; rows with a null doc_id take part, and are kept
     where their class holds no doc_id.  Repeated rows are copies, each kept if its
-    doc_id is; text_key tells rows of one doc_id apart.  An empty table gives an
+    doc_id is; text_key tells rows of one doc_id apart.  Texts count with all of
+    their words, however long.  An empty table gives an
     empty result; other columns of docs are ignored.  plan: tables to use in place
     of plan_tables()'s; bucket, block: sizes beyond which work is divided, which
     change no result.

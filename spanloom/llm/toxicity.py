@@ -329,8 +329,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (score >= THRESHOLD), one row per row of docs.
 
     A null or empty text gets the share of toxic rows among those fitted on.
-    Null doc_ids and repeated rows are scored like any other; only `text` is
-    read for a score.  An empty table gives no rows, and tables without labels
+    Null doc_ids and repeated rows are scored like any other; only `text`, and
+    all of it, is read for a score; other columns are ignored.  An empty table gives no rows, and tables without labels
     give every text the same score.
     """
     score = _scoring(docs.sparkSession, fit_toxicity(docs, labels))

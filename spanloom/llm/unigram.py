@@ -419,7 +419,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
     """doc_id, n_pieces, n_byte_pieces, ids_crc32 (little-endian 32-bit ids), round_trip and, with_ids, ids; a row per row of docs.
 
     round_trip says whether decoding gives the text again; a text that holds the
-    marker U+2581 doesn't.  Null and empty texts have no pieces.  Null doc_ids
+    marker U+2581 doesn't.  Null and empty texts have no pieces; texts of any
+    length, without spaces too, take time in proportion.  Null doc_ids
     and repeated rows are encoded like any other; nothing is shuffled; an empty
     table gives no rows; other columns of docs are ignored.
     """
