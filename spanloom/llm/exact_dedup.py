@@ -161,7 +161,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text), n_points and text_key (of the text itself: its code points and a hash).
 
     Of equal texts the row with the most code points in its original text, then
-    the smallest doc_id, stays.  A null text counts as empty; a null doc_id
+    the smallest doc_id, stays; texts of any length are compared as a whole.  A null text counts as empty; a null doc_id
     counts as larger than every other (keep_id is then null where only such rows
     hold the text).  Rows repeated with the same doc_id count in group_size, and
     each of them has kept = (doc_id is keep_id).  An empty table gives an empty
