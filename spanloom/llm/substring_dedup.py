@@ -54,8 +54,8 @@ _BLOCK = pa.schema([("bucket", pa.int32()), ("local", pa.bool_()), ("runs", pa.b
 _BLOCK_DDL = "bucket int, local boolean, runs binary, windows binary"
 #: A row of documents: its doc_id (0 where null), whether that is null, and the hash of its text.
 KEY = ["doc", "no_id", "text_key"]
-_SPAN = pa.schema([("doc", pa.int64()), ("no_id", pa.bool_()), ("text_key", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("fragment", pa.int64())])
-_SPAN_DDL = "doc long, no_id boolean, text_key long, start int, length int, fragment long"
+_SPAN = pa.schema([("doc", pa.int64()), ("no_id", pa.bool_()), ("text_key", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("fragment", pa.int64()), ("n", pa.int64())])
+_SPAN_DDL = "doc long, no_id boolean, text_key long, start int, length int, fragment long, n long"
 #: A run: consecutive windows of one document that share their minimizer. offset: from the first window to the minimizer; again: its one window stands for several of its task.
 RUN = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("text_key", "<i8"), ("start", "<i4"), ("offset", "u1"), ("count", "u1"), ("no_id", "u1"), ("again", "u1")])
 
@@ -229,25 +229,39 @@ def _cut(runs, at, hashes, bucket, order, code_bytes: int) -> Iterator[pa.Record
     )
 
 
-def _spans(runs: np.ndarray, first: np.ndarray, length: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.ascontiguousarray(runs["doc"])), pa.array(runs["no_id"].astype(bool)), pa.array(np.ascontiguousarray(runs["text_key"])), pa.array((runs["start"] + first).astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(ids)], schema=_SPAN
-    )
+def _spans(runs: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of fragments; those of a row that is repeated, at the same place, are one with their number."""
+    if not len(runs):
+        return
+    doc, text_key, no_id = (np.ascontiguousarray(runs[c]) for c in ("doc", "text_key", "no_id"))
+    order = np.lexsort((start, text_key, doc, no_id))
+    doc, text_key, no_id, start, length, ids = (x[order] for x in (doc, text_key, no_id, start, length, ids))
+    new = np.append(True, (start[1:] != start[:-1]) | (text_key[1:] != text_key[:-1]) | (doc[1:] != doc[:-1]) | (no_id[1:] != no_id[:-1]))
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(new)))
+    for a in range(0, len(at), 50_000):
+        k = at[a : a + 50_000]
+        columns = [doc[k], no_id[k].astype(bool), text_key[k], start[k].astype(np.int32), length[k].astype(np.int32), ids[k], n[a : a + 50_000]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SPAN)], schema=_SPAN)
 
 
 def _own(code_bytes: int):
     """Fragments: chains of repeated edges of a run, cut where an edge doesn't always follow the one before."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_runs, all_windows = [], []
+        all_runs, all_windows, locals_, ids = [], [], [], []
         for batch in batches:
             for local, runs, windows in zip(*(batch.column(c).to_pylist() for c in ("local", "runs", "windows"))):
                 runs = np.frombuffer(runs, RUN)
                 if local:
-                    yield _spans(runs, np.zeros(len(runs), np.int32), np.ones(len(runs), np.int32), np.frombuffer(windows, np.int64))
+                    locals_.append(runs)
+                    ids.append(np.frombuffer(windows, np.int64))
                 else:
                     all_runs.append(runs)
                     all_windows.append(np.frombuffer(windows, np.uint8))
+        if locals_:
+            own = np.concatenate(locals_)
+            yield from _spans(own, own["start"], np.ones(len(own), np.int32), np.concatenate(ids))
         if all_runs:
             yield from _fragments(np.concatenate(all_runs), np.concatenate(all_windows), code_bytes)
 
@@ -281,14 +295,11 @@ def _fragments(runs: np.ndarray, windows: np.ndarray, code_bytes: int) -> Iterat
     at = np.flatnonzero(np.append(True, ~chain))
     length = np.diff(np.append(at, len(run)))
     at, length = at[again[at]], length[again[at]]
-    ids = _fragment_ids(key[at], length)
-    for a in range(0, len(at), 50_000):
-        s = slice(a, a + 50_000)
-        yield _spans(runs[run[at[s]]], step[at[s]], length[s], ids[s])
+    yield from _spans(runs[run[at]], runs["start"][run[at]] + step[at], length, _fragment_ids(key[at], length))
 
 
 def repeated_fragments(docs: DataFrame, hot_runs: int = HOT_RUNS, code_bytes: int = CODE_BYTES) -> DataFrame:
-    """(doc, no_id, text_key, start, length, fragment) of documents with their KEY and text: start counts words, length windows."""
+    """(doc, no_id, text_key, start, length, fragment, n) of documents with their KEY and text: start counts words, length windows, n rows that are the same."""
     hot, windows = survey(docs, hot_runs)
     n = max(C.partitions(docs.sparkSession), math.ceil(windows / OWNER_WINDOWS))
     blocks = docs.mapInArrow(_blocks(n, hot, code_bytes), _BLOCK_DDL)
@@ -298,8 +309,8 @@ def repeated_fragments(docs: DataFrame, hot_runs: int = HOT_RUNS, code_bytes: in
 def compact(fragments: DataFrame) -> DataFrame:
     """(doc, no_id, text_key, start, length, path): occurrences of paths, fragments glued at nonbranching nodes."""
     by_row = Window.partitionBy(*KEY).orderBy("start")
-    # a row that is repeated has each fragment several times at the same place: they are combined before rows meet
-    e = fragments.groupBy(*KEY, "start", "length", "fragment").agg(F.count("*").alias("n"))
+    # a row that is repeated has each fragment several times at the same place; owners have combined most of them
+    e = fragments.repartition(*KEY).groupBy(*KEY, "start", "length", "fragment").agg(F.sum("n").alias("n"))
     e = e.withColumn("next", F.when(F.lead("start").over(by_row) == F.col("start") + F.col("length"), F.lead("fragment").over(by_row)))
     times = e.groupBy("fragment").agg(F.sum("n").alias("times"))
     follows = e.where("next is not null").groupBy("fragment", "next").agg(F.sum("n").alias("follows"))
