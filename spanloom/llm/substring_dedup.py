@@ -260,15 +260,21 @@ def _own(code_bytes: int):
                     all_runs.append(runs)
                     all_windows.append(np.frombuffer(windows, np.uint8))
         if locals_:
-            own = np.concatenate(locals_)
-            yield from _spans(own, own["start"], np.ones(len(own), np.int32), np.concatenate(ids))
+            own, ids = np.concatenate(locals_), np.concatenate(ids)
+            del locals_
+            yield from _spans(own, own["start"], np.ones(len(own), np.int32), ids)
+            del own, ids
         if all_runs:
-            yield from _fragments(np.concatenate(all_runs), np.concatenate(all_windows), code_bytes)
+            joined = [np.concatenate(all_runs), np.concatenate(all_windows)]
+            del all_runs, all_windows
+            yield from _fragments(joined, code_bytes)
 
     return run
 
 
-def _fragments(runs: np.ndarray, windows: np.ndarray, code_bytes: int) -> Iterator[pa.RecordBatch]:
+def _fragments(joined: list[np.ndarray], code_bytes: int) -> Iterator[pa.RecordBatch]:
+    """joined: runs and the bytes of their windows, which are taken out of it, so that they go as soon as they aren't needed."""
+    windows, runs = joined.pop(), joined.pop()
     count = runs["count"].astype(np.int64)
     first = np.cumsum(count) - count
     _, back, times = np.unique(runs["anchor"], return_inverse=True, return_counts=True)
@@ -280,7 +286,9 @@ def _fragments(runs: np.ndarray, windows: np.ndarray, code_bytes: int) -> Iterat
     step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
     code = np.zeros((len(run), 8), np.uint8)
     code[:, :code_bytes] = windows.reshape(-1, code_bytes)[np.repeat(first, count) + step] if code_bytes else 0
+    del windows
     key = _edge_keys(runs["anchor"][run], runs["offset"][run].astype(np.int64) - step, code.view(np.uint64)[:, 0])
+    del code
     _, back, times = np.unique(key, return_inverse=True, return_counts=True)
     times = times[back]
     again = times > 1
@@ -295,7 +303,9 @@ def _fragments(runs: np.ndarray, windows: np.ndarray, code_bytes: int) -> Iterat
     at = np.flatnonzero(np.append(True, ~chain))
     length = np.diff(np.append(at, len(run)))
     at, length = at[again[at]], length[again[at]]
-    yield from _spans(runs[run[at]], runs["start"][run[at]] + step[at], length, _fragment_ids(key[at], length))
+    own, start, ids = runs[run[at]], runs["start"][run[at]] + step[at], _fragment_ids(key[at], length)
+    del runs, run, step, key, pair, back, times, follows, same, chain, again, at
+    yield from _spans(own, start, length, ids)
 
 
 def repeated_fragments(docs: DataFrame, hot_runs: int = HOT_RUNS, code_bytes: int = CODE_BYTES) -> DataFrame:
