@@ -35,20 +35,45 @@ class Kernel:
 
     #: How often the rows of a group are divided, each time by other codes, before those that stay together are compared.
     divisions = 1
+    #: Rows that are held before their groups are compared.
+    held = HELD
 
     def load(self, table: pa.Table):
         raise NotImplementedError
 
-    def codes(self, state, s: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """(rows that division s takes in, their codes); None: all of them, undivided."""
-        return None
+    def divide(self, state, group: np.ndarray, first: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, starts, ends): the rows that stay together in division s, each group's from starts to ends of order, rows of a block together; undivided by default."""
+        starts = np.flatnonzero(first)
+        return np.arange(len(group)), starts, np.append(starts[1:], len(group))
 
     def near(self, state, rows: np.ndarray) -> Callable:
         """A function of two ranges of rows: a matrix that is true where a row of the one may be a link with a row of the other."""
         raise NotImplementedError
 
-    def match(self, state, i: np.ndarray, j: np.ndarray, s: int) -> np.ndarray:
-        """The mask of the pairs (i, j) that are links and meet here, in division s, for the first time."""
+    def pairs(self, state, order: np.ndarray, starts: np.ndarray, ends: np.ndarray, middles: Callable, s: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (i, j) of rows that stay together in division s and may be links, each once, those that met before or not; middles(rows): how many of them, the first, meet the others only, or all of them."""
+        size = ends - starts
+        end_of = np.repeat(ends, size)
+        small = np.flatnonzero(np.repeat(size <= FEW, size))
+        o = 1
+        while len(small):
+            small = small[small + o < end_of[small]]
+            yield order[small], order[small + o]
+            o += 1
+        for a, b in zip(starts[size > FEW].tolist(), ends[size > FEW].tolist()):
+            rows = order[a:b]
+            may_link = self.near(state, rows)
+            middle = middles(rows)
+            step = max(1, 16 * PAIRS // (b - a))
+            for r in range(0, middle, step):
+                to, begin = min(r + step, middle), r if middle == b - a else middle
+                x, y = np.nonzero(may_link(r, to, begin, b - a))
+                x, y = x + r, y + begin
+                later = y > x
+                yield rows[x[later]], rows[y[later]]
+
+    def match(self, state, i: np.ndarray, j: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """The mask of the pairs (i, j) that are links and meet here, in division s of each, for the first time."""
         raise NotImplementedError
 
 
@@ -95,7 +120,7 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def compare(batches: Iterable[pa.RecordBatch], kernel: Kernel) -> Iterator[pa.RecordBatch]:
     """Run over rows sorted by (key, lo, hi, block)."""
     held: list[pa.Table] = []
-    rows, full = 0, HELD
+    rows, full = 0, kernel.held
     for batch in batches:
         held.append(pa.Table.from_batches([batch]))
         rows += batch.num_rows
@@ -106,7 +131,7 @@ def compare(batches: Iterable[pa.RecordBatch], kernel: Kernel) -> Iterator[pa.Re
         if cut:
             yield from _groups(table.slice(0, cut), kernel)
         held, rows = [table.slice(cut)], table.num_rows - cut
-        full = max(HELD, 2 * rows)
+        full = max(kernel.held, 2 * rows)
     if held:
         yield from _groups(pa.concat_tables(held).combine_chunks(), kernel)
 
@@ -136,13 +161,20 @@ def _groups(table: pa.Table, kernel: Kernel) -> Iterator[pa.RecordBatch]:
     state = kernel.load(table)
     links = np.zeros(n, np.int64)
     found_i, found_j = [], []
+    wait: list = []
+    waiting = 0
 
-    def test(i: np.ndarray, j: np.ndarray, s: int) -> None:
-        nonlocal found_i, found_j
+    def middles(rows: np.ndarray) -> int:
+        return int((block[rows] == lo[rows[0]]).sum()) if lo[rows[0]] < hi[rows[0]] else len(rows)  # of two blocks the first's rows meet the second's
+
+    def test() -> None:
+        nonlocal found_i, found_j, wait, waiting
+        i, j, division = map(np.concatenate, zip(*wait))
+        wait, waiting = [], 0
         for a in range(0, len(i), PAIRS):
-            x, y = i[a : a + PAIRS], j[a : a + PAIRS]
+            x, y, s = i[a : a + PAIRS], j[a : a + PAIRS], division[a : a + PAIRS]
             ok = (lo[x] == hi[x]) | (block[x] != block[y])  # pairs within a block belong to that block's own group
-            x, y = x[ok], y[ok]
+            x, y, s = x[ok], y[ok], s[ok]
             if len(x):
                 ok = kernel.match(state, x, y, s)
                 x, y = x[ok], y[ok]
@@ -155,44 +187,13 @@ def _groups(table: pa.Table, kernel: Kernel) -> Iterator[pa.RecordBatch]:
             found_i, found_j = _forest(n, found_i, found_j)
 
     for s in range(kernel.divisions):
-        if (divided := kernel.codes(state, s)) is None:
-            order, first = np.arange(n), new
-        else:
-            order, code = divided
-            if not len(order):
-                continue
-            k = np.lexsort((code, group[order]))  # stable: rows of a block stay together
-            order, code = order[k], code[k]
-            first = np.ones(len(order), bool)
-            first[1:] = (group[order[1:]] != group[order[:-1]]) | (code[1:] != code[:-1])
-        starts = np.flatnonzero(first)
-        ends = np.append(starts[1:], len(order))
-        size = ends - starts
-        end_of = np.repeat(ends, size)
-        small = np.flatnonzero(np.repeat(size <= FEW, size))
-        o = 1
-        while len(small):
-            small = small[small + o < end_of[small]]
-            test(order[small], order[small + o], s)
-            o += 1
-        wait: list = []
-        for a, b in zip(starts[size > FEW].tolist(), ends[size > FEW].tolist()):
-            rows = order[a:b]
-            may_link = kernel.near(state, rows)
-            head = rows[0]
-            middle = int((block[rows] == lo[head]).sum()) if lo[head] < hi[head] else b - a  # of two blocks the first's rows meet the second's
-            step = max(1, 16 * PAIRS // (b - a))
-            for r in range(0, middle, step):
-                to, begin = min(r + step, middle), r if middle == b - a else middle
-                x, y = np.nonzero(may_link(r, to, begin, b - a))
-                x, y = x + r, y + begin
-                later = y > x
-                wait.append((rows[x[later]], rows[y[later]]))
-                if sum(len(x) for x, _ in wait) > PAIRS:
-                    test(*map(np.concatenate, zip(*wait)), s)
-                    wait = []
-        if wait:
-            test(*map(np.concatenate, zip(*wait)), s)
+        for i, j in kernel.pairs(state, *kernel.divide(state, group, new, s), middles, s):
+            wait.append((i, j, np.full(len(i), s, np.int16)))
+            waiting += len(i)
+            if waiting > PAIRS or len(wait) > 4096:
+                test()
+    if wait:
+        test()
     if not found_i:
         return
     i, j = (x[0] for x in _forest(n, found_i, found_j))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .components import connected_components
-from .pairing import BLOCK, Kernel, hinted, link_pairs, oversized, sample_of, with_blocks
+from .pairing import BLOCK, FEW, Kernel, hinted, link_pairs, oversized, sample_of, with_blocks
 
 BITS, MAX_DISTANCE, SEED = 256, 48, 11
 #: Share of differing bits of documents that have nothing to do with each other.
@@ -40,6 +40,10 @@ LEAST_SHARED, LEAST_MORE = 6, 2
 MISS, FAMILY_MISS = 1e-3, 0.1
 #: Fingerprints of a family's bucket beyond which its tables are sent one by one.
 BUCKET = 150_000
+#: Places of groups that are compared side by side, about.
+SLOTS = 1 << 14
+#: Rows of a group from which links that met before are left out before they are listed.
+DENSE = 128
 #: Where the number of the family stands in a key, above the shared bits.
 TAG = 44
 
@@ -170,46 +174,179 @@ def _words(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
     return np.stack([batch.column(f).to_numpy() for f in _FP], axis=1).view(np.uint64)
 
 
+class _State(NamedTuple):
+    words: list[np.ndarray]  # of the fingerprints, one array each
+    family: np.ndarray
+    only: np.ndarray  # the one table that a row is sent for, or -1
+    runs: list[tuple[int, np.ndarray | slice]]  # rows of each family
+
+
 class _Kernel(Kernel):
+    held = 1 << 17
+
     def __init__(self, shared: np.ndarray, more: np.ndarray, most: int):
-        self.more, self.most, self.divisions = more, most, more.shape[1]
-        masks = np.zeros((len(shared), self.divisions, BITS), np.uint8)
-        for k in range(len(shared)):
-            masks[k][:, shared[k]] = 1
-            for s in range(self.divisions):
-                masks[k, s, more[k, s]] = 1
-        self.masks = np.packbits(masks.reshape(-1, BITS), axis=1, bitorder="little").view(np.uint64)
-
-    def load(self, table: pa.Table):
-        return _words(table), table.column("family").to_numpy().astype(np.int64), table.column("table").to_numpy()
-
-    def codes(self, state, s: int) -> tuple[np.ndarray, np.ndarray]:
-        f, family, only = state
-        rows = np.flatnonzero((only < 0) | (only == s))
-        code = [_code(_bits(f[x]), self.more[family[x], s]) for x in (rows[a : a + 65_536] for a in range(0, len(rows), 65_536))]
-        return rows, np.concatenate(code) if code else np.zeros(0, np.uint64)
-
-    def near(self, state, rows: np.ndarray):
-        signs = _bits(state[0][rows]).astype(np.float32) * 2 - 1
-
-        def may_link(r: int, to: int, first: int, last: int) -> np.ndarray:
-            return signs[r:to] @ signs[first:last].T >= BITS - 2 * self.most  # agreeing less differing bits
-
-        return may_link
-
-    def match(self, state, i: np.ndarray, j: np.ndarray, s: int) -> np.ndarray:
-        f, family, _ = state
-        x = f[i] ^ f[j]
-        ok = np.bitwise_count(x).sum(1, dtype=np.int64) <= self.most
-        near = np.flatnonzero(ok)
-        table = family[i] * self.divisions + s
-        for t in range(len(self.masks)):
-            if not len(near):
+        self.shared, self.more, self.most, self.divisions = shared, more, most, more.shape[1]
+        self.shared_masks, self.more_masks = _masks(shared), _masks(more)
+
+    def load(self, table: pa.Table) -> _State:
+        f, family = _words(table), table.column("family").to_numpy().astype(np.int64)
+        if (family[1:] < family[:-1]).any():
+            runs = [(int(k), np.flatnonzero(family == k)) for k in np.unique(family)]
+        else:
+            at = np.flatnonzero(np.diff(family, prepend=-1))
+            runs = [(int(family[a]), slice(a, b)) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(family)])]
+        return _State([np.ascontiguousarray(f[:, k]) for k in range(4)], family, table.column("table").to_numpy(), runs)
+
+    def divide(self, state: _State, group: np.ndarray, first: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, bits = len(group), self.more.shape[2]
+        code = np.zeros(n, np.uint64)
+        for k, rows in state.runs:
+            code[rows] = _number([w[rows] for w in state.words], self.more[k, s])
+        code |= group.astype(np.uint64) << np.uint64(bits)
+        width = np.uint64(n.bit_length())
+        taken = np.flatnonzero((state.only < 0) | (state.only == s))
+        if int(group[-1]).bit_length() + bits + n.bit_length() <= 64:  # rows in the low bits: the sort is stable, and faster than one of indices
+            packed = np.sort(code[taken] << width | taken.astype(np.uint64))
+            order, code = (packed & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64), packed >> width
+        else:
+            order = taken[np.argsort(code[taken], kind="stable")]
+            code = code[order]
+        starts = np.flatnonzero(np.diff(code, prepend=~code[:1]))
+        return order, starts, np.append(starts[1:], len(order))
+
+    def pairs(self, state: _State, order: np.ndarray, starts: np.ndarray, ends: np.ndarray, middles, s: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links only. Groups of about one size are compared side by side, those of which there are few one by one."""
+        size = ends - starts
+        starts, size = starts[size > 1], size[size > 1]
+        by = np.argsort(size, kind="stable")
+        starts, size = starts[by], size[by]
+        a = 0
+        while a < len(size):
+            least = int(size[a])
+            b = min(int(np.searchsorted(size, least + least // 6, side="right")), a + max(1, SLOTS // least))
+            if least > FEW and (least >= DENSE or (b - a) * least < SLOTS // 4):
+                for start, n in zip(starts[a:b].tolist(), size[a:b].tolist()):
+                    rows = order[start : start + n]
+                    yield from self._within(state, rows, middles(rows), s)
+            else:
+                yield from self._abreast(state, order, starts[a:b], size[a:b])
+            a = b
+
+    def _abreast(self, state: _State, order: np.ndarray, starts: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of groups sorted by size: an array has a row for each place in a group, so rows o places apart are compared at once for all groups."""
+        least, height, wide = int(size[0]), int(size[-1]), len(size)
+        place = np.arange(height)[:, None]
+        rows = order[np.minimum(starts + place, len(order) - 1)]
+        words = [w[rows] for w in state.words]
+        if height > least:
+            empty = place[least:] >= size
+            pads = np.random.default_rng(SEED)
+            for w in words:  # far from everything; a place without a row is no pair if it ever were near
+                w[least:][empty] = pads.integers(0, 1 << 63, int(empty.sum()), np.uint64) * np.uint64(2)
+            rows[least:][empty] = -1
+        rows, words = rows.ravel(), [w.ravel() for w in words]
+        buffer, one, count = np.empty(len(rows), np.uint64), np.empty(len(rows), np.uint8), np.empty(len(rows), np.uint8)
+        for o in range(wide, len(rows), wide):
+            m = len(rows) - o
+            np.bitwise_count(np.bitwise_xor(words[0][:m], words[0][o:], out=buffer[:m]), out=count[:m])
+            for w in words[1:3]:  # hardly a pair that is no link is left by then
+                np.bitwise_count(np.bitwise_xor(w[:m], w[o:], out=buffer[:m]), out=one[:m])
+                np.add(count[:m], one[:m], out=count[:m])
+            x = np.flatnonzero(count[:m] <= self.most)
+            if len(x):
+                x = x[count[x] + np.bitwise_count(words[3][x] ^ words[3][x + o]) <= self.most]
+                i, j = rows[x], rows[x + o]
+                ok = (i >= 0) & (j >= 0)
+                yield i[ok], j[ok]
+
+    def _within(self, state: _State, rows: np.ndarray, middle: int, s: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of one group; where most are links, as among many near copies of a text, those that met in a table before are left out by its codes."""
+        n = len(rows)
+        words = [w[rows] for w in state.words]
+        step = max(1, 2 * SLOTS // n)
+        before = self._before(words, int(state.family[rows[0]]), s)
+        known: list[np.ndarray] = []
+        for r in range(0, middle, step):
+            to, begin = min(r + step, middle), r if middle == n else middle
+            count = np.bitwise_count(words[0][r:to, None] ^ words[0][begin:])
+            for w in words[1:3]:
+                count += np.bitwise_count(w[r:to, None] ^ w[begin:])
+            hit = count <= self.most
+            if n >= DENSE:
+                t = 0
+                while np.count_nonzero(hit) > hit.size // 32:
+                    if t == len(known):
+                        if (code := next(before, None)) is None:
+                            break
+                        known.append(code)
+                    hit &= known[t][r:to, None] != known[t][begin:]
+                    t += 1
+            x, y = np.divmod(np.flatnonzero(hit), n - begin)
+            x, y = x + r, y + begin
+            x, y = x[y > x], y[y > x]
+            if len(x):
+                ok = np.bitwise_count(np.stack([w[x] ^ w[y] for w in words])).sum(0, dtype=np.int64) <= self.most
+                yield rows[x[ok]], rows[y[ok]]
+
+    def _before(self, words: list[np.ndarray], k: int, s: int) -> Iterator[np.ndarray]:
+        """Codes of rows of family k in tables that come before its table s: those of the family, then some of the first families."""
+        for t in range(s):
+            yield _number(words, self.more[k, t])
+        for j in range(min(k, 8)):
+            shared = _number(words, self.shared[j])
+            for t in range(min(self.divisions, 5)):
+                yield shared << np.uint64(self.more.shape[2]) | _number(words, self.more[j, t])
+
+    def match(self, state: _State, i: np.ndarray, j: np.ndarray, s: np.ndarray) -> np.ndarray:
+        x = np.stack([w[i] ^ w[j] for w in state.words])
+        family, new = state.family[i], np.ones(len(i), bool)
+
+        def drop(left: np.ndarray, own: np.ndarray, k: int, tables: int) -> None:
+            """Pairs that met in one of the family's first tables, s (in own) being the first that doesn't count."""
+            for t in range(tables):
+                keep = own > t
+                left, own = left[keep], own[keep]
+                if not len(left):
+                    return
+                met = _agree(x[:, left], self.more_masks[k, t])
+                new[left[met]] = False
+                left, own = left[~met], own[~met]
+
+        for k in np.unique(family).tolist():
+            own = np.flatnonzero(family == k)
+            drop(own, s[own], k, self.divisions)
+        left = np.flatnonzero(new)
+        for k in range(int(family.max())):
+            left = left[new[left] & (family[left] > k)]
+            if not len(left):
                 break
-            near = near[(table[near] <= t) | (x[near] & self.masks[t]).any(1)]  # else the pair met in table t already
-        ok[:] = False
-        ok[near] = True
-        return ok
+            both = left[_agree(x[:, left], self.shared_masks[k])]
+            drop(both, np.full(len(both), self.divisions), k, self.divisions)
+        return new
+
+
+def _masks(at: np.ndarray) -> np.ndarray:
+    """Fingerprints with the bits at the coordinates of the last axis."""
+    on = np.zeros((*at.shape[:-1], BITS), np.uint8)
+    np.put_along_axis(on, at, 1, -1)
+    return np.packbits(on, axis=-1, bitorder="little").view(np.uint64)
+
+
+def _number(words: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    """_code() of fingerprints that are given as an array for each word."""
+    code = np.zeros(len(words[0]), np.uint64)
+    for j, c in enumerate(at.tolist()):
+        code |= (words[c >> 6] >> np.uint64(c & 63) & np.uint64(1)) << np.uint64(j)
+    return code
+
+
+def _agree(x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Which columns of x, 4 words of differing bits each, have none in mask."""
+    differ = np.zeros(x.shape[1], np.uint64)
+    for w, m in zip(x, mask):
+        if m:
+            differ |= w & m
+    return differ == 0
 
 
 _KEYED = "key long, family int, table int, id long, n long, " + ", ".join(f"{f} long" for f in _FP)

@@ -10,11 +10,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from samples import LONG, ODD, SCHEMA, dicts
 
 from spanloom.llm import exact_dedup as exact
-from spanloom.llm import licenses, packing, secrets, simhash, substring_dedup, token_counts, token_ids, toxicity, unigram, vector_dedup
+from spanloom.llm import licenses, packing, pairing, secrets, simhash, substring_dedup, token_counts, token_ids, toxicity, unigram, vector_dedup
 from spanloom.llm.components import connected_components
 
 SYL = ["ka", "lo", "mi", "ne", "ru", "ta", "vo", "zi"]
@@ -431,6 +432,42 @@ def test_simhash_tables_meet_pairs_at_the_limit():
         assert met.mean() > 0.996, n
 
 
+def test_simhash_near_copies_meet_once():
+    """Of many near copies of a text few pairs are listed again in later tables, and links count once."""
+    rng = np.random.default_rng(4)
+    plan = simhash.Plan(8, 9, 3, 16)
+    shared, more = simhash.samples(plan)
+    bits = np.repeat(rng.integers(0, 2, (1, simhash.BITS), np.uint8), 500, 0) ^ (rng.random((500, simhash.BITS)) < 0.04)
+    bits = np.concatenate([bits, rng.integers(0, 2, (1500, simhash.BITS), np.uint8)])
+    f = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    key, family, row = np.concatenate([np.stack([simhash._code(bits, at) | np.uint64(k << simhash.TAG), np.full(2000, k, np.uint64), np.arange(2000, dtype=np.uint64)], 1) for k, at in enumerate(shared)]).T
+    order = np.argsort(key, kind="stable")
+    key, family, row = (x[order].astype(np.int64) for x in (key, family, row))
+    zero = np.zeros(len(key), np.int32)
+    table = pa.table({"key": key, "lo": zero, "hi": zero, "block": zero, "id": row, "n": zero + 1, "family": family.astype(np.int32), "table": zero - 1} | {f"f{k}": f[row, k].view(np.int64) for k in range(4)})
+    listed = 0
+
+    class Counted(simhash._Kernel):
+        def match(self, state, i, j, s):
+            nonlocal listed
+            listed += len(i)
+            return super().match(state, i, j, s)
+
+    got = pa.Table.from_batches(pairing.compare(iter(table.to_batches(1000)), Counted(shared, more, simhash.MAX_DISTANCE)))
+    links = np.bincount(got["id"], weights=got["links"], minlength=2000)
+    near = np.bitwise_count(f[:, None] ^ f[None]).sum(2) <= simhash.MAX_DISTANCE
+    met = np.zeros(near.shape, bool)
+    for at, own in zip(shared, more):
+        code = simhash._code(bits, at)
+        same = code[:, None] == code[None]
+        for x in own:
+            code = simhash._code(bits, x)
+            met |= same & (code[:, None] == code[None])
+    want = (near & met).sum(1) - 1
+    assert (links == want).all() and want.sum() > 100_000
+    assert listed < 2 * want.sum() / 2
+
+
 def test_simhash_of_texts_without_spaces():
     rng = random.Random(3)
     signs = [chr(0x4E00 + k) for k in range(2000)]
