@@ -432,19 +432,23 @@ def test_simhash_tables_meet_pairs_at_the_limit():
         assert met.mean() > 0.996, n
 
 
-def test_simhash_near_copies_meet_once():
-    """Of many near copies of a text few pairs are listed again in later tables, and links count once."""
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_simhash_near_copies_meet_once(blocks):
+    """Of many near copies of a text few pairs are listed again in later tables, and links count once, in blocks, too."""
     rng = np.random.default_rng(4)
     plan = simhash.Plan(8, 9, 3, 16)
     shared, more = simhash.samples(plan)
-    bits = np.repeat(rng.integers(0, 2, (1, simhash.BITS), np.uint8), 500, 0) ^ (rng.random((500, simhash.BITS)) < 0.04)
-    bits = np.concatenate([bits, rng.integers(0, 2, (1500, simhash.BITS), np.uint8)])
+    bits = np.repeat(rng.integers(0, 2, (1, simhash.BITS), np.uint8), 1200, 0) ^ (rng.random((1200, simhash.BITS)) < 0.04)
+    bits = np.concatenate([bits, rng.integers(0, 2, (800, simhash.BITS), np.uint8)])
     f = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
     key, family, row = np.concatenate([np.stack([simhash._code(bits, at) | np.uint64(k << simhash.TAG), np.full(2000, k, np.uint64), np.arange(2000, dtype=np.uint64)], 1) for k, at in enumerate(shared)]).T
-    order = np.argsort(key, kind="stable")
-    key, family, row = (x[order].astype(np.int64) for x in (key, family, row))
+    key, family, row = (np.repeat(x.astype(np.int64), blocks) for x in (key, family, row))
+    block, other = (row % blocks).astype(np.int32), np.tile(np.arange(blocks, dtype=np.int32), len(row) // blocks)
+    lo, hi = np.minimum(block, other), np.maximum(block, other)
+    order = np.lexsort((block, hi, lo, key))
+    key, family, row, lo, hi, block = (x[order] for x in (key, family, row, lo, hi, block))
     zero = np.zeros(len(key), np.int32)
-    table = pa.table({"key": key, "lo": zero, "hi": zero, "block": zero, "id": row, "n": zero + 1, "family": family.astype(np.int32), "table": zero - 1} | {f"f{k}": f[row, k].view(np.int64) for k in range(4)})
+    table = pa.table({"key": key, "lo": lo, "hi": hi, "block": block, "id": row, "n": zero + 1, "family": family.astype(np.int32), "table": zero - 1} | {f"f{k}": f[row, k].view(np.int64) for k in range(4)})
     listed = 0
 
     class Counted(simhash._Kernel):
