@@ -205,8 +205,10 @@ def _groups(table: pa.Table, kernel: Kernel) -> Iterator[pa.RecordBatch]:
 
 def _forest(n: int, found_i: list, found_j: list) -> tuple[list, list]:
     i, j = np.concatenate(found_i), np.concatenate(found_j)
-    nodes, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-    label = _labels(len(nodes), back[: len(i)], back[len(i) :])
+    used = np.zeros(n, bool)
+    used[i] = used[j] = True
+    nodes, place = np.flatnonzero(used), np.cumsum(used) - 1
+    label = _labels(len(nodes), place[i], place[j])
     child = np.flatnonzero(label != np.arange(len(nodes)))
     return [nodes[child]], [nodes[label[child]]]
 

@@ -42,6 +42,8 @@ MISS, FAMILY_MISS = 1e-3, 0.1
 BUCKET = 150_000
 #: Places of groups that are compared side by side, about.
 SLOTS = 1 << 14
+#: What stands in places without a row.
+_PADS = np.random.default_rng(SEED).integers(0, 1 << 64, 4 * SLOTS, np.uint64, endpoint=False)
 #: Rows of a group from which links that met before are left out before they are listed.
 DENSE = 128
 #: Where the number of the family stands in a key, above the shared bits.
@@ -54,6 +56,8 @@ _INK[0x5B:0x61] = False
 _INK[0x7B:0x80] = False
 #: Bytes of a run beyond which its windows of WINDOW bytes, one from the start of every character, stand for it.
 LONG, WINDOW = 48, 12
+#: Ones that a byte can count.
+LANE = 255
 _SALT = np.array([0x1B873593A5A5A5A5, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -116,13 +120,20 @@ def fingerprints(data: np.ndarray, at: np.ndarray) -> np.ndarray:
                 continue
             bits = np.unpackbits(C.mix64(h[w][:, None] ^ _SALT[None, :]).view(np.uint8), axis=1, bitorder="little")
             full = np.flatnonzero(counts[lo:hi])
-            at_row = (ends[lo:hi] - counts[lo:hi] - w.start)[full]
-            total = np.add.reduceat(bits, at_row, axis=0, dtype=np.int32)
-            major = 2 * total > counts[lo:hi][full][:, None]
+            major = 2 * _sums(bits, counts[lo:hi][full]) > counts[lo:hi][full][:, None]
             out[a + lo + full] = np.packbits(major, axis=1, bitorder="little").view(np.uint64)
     return out
 
 
+def _sums(bits: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows of zeros and ones, counts[k] > 0 rows each: eight columns at once, as a byte holds the sum of LANE rows."""
+    parts = -(-counts // LANE)
+    first = np.cumsum(parts) - parts
+    starts = np.repeat(np.cumsum(counts) - counts, parts) + LANE * (np.arange(parts.sum()) - np.repeat(first, parts))
+    total = np.add.reduceat(bits.view(np.uint64), starts, axis=0).view(np.uint8)
+    return np.add.reduceat(total, first, axis=0, dtype=np.int32) if len(total) > len(counts) else total.astype(np.int32)
+
+
 def _windows(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray, long: np.ndarray):
     """(start, end, row) with windows in place of long runs, by row."""
     size = (end - start)[long] - WINDOW + 1
@@ -237,27 +248,33 @@ class _Kernel(Kernel):
         least, height, wide = int(size[0]), int(size[-1]), len(size)
         place = np.arange(height)[:, None]
         rows = order[np.minimum(starts + place, len(order) - 1)]
-        words = [w[rows] for w in state.words]
+        words = [w.take(rows) for w in state.words]
         if height > least:
-            empty = place[least:] >= size
-            pads = np.random.default_rng(SEED)
-            for w in words:  # far from everything; a place without a row is no pair if it ever were near
-                w[least:][empty] = pads.integers(0, 1 << 63, int(empty.sum()), np.uint64) * np.uint64(2)
-            rows[least:][empty] = -1
+            empty = (place[least:] >= size).ravel().nonzero()[0] + least * wide
+            pads = np.resize(_PADS, (4, len(empty)))
+            for w, x in zip(words, pads):  # far from everything; a place without a row is no pair if it ever were near
+                w.ravel()[empty] = x
+            rows.ravel()[empty] = -1
         rows, words = rows.ravel(), [w.ravel() for w in words]
         buffer, one, count = np.empty(len(rows), np.uint64), np.empty(len(rows), np.uint8), np.empty(len(rows), np.uint8)
+        near, apart = [], []
         for o in range(wide, len(rows), wide):
             m = len(rows) - o
             np.bitwise_count(np.bitwise_xor(words[0][:m], words[0][o:], out=buffer[:m]), out=count[:m])
             for w in words[1:3]:  # hardly a pair that is no link is left by then
                 np.bitwise_count(np.bitwise_xor(w[:m], w[o:], out=buffer[:m]), out=one[:m])
                 np.add(count[:m], one[:m], out=count[:m])
-            x = np.flatnonzero(count[:m] <= self.most)
+            x = (count[:m] <= self.most).nonzero()[0]
             if len(x):
-                x = x[count[x] + np.bitwise_count(words[3][x] ^ words[3][x + o]) <= self.most]
-                i, j = rows[x], rows[x + o]
-                ok = (i >= 0) & (j >= 0)
-                yield i[ok], j[ok]
+                near.append(x)
+                apart.append(o)
+        if near:
+            x = np.concatenate(near)
+            y = x + np.repeat(apart, [len(k) for k in near])
+            ok = np.bitwise_count(np.stack([w[x] ^ w[y] for w in words])).sum(0, dtype=np.int64) <= self.most
+            i, j = rows[x[ok]], rows[y[ok]]
+            ok = (i >= 0) & (j >= 0)
+            yield i[ok], j[ok]
 
     def _within(self, state: _State, rows: np.ndarray, middle: int, s: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of one group; where most are links, as among many near copies of a text, those that met in a table before are left out by its codes."""
@@ -266,11 +283,15 @@ class _Kernel(Kernel):
         step = max(1, 2 * SLOTS // n)
         before = self._before(words, int(state.family[rows[0]]), s)
         known: list[np.ndarray] = []
+        most = min(step, middle) * n
+        buffer, one, total = np.empty(most, np.uint64), np.empty(most, np.uint8), np.empty(most, np.uint8)
         for r in range(0, middle, step):
             to, begin = min(r + step, middle), r if middle == n else middle
-            count = np.bitwise_count(words[0][r:to, None] ^ words[0][begin:])
+            differ, bits, count = (x[: (to - r) * (n - begin)].reshape(to - r, n - begin) for x in (buffer, one, total))
+            np.bitwise_count(np.bitwise_xor(words[0][r:to, None], words[0][begin:], out=differ), out=count)
             for w in words[1:3]:
-                count += np.bitwise_count(w[r:to, None] ^ w[begin:])
+                np.bitwise_count(np.bitwise_xor(w[r:to, None], w[begin:], out=differ), out=bits)
+                np.add(count, bits, out=count)
             hit = count <= self.most
             if n >= DENSE:
                 t = 0
@@ -290,12 +311,14 @@ class _Kernel(Kernel):
 
     def _before(self, words: list[np.ndarray], k: int, s: int) -> Iterator[np.ndarray]:
         """Codes of rows of family k in tables that come before its table s: those of the family, then some of the first families."""
+        bits = self.shared.shape[1] + self.more.shape[2]
+        small = np.uint16 if bits <= 16 else np.uint32 if bits <= 32 else np.uint64
         for t in range(s):
-            yield _number(words, self.more[k, t])
+            yield _number(words, self.more[k, t]).astype(np.uint16 if self.more.shape[2] <= 16 else small)
         for j in range(min(k, 8)):
             shared = _number(words, self.shared[j])
             for t in range(min(self.divisions, 5)):
-                yield shared << np.uint64(self.more.shape[2]) | _number(words, self.more[j, t])
+                yield (shared << np.uint64(self.more.shape[2]) | _number(words, self.more[j, t])).astype(small)
 
     def match(self, state: _State, i: np.ndarray, j: np.ndarray, s: np.ndarray) -> np.ndarray:
         x = np.stack([w[i] ^ w[j] for w in state.words])
