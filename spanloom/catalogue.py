@@ -227,7 +227,7 @@ query("stat_tf_range", f"WITH {TERMS} SELECT doc, term, count(*) AS tf FROM term
     lambda s, d: S.words(texts(s, d).docs).select("doc", F.explode(F.slice("words", 11, 50)).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
 )
 query("forage_tf_idf", f"WITH {TOK}, {LINES}, t AS (SELECT l.doc, l.p, lower(word) AS term, count(*) AS n FROM line l JOIN tok ON tok.doc = l.doc AND pos BETWEEN l.p AND l.q GROUP BY ALL) SELECT 'tf:' || term AS feature, doc, p, p AS q, n FROM t UNION ALL SELECT 'df:' || term, min(doc), 0, 0, count(*) FROM t GROUP BY term")(
-    lambda s, d: versioned.forage(documents(s, d), documents(s, d).lines(), versioned.tf_idf_forager).select("feature", "doc", "p", "q", "n")
+    lambda s, d: versioned.forage(texts(s, d), texts(s, d).lines(), versioned.tf_idf_forager).select("feature", "doc", "p", "q", "n")
 )
 
 # --- ranking

@@ -35,6 +35,33 @@ def ascii_features(word: Column) -> Column:
     return F.when(inner_capital(word), F.array(word, F.lower(word))).otherwise(F.array(F.lower(word)))
 
 
+def _starts(ordered: Column, key) -> Column:
+    """Places, from 1, of an ordered array at which another key begins."""
+    at = F.sequence(F.lit(1), F.size(ordered))
+    fresh = F.filter(at, lambda i: (i == 1) | (key(F.get(ordered, i - 1)) != key(F.get(ordered, i - 2))))
+    return F.when(F.size(ordered) > 0, fresh)
+
+
+def runs(rows: DataFrame, ordered: str, key, make) -> DataFrame:
+    """rows, once for each run of equal keys in the array `ordered`, which is replaced by the fields of make(array, the run's place from 1, its length).
+
+    A row's runs are found within the row: nothing is shuffled or held beyond a
+    row.  Each step names what it takes from the one before more than once, so
+    that Spark doesn't compute that again for every element.
+    """
+    rest = [c for c in rows.columns if c != ordered]
+    every = F.col(ordered)
+    placed = rows.withColumn("_at", _starts(every, key))
+    each = F.transform("_at", lambda a, j: make(every, a, F.coalesce(F.get("_at", j + 1), F.size(every) + 1) - a))
+    return placed.select(*rest, F.explode(each).alias("_run")).select(*rest, "_run.*")
+
+
+def counted(rows: DataFrame, words: str, name: str, n: str) -> DataFrame:
+    """rows, once for each distinct word of the array `words`, with the word as `name` and how often it stands there as `n`."""
+    ordered = rows.withColumn(words, F.sort_array(words))
+    return runs(ordered, words, lambda w: w, lambda ws, at, size: F.struct(F.get(ws, at - 1).alias(name), size.cast("long").alias(n)))
+
+
 def xml_split(text: Column) -> Column:
     """Tags (without attributes) and words of markup; entities are skipped."""
     found = F.filter(_all(text, XML), lambda s: ~s.startswith("&"))

@@ -381,24 +381,20 @@ def forage_once(store: Store, query: str, name: str, tag: str = "", parameters:
 def tf_idf_forager(collection, intervals: DataFrame, parameters: dict | None = None) -> DataFrame:
     """tf:term at each interval's start with its frequency as payload, and df:term once with the number of intervals.
 
-    Words find their interval by one sweep; intervals don't nest, and where they
-    overlap a word counts in each.
+    Texts meet their intervals in one join; an interval's words are then counted
+    within its row.  Where intervals overlap a word counts in each.
     """
+    from ..functions import text as T
     from ..operators import intervals as I
 
-    words = collection.tokens().where(F.col("feature") == F.lower("feature"))
-    by_doc = I.Window.partitionBy("doc")
-    spans = I.minimal(I.plain(intervals)).withColumn("k", F.row_number().over(by_doc.orderBy("p")))
-    null = F.lit(None)
-    both = words.select("doc", F.col("pos").alias("begin"), F.col("pos").alias("end"), "feature", null.cast("int").alias("k"))
-    both = both.unionByName(spans.select("doc", F.col("p").alias("begin"), F.col("q").alias("end"), null.cast("string").alias("feature"), "k"))
-    first = F.min("k").over(by_doc.orderBy("end").rangeBetween(0, I.Window.unboundedFollowing))  # of the intervals that end there or later
-    last = F.max("k").over(by_doc.orderBy("begin").rangeBetween(I.Window.unboundedPreceding, 0))  # of those that begin there or before
-    near = both.withColumns({"lo": first, "hi": last}).where("feature is not null and lo <= hi")
-    own = near.select("doc", "feature", F.explode(F.sequence("lo", "hi")).alias("k")).groupBy("doc", "k", "feature").agg(F.count("*").alias("n"))
-    tf = own.join(spans.select("doc", "k", "p"), ["doc", "k"]).select("doc", "p", "feature", "n")
+    spans = I.minimal(I.plain(intervals)).groupBy("doc").agg(F.collect_list(F.struct("p", "q")).alias("spans"))
+    texts = collection.docs.join(spans, "doc").select("doc", "spans", F.transform(T.ascii_words(F.col("text")), F.lower).alias("words"))
+    size = lambda x: F.greatest(F.least(x["q"], F.size("words") - 1) - x["p"] + 1, F.lit(0)).cast("int")
+    own = F.transform("spans", lambda x: F.struct(x["p"].alias("p"), F.slice("words", x["p"].cast("int") + 1, size(x)).alias("words")))
+    each = texts.select("doc", F.explode(own).alias("x")).select("doc", "x.p", "x.words")
+    tf = T.counted(each, "words", "feature", "n")
     rows = tf.select(F.concat(F.lit("tf:"), "feature").alias("feature"), "doc", "p", F.col("p").alias("q"), F.lit(0.0).alias("v"), "n")
-    df = tf.groupBy("feature").agg(F.count("*").alias("n"), F.min("doc").alias("doc"))
+    df = each.select("doc", F.explode(F.array_distinct("words")).alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.min("doc").alias("doc"))
     return rows.unionByName(df.select(F.concat(F.lit("df:"), "feature").alias("feature"), "doc", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.lit(0.0).alias("v"), "n"))
 
 

@@ -96,6 +96,28 @@ def test_foraging_over_overlapping_intervals(spark):
     assert got == {("tf:a", 0): 2, ("tf:b", 0): 1, ("tf:b", 1): 2, ("tf:a", 1): 1, ("tf:c", 1): 1, ("tf:a", 5): 1, ("df:a", 0): 3, ("df:b", 0): 2, ("df:c", 0): 1}
 
 
+def test_foraging_takes_as_long_as_a_text_is(spark):
+    """A sweep that looks ahead over a whole text for each of its words takes the square of its length."""
+    import time
+
+    def took(n):
+        c = Collection(spark.createDataFrame([(1, " ".join(f"w{i % 97}" for i in range(n)))], "doc long, text string"))
+        lines = spark.createDataFrame([("s:", 1, i, i + 9, 0.0, None) for i in range(0, n, 10)], ANNOTATION)
+        began = time.time()
+        got = {r.feature: r.n for r in tf_idf_forager(c, lines).where("feature like 'df:%'").collect()}
+        assert len(got) == 97 and sum(got.values()) == n
+        return time.time() - began
+
+    took(1000)
+    assert took(60_000) < 60
+
+
+def test_foraging_beyond_a_text(spark):
+    c = Collection(spark.createDataFrame([(1, "a b"), (2, "")], "doc long, text string"))
+    spans = spark.createDataFrame([("s:", 1, 1, 9, 0.0, None), ("s:", 1, 7, 12, 0.0, None), ("s:", 2, 0, 1, 0.0, None)], ANNOTATION)
+    assert sorted((r.feature, r.doc, r.p, r.n) for r in tf_idf_forager(c, spans).collect()) == [("df:b", 1, 0, 1), ("tf:b", 1, 1, 1)]
+
+
 def test_queries_are_rewritten_by_counts(docs, indexed, monkeypatch):
     from spanloom import model
 
