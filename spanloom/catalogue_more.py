@@ -238,14 +238,17 @@ def src_passages(s, d):
 
 @query("src_web_records", "SELECT page_id, url, len(regexp_extract_all(html, '[A-Za-z0-9]+')) AS words FROM pages WHERE len(regexp_extract_all(html, '[A-Za-z0-9]+')) > 0")
 def src_web_records(s, d):
-    """Web records of text and url in JSON lines: :text, :url and the whole."""
+    """Web records of text and url in JSON lines: :text, :url and the whole; pages find theirs by both, for urls repeat."""
     path = shared.new_path(s, "records")
-    table(s, d, "pages").select(F.to_json(F.struct(F.col("html").alias("text"), "url")).alias("value")).write.text(path)
+    pages = table(s, d, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("text"))
+    pages.select(F.to_json(F.struct("text", F.coalesce("url", F.lit("")).alias("url"))).alias("value")).write.text(path)
     c = loaders.web_records(s, path)
     url = c.translate(c.gcl("(<< :url :)")).select("doc", T.docno(F.col("content")).alias("tail"))
     words = c.term(":text").select("doc", (F.col("q") - F.col("p") + 1).alias("words"))
-    pages = table(s, d, "pages").select("page_id", "url", F.regexp_extract("url", "[A-Za-z0-9].*", 0).alias("tail"))
-    return url.join(words, "doc").join(pages, "tail").select("page_id", "url", "words")
+    own = loaders.web_docs(pages.select("page_id", F.col("url").alias("said"), F.coalesce("url", F.lit("")).alias("url"), "text"))
+    own = own.select("doc", "page_id", F.col("said").alias("url"), T.docno(F.regexp_extract("url", "(?s)[A-Za-z0-9].*", 0)).alias("own"))
+    found = words.join(url, "doc", "left").join(own, "doc").where(F.coalesce("tail", F.lit("")) == F.col("own"))
+    return found.select("page_id", "url", "words")
 
 
 @query("docno_join", "SELECT source || '-' || doc_id AS docno, doc_id AS doc, (pow(2, quality) - 1) / pow(2, (SELECT greatest(max(quality), 1) FROM labels)) AS gain FROM labels JOIN documents USING (doc_id) WHERE source IS NOT NULL")

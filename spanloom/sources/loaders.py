@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -59,11 +59,17 @@ def _records(spark: SparkSession, paths: tuple, ddl: str) -> DataFrame:
     return readers.json_lines(spark, *paths).select("source", F.from_json("json", ddl).alias("r")).select("source", "r.*")
 
 
+def web_docs(records: DataFrame) -> DataFrame:
+    """records (text, url, ...) with `doc`: several of the same url are documents of their own, as are equal ones, which are numbered."""
+    k = F.row_number().over(Window.partitionBy("url", "text").orderBy(F.lit(0)))
+    return records.withColumn("k", k).withColumn("doc", doc_of(F.struct("url", "text", "k"))).drop("k")
+
+
 def web_records(spark: SparkSession, *paths: str) -> Collection:
     """JSON lines of text and url: :text, :url and : around both; a record without either is an error."""
-    r = _records(spark, paths, "text string, url string")
+    r = web_docs(_records(spark, paths, "text string, url string"))
     need = lambda c: F.coalesce(c, F.raise_error(F.lit("a record lacks its text or url")).cast("string"))
-    return of_parts(r.select(doc_of(F.col("url")).alias("doc"), F.array(part(":text", need(F.col("text"))), part(":url", need(F.col("url")))).alias("parts")), [":"])
+    return of_parts(r.select("doc", F.array(part(":text", need(F.col("text"))), part(":url", need(F.col("url")))).alias("parts")), [":"])
 
 
 def passage_records(spark: SparkSession, *paths: str) -> Collection:

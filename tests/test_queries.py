@@ -33,3 +33,11 @@ def test_query(spark, sql, name):
     assert sorted(names) == sorted(df.columns)
     at = [names.index(c) for c in df.columns]
     assert got == Counter(tuple(x[i] for i in at) for x in r.fetchall())
+
+
+def test_web_records_whose_urls_repeat(spark, sql, tmp_path):
+    rows = [(1, "http://a/x", "<p>one two</p>"), (2, "http://a/x", "three"), (3, "http://a/x", "three"), (4, "http://b/y z", "four"), (5, "://", "five six"), (6, None, "seven"), (7, "http://c/", None), (8, "http://c/", "--")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["src_web_records"](spark, str(tmp_path))
+    want = sql.execute(ORACLES["src_web_records"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    assert Counter(map(tuple, got.select("page_id", "url", "words").collect())) == Counter(want) and len(want) == 6
