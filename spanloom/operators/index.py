@@ -9,6 +9,14 @@ is spread over several files of its directory.
 
 from __future__ import annotations
 
+import re
+from array import array
+from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +26,10 @@ from . import stats as S
 
 #: At most as many directories as Spark lists without a job of its own.
 BUCKETS = 32
-#: Documents of a feature that one file takes, about.
-DOCS_A_FILE = 4_000_000
+#: Words of the documents whose postings one task sorts and writes for all directories, about: a file has its share of them.
+WORDS_A_PART = 1 << 26
+#: Postings that Python hands to Spark at once, about.
+ROWS_A_BATCH = 50_000
 #: Terms of a query that become a filter; more of them are joined.
 FILTER_TERMS = 1000
 _POSTINGS = "feature string, doc long, len long, tf long, positions array<int>, bucket int"
@@ -30,6 +40,60 @@ def bucket_of(feature: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(feature), F.lit(buckets)).cast("int")
 
 
+@contextmanager
+def _unsorted(spark: SparkSession):
+    """Writes below it don't sort by directory: a task here writes one only, and a sort by that first compares rows in full."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, "0")
+    spark.conf.set(name, "2")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of texts, each document's gathered by itself: a dictionary of its words takes a tenth of what lambda functions over arrays do."""
+    find, columns, positions, ends = re.compile(T.ASCII).findall, ([], [], [], []), array("i"), array("i", [0])
+
+    def batch() -> pa.RecordBatch:
+        doc, size, feature, tf = columns
+        own = pa.ListArray.from_arrays(pa.array(np.array(ends)), pa.array(np.array(positions)))
+        made = pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(feature, pa.string()), pa.array(tf, pa.int64()), own], names=["doc", "len", "feature", "tf", "positions"])
+        for c in columns:
+            c.clear()
+        del positions[:], ends[1:]
+        return made
+
+    for b in batches:
+        for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()):
+            spelled: dict[str, list[int]] = defaultdict(list)
+            words = find(text or "")
+            for i, w in enumerate(words):
+                spelled[w].append(i)
+            found: dict[str, list] = {}  # tf and positions of a feature
+            for w, at in spelled.items():
+                low = w.lower()
+                inner = w[1:] != low[1:]
+                if inner:
+                    found[w] = [len(at), at]
+                if (x := found.get(low)) is None:
+                    found[low] = [0 if inner else len(at), at]
+                else:
+                    found[low] = [x[0] + (0 if inner else len(at)), sorted(x[1] + at)]
+            columns[0].extend([doc] * len(found))
+            columns[1].extend([len(words)] * len(found))
+            columns[2].extend(found)
+            for tf, at in found.values():
+                columns[3].append(tf)
+                positions.extend(at)
+                ends.append(len(positions))
+            if len(columns[0]) >= ROWS_A_BATCH:
+                yield batch()
+    if columns[0]:
+        yield batch()
+
+
 class Index(S.Stats):
     """An index below a path; docs: the (doc, text) it was built of, for the texts of chosen documents."""
 
@@ -41,21 +105,18 @@ class Index(S.Stats):
     def build(cls, docs: DataFrame, path: str, buckets: int = BUCKETS) -> Index:
         """Write the tables, totals last; what an interrupted build left is overwritten."""
         spark = docs.sparkSession
-        split = docs.select("doc", T.ascii_words(F.col("text")).alias("words")).select("doc", F.size("words").cast("long").alias("len"), "words")
-        split.select("doc", "len").write.mode("overwrite").parquet(f"{path}/lengths")
-        n = spark.read.parquet(f"{path}/lengths").count()
-        each = split.select("doc", "len", F.posexplode("words").alias("p", "word"))
-        own = lambda x, y: F.struct(x.alias("feature"), F.lit(y).alias("split"))
-        word = F.col("word")
-        features = F.when(T.inner_capital(word), F.array(own(word, 1), own(F.lower(word), 0))).otherwise(F.array(own(F.lower(word), 1)))
-        each = each.select("doc", "len", "p", F.explode(features).alias("f")).select("doc", "len", "p", "f.feature", "f.split")
-        rows = each.groupBy("feature", "doc", "len").agg(F.sum("split").alias("tf"), F.sort_array(F.collect_list("p")).alias("positions"))
-        rows = rows.withColumn("bucket", bucket_of(F.col("feature"), buckets))
-        rows = rows.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(1 + n // DOCS_A_FILE))).sortWithinPartitions("bucket", "feature", "doc")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        docs.select("doc", F.size(T.ascii_words(F.col("text"))).cast("long").alias("len")).write.mode("overwrite").parquet(f"{path}/lengths")
+        parts = 1 + (spark.read.parquet(f"{path}/lengths").agg(F.sum("len")).first()[0] or 0) // WORDS_A_PART
+        rows = docs.select("doc", "text").mapInArrow(_gathered, "doc long, len long, feature string, tf long, positions array<int>")
+        rows = rows.repartitionById(buckets * parts, bucket_of(F.col("feature"), buckets) + buckets * bucket_of(F.col("doc"), parts))
+        rows = rows.sortWithinPartitions("feature", "doc").withColumn("bucket", bucket_of(F.col("feature"), buckets))
+        with _unsorted(spark):
+            rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         index = cls(spark, path, docs, buckets)
         terms = index.rows().groupBy("bucket", "feature").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"), F.sum("tf").alias("ctf"), F.sum(F.size("positions").cast("long")).alias("count"))
-        terms.repartition("bucket").sortWithinPartitions("bucket", "feature").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+        terms = terms.repartitionById(buckets * parts, bucket_of(F.col("feature"), buckets * parts))  # of one bucket each, for their number is a multiple
+        with _unsorted(spark):
+            terms.sortWithinPartitions("feature").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
         lengths = index.lengths().where("length > 0").agg(F.count("*").alias("items"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"))
         lengths.crossJoin(index.terms().agg(F.count("*").alias("vocab"))).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")  # one row with one row
         return index
@@ -87,8 +148,7 @@ class Index(S.Stats):
         return self.spark.read.schema("doc long, len long").parquet(f"{self.path}/lengths").select("doc", F.col("len").alias("length"))
 
     def _few(self, terms: DataFrame) -> list[str] | None:
-        found = [r.term for r in terms.select("term").distinct().limit(FILTER_TERMS + 1).collect()]
-        return found if len(found) <= FILTER_TERMS else None
+        return S.few_of(terms, FILTER_TERMS)
 
     def _of(self, table: str, terms: DataFrame | None, broadcast: bool) -> DataFrame:
         """Rows of the terms: by a filter where they are few, else by a join on feature and bucket."""
@@ -104,8 +164,11 @@ class Index(S.Stats):
     def weights(self, own: DataFrame, terms: DataFrame | None = None) -> DataFrame:
         return self._of("terms", terms, True).where("df > 0").select(F.col("feature").alias("term"), "df", "ctf")
 
-    def df(self, terms: DataFrame) -> DataFrame:
-        return self._of("terms", terms, False).where("df > 0").select(F.col("feature").alias("term"), "df")
+    def split_words(self) -> DataFrame:
+        return self.terms().where("df > 0").select(F.col("feature").alias("word"))
+
+    def df(self, terms: DataFrame, is_small: bool = False) -> DataFrame:
+        return self._of("terms", terms, is_small).where("df > 0").select(F.col("feature").alias("term"), "df")
 
     def totals(self) -> DataFrame:
         t = self.spark.read.schema("items long, length long, vocab long").parquet(f"{self.path}/totals")

@@ -72,7 +72,7 @@ def _filter(a: DataFrame, b: DataFrame, inside: bool, keep: bool) -> DataFrame:
     """a's with (keep) or without a b around them (inside) or in them."""
     by, other = ("q", "p") if inside else ("p", "q")
     both = a.select(*COLUMNS, F.lit(True).alias("mine")).unionByName(plain(b).withColumn("mine", F.lit(False)))
-    near = F.min(F.when(~F.col("mine"), F.col(other))).over(_up(by, lo=0, hi=Window.unboundedFollowing))
+    near = F.min(F.when(~F.col("mine"), F.col(other))).over(_up(F.desc(by)))  # backwards: a frame that looks ahead is computed anew for each row
     hit = F.coalesce(F.col("_near") <= F.col(other), F.lit(False))
     return both.withColumn("_near", near).where(F.col("mine") & (hit if keep else ~hit)).select(COLUMNS)
 
@@ -134,7 +134,7 @@ def probe(a: DataFrame, keys: DataFrame, method: str) -> DataFrame:
     both = a.select("doc", F.col(by).alias("at"), F.struct("p", "q", "v", "n").alias("hit"), F.lit(None).cast("long").alias("k"))
     both = both.unionByName(keys.select("doc", F.col("k").alias("at"), F.lit(None).cast(both.schema["hit"].dataType).alias("hit"), "k"))
     if method in ("tau", "rho"):
-        found = F.first("hit", ignorenulls=True).over(_up("at", lo=0, hi=Window.unboundedFollowing))
+        found = F.last("hit", ignorenulls=True).over(_up(F.desc("at")))
     else:
         found = F.last("hit", ignorenulls=True).over(_up("at"))
     return both.withColumn("hit", found).where("k is not null").select("doc", "k", "hit.p", "hit.q", "hit.v", "hit.n")

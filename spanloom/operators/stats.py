@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: Bytes of texts whose matches one task scores, about, and texts of that many bytes are of unknown size.
+PART_BYTES, UNKNOWN_BYTES = 16 << 20, 1 << 50
+
+
 def words(docs: DataFrame) -> DataFrame:
     """(doc, len, words) of (doc, text): split words, computed in the scan."""
     w = docs.select("doc", T.ascii_split(F.col("text")).alias("words"))
@@ -16,10 +20,20 @@ def words(docs: DataFrame) -> DataFrame:
 
 def tf(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(doc, len, term, tf); terms: (term), a checked-size list that is broadcast, keeps the explosion to what a query asks for."""
-    rows = words(docs).select("doc", "len", F.explode("words").alias("term"))
+    rows = words(docs)
+    few = None if terms is None else few_of(terms)
+    if few:  # other words aren't counted
+        rows = rows.select("doc", "len", F.filter("words", lambda w: w.isin(few)).alias("words"))
+    rows = T.counted(rows, "words", "term", "tf").select("doc", "len", "term", "tf")
     if terms is not None:
         rows = rows.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    return rows.groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
+    return rows
+
+
+def few_of(terms: DataFrame, most: int = 1000) -> list[str] | None:
+    """The distinct terms of a table, None where they are more than `most`."""
+    found = [r.term for r in terms.select("term").distinct().limit(most + 1).collect()]
+    return found if len(found) <= most else None
 
 
 def df(docs: DataFrame) -> DataFrame:
@@ -74,10 +88,25 @@ class Stats:
         """(term, df, ctf): documents that hold a term, and its occurrences. own: what tf(terms) gave."""
         return own.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
 
-    def df(self, terms: DataFrame) -> DataFrame:
-        """(term, df) of the terms of a table of any size."""
+    def df(self, terms: DataFrame, is_small: bool = False) -> DataFrame:
+        """(term, df) of the terms of a table of any size; is_small: of checked size."""
         return df(self.docs).join(terms.select("term").distinct(), "term", "left_semi")
 
+    def parts(self) -> int:
+        """Partitions by document of what a query matches: they grow with the texts, so that what a task holds doesn't."""
+        spark = self.docs.sparkSession
+        size = int(str(self.docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        more = int(spark.conf.get("spark.sql.shuffle.partitions")) if size >= UNKNOWN_BYTES else size // PART_BYTES
+        return max(spark.sparkContext.defaultParallelism, more)
+
+    def matches(self, terms: DataFrame | None = None) -> DataFrame:
+        """tf(terms) with a document's rows in one partition: what is scored by document needs no further shuffle."""
+        return self.tf(terms).repartition(self.parts(), "doc")
+
+    def split_words(self) -> DataFrame:
+        """(word): the distinct split words."""
+        return self.docs.select(F.explode(F.array_distinct(T.ascii_split(F.col("text")))).alias("word")).distinct()
+
     def totals(self) -> DataFrame:
         return totals(self.docs)
 

@@ -40,6 +40,19 @@ def test_index_agrees_with_texts(spark, docs, indexed):
     assert indexed.count_of(["with", "USA", "usa", "none"]) == docs.count_of(["with", "USA", "usa", "none"])
 
 
+def test_a_larger_collection_is_written_in_more_parts(docs, tmp_path, monkeypatch):
+    """What one task sorts and writes doesn't grow with the collection."""
+    from spanloom.operators import index as X
+
+    monkeypatch.setattr(X, "WORDS_A_PART", 500)
+    monkeypatch.setattr(X, "ROWS_A_BATCH", 100)
+    c = docs.indexed(f"file://{tmp_path}/i")
+    files = [f.split("/")[-2] for f in c.index.rows(["with"]).inputFiles()]
+    assert len(files) > 2 and len(set(files)) == 1
+    assert rows(c.index.tf()) == rows(S.Stats(docs.docs).tf().select("doc", "len", "term", "tf"))
+    assert rows(c.gcl('"with from"')) == rows(docs.gcl('"with from"')) and rows(c.index.counts()) == rows(S.Stats(docs.docs).counts())
+
+
 def test_many_terms_are_joined(spark, docs, indexed, monkeypatch):
     from spanloom.operators import index as X
 
