@@ -182,7 +182,7 @@ def gcl_infix(s, d):
     return spans(documents(s, d).infix("near < [10]", session))
 
 
-query("addr_base", f"WITH {WORDS}, l AS (SELECT doc, len(ws) AS length FROM w) SELECT doc, CAST(coalesce(sum(length) OVER (ORDER BY doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base, length FROM l")(lambda s, d: documents(s, d).bases(8))
+query("addr_base", f"WITH {WORDS}, l AS (SELECT doc, len(ws) AS length FROM w) SELECT doc, CAST(coalesce(sum(length) OVER (ORDER BY doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base, length FROM l")(lambda s, d: texts(s, d).bases(8))
 query(
     "gcl_global",
     f"""WITH {TOK}, l AS (SELECT doc, len(ws) AS length FROM w), b AS (SELECT doc, CAST(coalesce(sum(length) OVER (ORDER BY doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM l),
