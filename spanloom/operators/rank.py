@@ -79,14 +79,14 @@ def topics(df: DataFrame, id_col: str, text_col: str, words: int | None = None)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, params: dict | None = None, depth: int = DEPTH, tf: DataFrame | None = None) -> DataFrame:
-    """tf: (doc, len, term, tf) to use in place of the documents' own words."""
+    """tf: (doc, len, term, tf), a document's rows in one partition, to use in place of the documents' own words."""
     b, k1 = param("bm25", "b", params), param("bm25", "k1", params)
     stats = S.of(docs)
     queries, is_small = settle(queries)
     terms = queries if is_small else None
     n = F.broadcast(stats.totals())  # one row
     if tf is None:
-        tf = stats.tf(terms)
+        tf = stats.matches(terms)
         weight = stats.weights(tf, terms)
     else:
         weight = S.Stats.weights(stats, tf)
@@ -104,13 +104,17 @@ def bm25_trials(docs, queries: DataFrame, trials: list[dict], depth: int = DEPTH
     stats = S.of(docs)
     queries, is_small = settle(queries)
     terms = queries if is_small else None
-    tf = stats.tf(terms)
+    tf = stats.matches(terms)
     weight = stats.weights(tf, terms).crossJoin(F.broadcast(stats.totals())).select("term", "avgl", S.rsj(F.col("items"), F.col("df")).alias("rsj")).where("rsj > 0")
     m = tf.join(_hint(weight, is_small), "term").join(_hint(queries, is_small), "term")
-    own = [F.struct(F.lit(i).alias("trial"), F.lit(float(param("bm25", "b", p))).alias("b"), F.lit(float(param("bm25", "k1", p))).alias("k1")) for i, p in enumerate(trials)]
-    m = m.withColumn("x", F.explode(F.array(*own))).select("*", "x.*")
-    norm = F.col("k1") * ((1 - F.col("b")) + F.col("b") * F.col("len") / F.col("avgl"))
-    s = m.groupBy("trial", "topic", "doc").agg(F.round(F.sum(F.col("w") * F.col("rsj") * F.col("tf") / (norm + F.col("tf"))), DIGITS).alias("score")).where("score > 0")
+
+    def score(p: dict) -> Column:
+        b, k1 = float(param("bm25", "b", p)), float(param("bm25", "k1", p))
+        norm = F.lit(k1) * ((1 - F.lit(b)) + F.lit(b) * F.col("len") / F.col("avgl"))
+        return F.round(F.sum(F.col("w") * F.col("rsj") * F.col("tf") / (norm + F.col("tf"))), DIGITS)
+
+    every = m.groupBy("topic", "doc").agg(F.array(*[score(p) for p in trials]).alias("x"))
+    s = every.select("topic", "doc", F.posexplode("x").alias("trial", "score")).where("score > 0").select("trial", "topic", "doc", "score")
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("trial", "topic").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= depth)
 
 
@@ -119,7 +123,7 @@ def lmd(docs: DataFrame, queries: DataFrame, params: dict | None = None, depth:
     mu, stats = param("lmd", "mu", params), S.of(docs)
     queries, is_small = settle(queries)
     terms = queries if is_small else None
-    tf = stats.tf(terms)
+    tf = stats.matches(terms)
     n = F.broadcast(stats.totals().select(F.col("length").alias("tokens")))  # one row
     ctf = stats.weights(tf, terms).select("term", "ctf").crossJoin(n)
     m = tf.join(_hint(queries, is_small), "term")
@@ -269,13 +273,13 @@ def rsj_feedback(docs: DataFrame, run: DataFrame, params: dict | None = None) ->
     stats = S.of(docs)
     f, is_small = settle(f)
     n = F.broadcast(stats.totals().select("items"))
-    scored = stats.df(f).join(_hint(f, is_small), "term").crossJoin(n).select("topic", "term", (F.col("f") * S.rsj(F.col("items"), F.col("df"))).alias("tsv")).where("tsv > 0")
+    scored = stats.df(f, is_small).join(_hint(f, is_small), "term").crossJoin(n).select("topic", "term", (F.col("f") * S.rsj(F.col("items"), F.col("df"))).alias("tsv")).where("tsv > 0")
     return _best(scored, int(param("rsj", "expansions", params)))
 
 
 def kld_feedback(docs: DataFrame, run: DataFrame, params: dict | None = None) -> DataFrame:
     """Expansion terms found in more feedback documents than their share of the collection lets expect."""
-    f = _feedback_terms(docs, run, int(param("kld", "depth", params)))
+    f = small(_feedback_terms(docs, run, int(param("kld", "depth", params))))  # the counts of all features aren't shuffled for its few
     counts, total = _counts(docs)
     prob = (F.col("count") + 1) / (F.col("length") + F.col("vocab"))
     e = f.join(counts.withColumnRenamed("feature", "term"), "term").crossJoin(total).groupBy("topic", "term").agg(F.count("*").alias("f"), F.sum(1 - F.pow(1 - prob, F.col("len"))).alias("e"))
@@ -355,7 +359,7 @@ def pipeline(docs, queries: DataFrame, stages: str, params: dict | None = None,
 
     What one stage hands to the next is computed once (see settle()).
     """
-    params, run, q, texts = dict(params or {}), None, queries, S.of(docs).docs
+    params, run, q = dict(params or {}), None, queries
     for stage in stages.split():
         if "=" in stage:
             name, value = stage.split("=", 1)
@@ -367,10 +371,14 @@ def pipeline(docs, queries: DataFrame, stages: str, params: dict | None = None,
         elif stage == "stem":
             from ..functions.stem import stem_vocabulary
 
-            v = stem_vocabulary(texts.select(F.explode(F.array_distinct(S.T.ascii_split(F.col("text")))).alias("word")).unionByName(q.select(F.col("term").alias("word"))))
-            stems = small(q.select(F.col("term").alias("word")).distinct().join(v, "word").select("stem").distinct())
-            variants = v.join(stems, "stem")
-            tf = S.words(texts).select("doc", "len", F.explode("words").alias("word")).join(small(variants), "word").groupBy("doc", "len", F.col("stem").alias("term")).agg(F.count("*").alias("tf"))
+            stats, own = S.of(docs), q.select(F.col("term").alias("word")).distinct()
+            stems = small(stem_vocabulary(own).select("stem").distinct())
+            variants, is_small = settle(stem_vocabulary(stats.split_words().unionByName(own)).join(stems, "stem"))
+            words = variants.select(F.col("word").alias("term"), "stem")
+            tf = stats.matches(words if is_small else None).join(_hint(words, is_small), "term")
+            if not is_small:
+                tf = tf.repartition(stats.parts(), "doc")
+            tf = tf.groupBy("doc", "len", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
             params["_tf"] = tf
             q = q.join(variants.withColumnRenamed("word", "term"), "term").groupBy("topic", F.col("stem").alias("term")).agg(F.sum("w").alias("w"))
         elif stage == "bm25":

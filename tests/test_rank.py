@@ -49,6 +49,16 @@ def test_bm25_and_lmd(spark, docs, texts):
             assert abs(lm[d] - sum(math.log(2000 + s.count(t) * sum(map(len, split)) / ctf[t]) - math.log(2000 + len(s)) for t in terms if t in s)) < 1e-5
 
 
+def test_scores_are_summed_where_a_document_is(spark, docs):
+    """Matches are shuffled by document once; a sum for each topic and document that is shuffled again grows with topics times documents."""
+    import re
+
+    q = queries(spark, "w7", "w9")
+    for run in (R.bm25(docs.docs, q), R.lmd(docs.docs, q), R.bm25_trials(docs.docs, q, R.random_params("bm25", 3))):
+        plan = run._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(doc#\d+L, \d+\), REPARTITION", plan) and not re.search(r"hashpartitioning\((trial#\d+, )?topic#\d+L, doc", plan)
+
+
 def test_golden_statistics(spark):
     rows = [(0, "hello world hello hello"), (1, "hello world hello there"), (2, "the quick cat in the hat"), (3, "hello to you")]
     d = Collection.of(spark.createDataFrame(rows, "id long, text string"), "id", "text").docs
