@@ -9,7 +9,7 @@ from ..functions import text as T
 
 
 #: Bytes of texts whose matches one task scores, about, and texts of that many bytes are of unknown size.
-PART_BYTES, UNKNOWN_BYTES = 16 << 20, 1 << 50
+PART_BYTES, UNKNOWN_BYTES = 4 << 20, 1 << 50
 
 
 def words(docs: DataFrame) -> DataFrame:
